@@ -36,6 +36,11 @@ def stored(df: DataFrame, name: str = "table", mode: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * SLICE_BYTES))
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about SLICE_BYTES (one row at least)."""
     for batch in batches:
@@ -50,6 +55,7 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def per_document(df: DataFrame, columns: list[str], row: Callable[[], Callable[..., tuple]], schema: str) -> DataFrame:
     """Apply a function of ``columns`` to every row; ``row()`` is called once a task and returns it."""
     names = [f.split()[0] for f in schema.split(",")]
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, types = row(), None
