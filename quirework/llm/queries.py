@@ -6,18 +6,49 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe
-from .frames import documents
+from . import byte_bpe, language, media, simhash, token_files, toxicity
+from .frames import documents, held_out
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    learn = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2, F.lit(False))
+    filters = language.train(docs.select("doc_id", "text", "lang").where(learn))
+    return language.identify(docs, filters, F.col("doc_id").cast("long").alias("doc_id"), held_out(4, 2).alias("held_out"))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(documents(spark, sf_dir))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    learn = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0, F.lit(False))
+    return toxicity.score(docs, toxicity.train(docs.select("doc_id", "text"), labels.select("doc_id", "toxic").where(learn)))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_table(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language": op1_language,
         "op6_byte_bpe": op6_byte_bpe,
+        "op7_media": op7_media,
+        "op8_token_files": op8_token_files,
+        "op9_toxicity": op9_toxicity,
+        "op10_simhash": op10_simhash,
     }
 
 
