@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, media, simhash, token_files, toxicity
+from . import byte_bpe, language, media, mixing, ngram_join, pii, simhash, token_files, toxicity
 from .frames import documents, held_out
 
 
@@ -23,6 +23,18 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_documents(documents(spark, sf_dir))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_table(documents(spark, sf_dir))
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_documents(documents(spark, sf_dir))
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(documents(spark, sf_dir))
 
@@ -44,6 +56,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language": op1_language,
+        "op3_pii": op3_pii,
+        "op4_mixing": op4_mixing,
+        "op5_ngram_join": op5_ngram_join,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_media": op7_media,
         "op8_token_files": op8_token_files,
