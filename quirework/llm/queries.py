@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, media, mixing, ngram_join, pii, simhash, token_files, toxicity
+from . import byte_bpe, language, media, mixing, ngram_join, paragraphs, pii, simhash, token_files, toxicity
 from .frames import documents, held_out
 
 
@@ -23,6 +23,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.duplicate_units(documents(spark, sf_dir))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_documents(documents(spark, sf_dir))
 
@@ -56,6 +60,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language": op1_language,
+        "op2_paragraphs": op2_paragraphs,
         "op3_pii": op3_pii,
         "op4_mixing": op4_mixing,
         "op5_ngram_join": op5_ngram_join,
