@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Elements by their part in the page.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -208,6 +209,6 @@ def html_markdown(html: str | None) -> str | None:
     return normal("\n\n".join(writer.blocks))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def to_markdown(html: pd.Series) -> pd.Series:
     return html.map(html_markdown)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The white space that a strip removes, and the tokens that the default counter counts.
 BLANK = r"[ \t\n\x0B\f\r\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -46,9 +48,9 @@ def truncated_words(c: Column, n: int) -> Column:
     return F.when(F.length(c) > n, F.concat(cut, F.lit("..."))).otherwise(c)
 
 
-@F.udf("string")
-def nfkc(text: str | None) -> str | None:
-    return unicodedata.normalize("NFKC", text) if text is not None else None
+@F.pandas_udf(StringType())
+def nfkc(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
 def slug(c: Column) -> Column:

@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed value: the declarations that set text vertically.
 VERTICAL = ("writing-mode", "-webkit-writing-mode", "-epub-writing-mode")
@@ -90,6 +91,6 @@ def markdown_html(markdown: str | None) -> str | None:
     return "\n".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def to_html(markdown: pd.Series) -> pd.Series:
     return markdown.map(markdown_html)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import n_tokens, strip
 
@@ -78,7 +79,7 @@ def json_in(answer: str | None) -> str | None:
     return text if text.startswith("{") else last_object(text) or text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def recovered_json(answers: pd.Series) -> pd.Series:
     return answers.map(json_in)
 

@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .components import components, kept
 
@@ -45,7 +46,7 @@ def similarity_of(a: str | None, b: str | None) -> float:
     return 1.0 if x == y else max(jaro_winkler(x, y), jaro_winkler(x[::-1], y[::-1]))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity_of(x, y) for x, y in zip(a, b)])
 
