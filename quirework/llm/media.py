@@ -14,6 +14,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -238,19 +239,13 @@ def carve(records: DataFrame, column: str, declared: str) -> DataFrame:
     Null bytes give a null type and no media; empty bytes the unknown type.  Columns of these
     names are replaced.
     """
-    schema = "corrected_type string,media array<struct<type:string,offset:long,length:long>>"
-
-    @F.pandas_udf("struct<" + schema.replace(" ", ":", 1).replace(",media ", ",media:") + ">")
-    def sniff(it: Iterator) -> Iterator:
-        import pandas as pd
-
-        sniffer = Sniffer()
-        for data, said in it:
-            rows = []
-            for d, s in zip(data, said):
-                spans = sniffer.spans(d) if d is not None else []
-                rows.append((sniffer.corrected(s, spans, len(d)) if d is not None else None, [{"type": k, "offset": a, "length": n} for k, a, n in spans]))
-            yield pd.DataFrame(rows, columns=["corrected_type", "media"])
+    @F.pandas_udf("struct<corrected_type:string,media:array<struct<type:string,offset:long,length:long>>>")
+    def sniff(data: pd.Series, said: pd.Series) -> pd.DataFrame:
+        sniffer, rows = Sniffer(), []
+        for d, s in zip(data, said):
+            spans = sniffer.spans(d) if d is not None else []
+            rows.append((sniffer.corrected(s, spans, len(d)) if d is not None else None, [{"type": k, "offset": a, "length": n} for k, a, n in spans]))
+        return pd.DataFrame(rows, columns=["corrected_type", "media"])
 
     bounded_batches(records.sparkSession)
     found = sniff(F.col(column), F.col(declared))

@@ -22,6 +22,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -200,33 +201,33 @@ def duplicate_units(docs: DataFrame) -> DataFrame:
     )
 
 
+def without_units(text: str | None, gone: set[int]) -> str | None:
+    """The text without the paragraphs and sentences of these numbers (as in ``units``)."""
+    if text is None:
+        return None
+    lines, unit = [], 0
+    for line in text.split("\n"):
+        if not line.split():
+            lines.append(line)
+            continue
+        here, unit = unit, unit + 1
+        sentences = SENTENCE_END.split(line)
+        if len(sentences) > 1:
+            if any(unit + k in gone for k in range(len(sentences))):
+                line = " ".join(s for k, s in enumerate(sentences) if unit + k not in gone)
+            unit += len(sentences)
+        if here not in gone:
+            lines.append(line)
+    return "\n".join(lines)
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """All rows and columns of ``docs`` with the removed units cut out of ``text`` (null texts stay null)."""
     dup = duplicate_units(docs).where("removed").groupBy("doc_id").agg(F.collect_set(F.struct("level", "unit")).alias("_cut"))
 
     @F.pandas_udf("string")
-    def cut(it: Iterator) -> Iterator:
-        import pandas as pd
-
-        for texts, cuts in it:
-            out = []
-            for text, gone in zip(texts, cuts):
-                gone = {int(c["unit"]) for c in gone} if gone is not None else set()
-                lines, unit = [], 0
-                for line in text.split("\n") if text is not None else []:
-                    if not line.split():
-                        lines.append(line)
-                        continue
-                    here, unit = unit, unit + 1
-                    sentences = SENTENCE_END.split(line)
-                    if len(sentences) > 1:
-                        if any(unit + k in gone for k in range(len(sentences))):
-                            line = " ".join(s for k, s in enumerate(sentences) if unit + k not in gone)
-                        unit += len(sentences)
-                    if here not in gone:
-                        lines.append(line)
-                out.append("\n".join(lines) if text is not None else None)
-            yield pd.Series(out)
+    def cut(texts: pd.Series, cuts: pd.Series) -> pd.Series:
+        return pd.Series([without_units(t, {int(c["unit"]) for c in gone} if gone is not None else set()) for t, gone in zip(texts, cuts)])
 
     bounded_batches(docs.sparkSession)
     return docs.drop("_cut").join(dup, "doc_id", "left").withColumn("text", cut(F.col("text"), F.col("_cut"))).drop("_cut")
