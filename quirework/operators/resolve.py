@@ -225,6 +225,6 @@ def resolve(entities: DataFrame, candidates: Callable[[DataFrame], DataFrame], j
             break
         step = components(accepted)
         entities = kept(merged(entities, step).withColumn("ord", F.col("first_seen")))
-        old = total.join(step.withColumnsRenamed({"node": "component", "component": "next"}), "component", "left").select("node", F.coalesce("next", "component").alias("component"))
+        old = total.join(step.select(F.col("node").alias("component"), F.col("component").alias("next")), "component", "left").select("node", F.coalesce("next", "component").alias("component"))
         total = kept(old.unionByName(step.join(old.select("node"), "node", "left_anti")))
     return entities, total

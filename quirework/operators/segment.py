@@ -42,7 +42,8 @@ def block_array(text: Column, c: Chunking = Chunking()) -> Column:
     is one row throughout and nothing is shuffled.  Headings and rules are blocks of their own.
     """
     lines = F.regexp_replace(text, f"{BLANK[:-1].replace(chr(92) + 'n', '')}]+(?=\n|$)", "")
-    own = F.regexp_replace(lines, rf"(?m)^([ \t\x{{3000}}\x{{A0}}]*#.*|{HR[1:-1]})$", f"{MARK}$1{MARK}")
+    within = r"[ \t\x0B\f\r\x{A0}\x{3000}]*"  # never over the end of a line
+    own = F.regexp_replace(lines, rf"(?m)^({within}#.*|{within}[-*_](?:{within}[-*_]){{2,}}{within})$", f"{MARK}$1{MARK}")
     parts = F.split(F.regexp_replace(own, "\n{2,}", MARK), f"\n?{MARK}+\n?")
     blocks = F.filter(F.transform(parts, lambda p: F.regexp_replace(p, "^\n+|\n+$", "")), lambda p: F.length(strip(p)) > 0)
     scene = "|".join(f"(?:{p.replace(chr(92) + 's', '[ \t\x0b\f\r\n\x85\xa0　]')})" for p in c.scene_breaks)
