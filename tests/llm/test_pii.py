@@ -1,0 +1,94 @@
+"""Pseudonyms: a plain Python version of the maps, validity, one-to-one maps, linking."""
+
+import datetime
+import hashlib
+import re
+
+from pyspark.sql import functions as F
+
+from quirework.llm import pii
+
+KEY = pii.KEY
+
+
+def mark(tweak, r, x, mod):
+    return int(hashlib.sha256(f"{KEY}:{tweak}:{r}:{x}".encode()).hexdigest()[:15], 16) % mod
+
+
+def feistel(v, a, b, tweak):
+    x, y = divmod(v, b)
+    for r in range(1, pii.ROUNDS + 1):
+        if r % 2 == 0:
+            x = (x + mark(tweak, r, y, a)) % a
+        else:
+            y = (y + mark(tweak, r, x, b)) % b
+    return x * b + y
+
+
+def decimal(d, tweak):
+    n = len(d)
+    return str(feistel(int(d), 10 ** (n // 2), 10 ** (n - n // 2), f"{tweak}{n}")).zfill(n)
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * 2, 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10
+
+
+def new_text(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r for r in pii.pii_documents(df).collect()}
+
+
+def test_numbers_keep_their_format(spark):
+    card, ip, phone, ssn = "4111 1111 1111 1111", "10.2.3.255", "+1 (743) 555-3824", "123-45-6789"
+    text = f"card {card}; at {ip}. Call {phone}, or 030-123-4567. ssn {ssn}"
+    out = new_text(spark, text, f"{ip} and again {ip}, 4111111111111111", "4111 1111 1111 1112", "000-12-3456 666-12-3456 900-12-3456")
+    m = re.fullmatch(r"card (\d{4} \d{4} \d{4} \d{4}); at ([\d.]+)\. Call (\+1 \(\d{3}\) \d{3}-\d{4}), or (\d{3}-\d{3}-\d{4})\. ssn (\d{3}-\d{2}-\d{4})", out[0].text)
+    digits = m[1].replace(" ", "")
+    assert luhn(digits) == 0 and digits[:15] == "4" + decimal("11111111111111", "card4")
+    v = feistel((10 << 24) + (2 << 16) + (3 << 8) + 255, 65536, 65536, "ip")
+    assert m[2] == ".".join(str(v >> s & 255) for s in (24, 16, 8, 0))
+    t = feistel((743 - 200) * 8_000_000 + (555 - 200) * 10_000 + 3824, 80_000, 80_000, "phone")
+    assert m[3] == f"+1 ({t // 8_000_000 + 200}) {t // 10_000 % 800 + 200}-{t % 10_000:04d}"
+    assert m[4].replace("-", "") == "03" + decimal("01234567", "phone")
+    a = 123 - 1
+    s = feistel((a * 99 + 44) * 9999 + 6788, 88_902, 9999, "ssn")
+    area = s // 989_901
+    assert m[5] == f"{area + (2 if area >= 665 else 1):03d}-{s // 9999 % 99 + 1:02d}-{s % 9999 + 1:04d}"
+    assert out[1].text == f"{m[2]} and again {m[2]}, {digits}" and out[1].n_ip == 2 and out[1].n_card == 1
+    assert out[2].text == "4111 1111 1111 1112" and not out[2].changed
+    assert not out[3].changed
+
+
+def test_dates_names_and_credentials(spark):
+    out = new_text(spark, "born 1987-02-28 or 28.02.1987, not 2020-02-30", "due 12/31/2020", "a.B+c@x-y.example.com and A.b+c@X-Y.example.com", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"### 5')
+    day = re.fullmatch(r"born (\d{4}-\d\d-\d\d) or (\d\d\.\d\d\.\d{4}), not 2020-02-30", out[0].text)
+    d = datetime.date.fromisoformat(day[1])
+    assert d != datetime.date(1987, 2, 28) and 1800 <= d.year < 2100 and day[2] == d.strftime("%d.%m.%Y")
+    datetime.datetime.strptime(re.fullmatch("due (.*)", out[1].text)[1], "%m/%d/%Y")
+    names = re.fullmatch(r"(p[0-9a-f]{15}@d[0-9a-f]{7}\.example) and (p[0-9a-f]{15}@d[0-9a-f]{7}\.example)", out[2].text)
+    assert names[1] == names[2] and out[2].n_email == 2
+    assert re.fullmatch(r'token = "[0-9a-f]{40}"### 5', out[3].text) and "24be" not in out[3].text
+
+
+def test_maps_are_one_to_one(spark):
+    digits = f"cast({pii.decimal("lpad(cast(id as string), 4, '0')", "'t'", KEY)} as bigint)"
+    for sql, n in ((pii.day_map("id", KEY), pii.DAYS), (digits, 10_000)):
+        r = spark.range(n).select(F.expr(sql).alias("v")).agg(F.countDistinct("v").alias("d"), F.min("v").alias("l"), F.max("v").alias("h")).first()
+        assert (r.d, r.l, r.h) == (n, 0, n - 1)
+    last = datetime.date(1800, 1, 1) + datetime.timedelta(days=pii.DAYS - 1)
+    assert last.year == 2099 and (last + datetime.timedelta(days=1)).year in (2099, 2100)
+
+
+def test_clean_and_odd_texts(spark, odd, clashing, nothing):
+    texts = ["plain words 12 and 99.5, v1.2.3, 2024 and 3.14159", "call 12-34 at 10:30, page 1234567", "é " * 50, "x" * 10, "9" * 40, "a@b", "1.2.3.4.5"]
+    assert [r.text for _, r in sorted(new_text(spark, *texts).items())] == texts
+    before = sorted(((r.doc_id, r.text) for r in odd.collect()), key=str)
+    out = pii.pseudonymise(clashing)
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == before and "block" in out.columns and dict(out.dtypes)["n_email"] == "int"
+    assert pii.pii_documents(nothing).count() == 0
+
+
+def test_other_key_other_names(spark):
+    df = spark.createDataFrame([(1, "10.2.3.4")], "doc_id long, text string")
+    assert pii.pii_documents(df, "k1").first().text != pii.pii_documents(df, "k2").first().text
