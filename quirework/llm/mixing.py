@@ -75,7 +75,7 @@ def mix(docs: DataFrame, entropy: float | None = 0.98, repeats: float | None = 4
     """All columns of ``docs`` (doc_id, source, text and others), each row as often as the mix takes it, with epoch and mix_order.
 
     ``budget`` is the mix's size as a multiple of all tokens (words of whole texts).  A source's
-    copies hold its weight's part of the budget, up to less than one document more.  Documents
+    copies hold its weight's part of the budget (to 1e-9), up to less than one document more.  Documents
     without words weigh nothing: they are in every whole epoch, and in the cut one with the block
     they are in.  Equal rows are placed alike.  Sorting by (epoch, mix_order) gives the mixed
     order.  An empty table gives no rows; columns epoch and mix_order are replaced.
@@ -102,7 +102,7 @@ def plan_mix(docs: DataFrame, entropy: float | None, repeats: float | None, budg
     z = shares.agg(F.sum(power)).first()[0] or 1.0
     weights = shares.select("source", "tokens", (power / F.lit(z)).alias("weight"), (power / F.lit(z) * F.col("total") * budget).alias("goal"), F.ceil(F.col("docs") / BLOCK_ROWS).alias("blocks"))
     whole = F.coalesce(F.floor(F.try_divide(F.col("goal"), F.col("tokens").cast("double")) + 1e-9), F.lit(1)).cast("long")
-    weights = weights.withColumn("whole", whole).select(F.col("source").alias("_source"), "weight", "whole", "blocks", F.greatest(F.lit(0.0), F.col("goal") - F.col("whole") * F.col("tokens")).alias("rest"))
+    weights = weights.withColumn("whole", whole).select(F.col("source").alias("_source"), "weight", "whole", "blocks", F.greatest(F.lit(0.0), F.col("goal") * (1 - 1e-9) - F.col("whole") * F.col("tokens")).alias("rest"))
     placed = docs.join(weights, docs["source"].eqNullSafe(weights["_source"])).drop("_source").withColumn("block", F.pmod("row", "blocks"))
     last = F.lit(f"{key}:last")
     sums = placed.groupBy("source", "block").agg(F.sum("tokens").alias("block_tokens"), F.first("rest").alias("rest"))
