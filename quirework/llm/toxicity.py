@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import bounded_batches, slices
+from .frames import bounded_batches, held_out, slices, stored
 from .grams import normal, slot, windows
 
 WIDTHS = (4, 5, 6)
@@ -58,39 +58,33 @@ class Classifier:
         return (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()
 
 
-def fit(texts: list[str | None], labels: np.ndarray, rounds: int = 150, penalty: float = 1.0) -> Classifier:
-    """Both classes weigh the same.  Without one of them every text gets a score near 0 (or, if all are toxic, near 1)."""
-    y, size = labels.astype(float), 1 << BITS
-    if not len(y) or y.min() == y.max():
-        return Classifier(np.zeros(size, np.float32), -5.0 if not len(y) or y[0] == 0 else 5.0)
-    rows = [f for at in range(0, len(texts), 200) for f in features(texts[at : at + 200])]
-    seen = np.bincount(np.concatenate([i for i, _ in rows]), minlength=size)
-    p, q = (np.bincount(np.concatenate([i for (i, _), c in zip(rows, y) if c == k]), np.concatenate([v for (_, v), c in zip(rows, y) if c == k]), size) for k in (1.0, 0.0))
-    usual = (1000 / (np.mean([len(t or "") for t in texts]) * len(WIDTHS) + SMOOTH)) ** 0.5
-    ratio = np.log((p + usual) / (p.sum() + usual * size)) - np.log((q + usual) / (q.sum() + usual * size))
-    ratio[seen < LEAST_TEXTS] = 0
-    ratio[np.argsort(-np.abs(ratio), kind="stable")[FEATURES:]] = 0
-    used = np.flatnonzero(ratio)
-    place = np.full(size, -1, np.int64)
-    place[used] = np.arange(len(used))
-    kept = [(place[i][place[i] >= 0], v[place[i] >= 0]) for i, v in rows]
-    row = np.repeat(np.arange(len(kept)), [len(i) for i, _ in kept])
-    col = np.concatenate([i for i, _ in kept])
-    x = np.concatenate([v for _, v in kept]) * ratio[used][col]
-    scale = np.sqrt(np.bincount(row, x * x, len(kept)).mean()) or 1.0
+def constant(positive: bool) -> Classifier:
+    return Classifier(np.zeros(1 << BITS, np.float32), 5.0 if positive else -5.0)
+
+
+def log_ratios(p: np.ndarray, q: np.ndarray, total_p: float, total_q: float, usual: float) -> np.ndarray:
+    """Log-count ratios of features with value sums p and q; ``usual`` is the value of one occurrence in a text of mean length."""
+    size = 1 << BITS
+    return np.log((p + usual) / (total_p + usual * size)) - np.log((q + usual) / (total_q + usual * size))
+
+
+def descend(index: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, rounds: int = 150, penalty: float = 1.0) -> tuple[np.ndarray, float]:
+    """Weights (times ratio) and bias of the penalised logistic regression; both classes weigh the same."""
+    y = labels.astype(float)
+    row, col = np.repeat(np.arange(len(index)), [len(i) for i in index]), np.concatenate(index)
+    x = np.concatenate(values) * ratio[col]
+    scale = np.sqrt(np.bincount(row, x * x, len(index)).mean()) or 1.0
     x = x / scale
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-    w, bias, speed = np.zeros(len(used)), 0.0, np.zeros(len(used) + 1)
+    w, bias, speed = np.zeros(len(ratio)), 0.0, np.zeros(len(ratio) + 1)
     for _ in range(rounds):  # gradient steps scaled by the gradients so far
-        z = np.bincount(row, x * w[col], len(kept)) + bias
-        err = share * (1 / (1 + np.exp(-z)) - y)
-        grad = np.append(np.bincount(col, x * err[row], len(used)) + penalty * w / len(kept), err.sum())
+        z = np.bincount(row, x * w[col], len(index)) + bias
+        err = share * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y)
+        grad = np.append(np.bincount(col, x * err[row], len(ratio)) + penalty * w / len(index), err.sum())
         speed += grad * grad
         step = 0.3 * grad / (np.sqrt(speed) + 1e-9)
         w, bias = w - step[:-1], bias - step[-1]
-    weights = np.zeros(size, np.float32)
-    weights[used] = w * ratio[used] / scale
-    return Classifier(weights, float(bias))
+    return w * ratio / scale, float(bias)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Classifier:
@@ -98,21 +92,60 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
 
     Of each class up to about CLASS_ROWS rows are drawn, by a hash of doc_id.  A null text counts
     as empty, a null mark is none; a document with several marks is toxic if one of them says so.
+    Without both classes every text gets a score near 0 (or, if all are toxic, near 1).  Sums are
+    made by the executors, as whole numbers so that their order is of no account; the driver gets
+    FEATURES ratios and the sample's values of those features.
     """
-    marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    bounded_batches(docs.sparkSession)
+    marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
+    if len(n) < 2:
+        return constant(1 in n)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    share = F.when(F.col("toxic") == 1, min(1.0, CLASS_ROWS / max(1, n.get(1, 0)))).otherwise(min(1.0, CLASS_ROWS / max(1, n.get(0, 0))))
+    share = F.when(F.col("toxic") == 1, min(1.0, CLASS_ROWS / n[1])).otherwise(min(1.0, CLASS_ROWS / n[0]))
     chosen = marked.where(draw < share * (1 << 30))  # at most about 2 * CLASS_ROWS rows of two numbers
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows], int))
+    sample = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"), "sample")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3, 1 << BITS), np.int64)
+        for batch in slices(batches):
+            for (i, v), c in zip(features(batch.column(0).to_pylist()), batch.column(1).to_pylist()):
+                total[1 - c, i] += np.rint(v * 1024).astype(np.int64)
+                total[2, i] += 1
+        at = np.flatnonzero(total[2])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, *total[:, at])], names=["i", "p", "q", "seen"])
+
+    counted = stored(sample.select("text", "toxic").mapInArrow(sums, "i long,p long,q long,seen long").groupBy("i").agg(*[F.sum(c).alias(c) for c in ("p", "q", "seen")]), "sums")
+    whole = counted.agg(F.sum("p").alias("p"), F.sum("q").alias("q")).first()
+    facts = sample.agg(F.avg(F.length(F.coalesce("text", F.lit("")))).alias("chars"), F.sum("toxic").alias("pos"), F.count("*").alias("n")).first()
+    if whole["p"] is None or not 0 < facts["pos"] < facts["n"]:
+        return constant(bool(facts["pos"]))
+    usual = (1000 / (facts["chars"] * len(WIDTHS) + SMOOTH)) ** 0.5
+    size = F.lit(float(usual * (1 << BITS)))
+    strength = F.abs(F.log((F.col("p") / 1024 + usual) / (whole["p"] / 1024 + size)) - F.log((F.col("q") / 1024 + usual) / (whole["q"] / 1024 + size)))
+    top = counted.where(F.col("seen") >= LEAST_TEXTS).orderBy(F.desc(F.round(strength, 9)), "i").limit(FEATURES).toPandas().sort_values("i")
+    if not len(top):
+        return constant(False)
+    used = top["i"].to_numpy(np.int64)
+    ratio = log_ratios(top["p"].to_numpy() / 1024, top["q"].to_numpy() / 1024, whole["p"] / 1024, whole["q"] / 1024, usual)
+    keep = np.zeros(1 << BITS, bool)
+    keep[used] = True
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = features(batch.column(2).to_pylist(), keep)
+            lists = [pa.array([f[k] for f in found], pa.list_(t)) for k, t in ((0, pa.int64()), (1, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "toxic", "i", "v"])
+
+    rows = sample.select("doc_id", "toxic", "text").mapInArrow(kept, "doc_id long,toxic int,i array<long>,v array<double>").toArrow().sort_by("doc_id")
+    index, values = ([np.asarray(x.values, t) for x in rows[c]] for c, t in (("i", np.int64), ("v", np.float64)))
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[used], bias = descend([np.searchsorted(used, i) for i in index], values, rows["toxic"].to_numpy(), ratio)
+    return Classifier(weights, bias)
 
 
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
     """doc_id, held_out, score and predicted of every row; null and empty texts get the bias's score, equal texts equal scores."""
-    from .frames import held_out
-
     shared = docs.sparkSession.sparkContext.broadcast(model)
     bounded_batches(docs.sparkSession)
 
