@@ -124,4 +124,4 @@ def mix_table(docs: DataFrame, **target) -> DataFrame:
     key = target.get("key", "mix")
     plan = plan_mix(tokens, target.get("entropy", 0.98), target.get("repeats", 4.0), target.get("budget", 1.0), key)
     epochs = plan.where(F.col("copies") > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)))
-    return epochs.select("doc_id", "source", F.col("tokens").alias("n_tokens"), "weight", "block", "epoch", number(F.lit(key), F.col("epoch"), F.col("row")).alias("mix_order"))
+    return epochs.select("doc_id", "source", F.col("tokens").alias("n_tokens"), F.round("weight", 9).alias("weight"), "block", "epoch", number(F.lit(key), F.col("epoch"), F.col("row")).alias("mix_order"))

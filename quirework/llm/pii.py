@@ -6,11 +6,11 @@ passes the Luhn check, an IPv4 address another address, a phone number another n
 same plan with the same country code and punctuation, a social security number another issuable
 one, a date another date of the years 1800-2099.  Each map is one-to-one and depends on the key
 and the value only, so equal values stay linked across documents and different ones apart.
-E-mail addresses and quoted credentials, which have no fixed set of valid values, get keyed
+E-mail addresses and credentials, which have no fixed set of valid values, get keyed
 one-way names instead (also the same for equal values).
 
 A text is cut at all matches of one alternation; the matches are mapped and put back between
-the pieces.  Texts without two digits in a row and without "@" are passed on as they are.
+the pieces.  Texts without a sign of any of them (MAYBE) are passed on as they are.
 """
 
 from __future__ import annotations
@@ -25,15 +25,15 @@ FIRST_DAY, DAYS = "1800-01-01", 109_572
 # The patterns of what is looked for, in the order in which they are tried.
 PATTERNS = {
     "email": r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])",
-    "secret": r"(?<=(?:token|secret|password|passwd|api_key|apikey|api-key)[\"']?\s{0,3}[=:]\s{0,3}[\"'])[A-Za-z0-9+/_=-]{16,128}(?=[\"'])",
+    "secret": r"(?:(?<=(?:token|secret|password|passwd|api_key|apikey|api-key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?=[A-Za-z+/_=-]{0,127}\d)[A-Za-z0-9+/_-][A-Za-z0-9+/_=-]{11,127}|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9]))",
     "ssn": r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "date": r"(?<![\w./-])(?:(?:18|19|20)\d{2}-\d{2}-\d{2}|\d{2}([./-])\d{2}\1(?:18|19|20)\d{2})(?![\w/-]|\.\d)",
     "card": r"(?<![\w.+-])[1-9](?:[ -]?\d){12,18}(?![\w-])",
-    "phone": r"(?<![\w+.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}([.-])\d{3}\2\d{4})(?![\w-])",
+    "phone": r"(?<![\w+.])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}([.-])\d{3}\2\d{4})(?![\w-]|\.\d)",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\w|\.\d)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-MAYBE = r"[0-9][0-9]|@|[\"'][A-Za-z0-9+/_=-]{16}|[0-9][.][0-9]"
+MAYBE = r"[0-9][0-9]|@|[0-9][.][0-9]|AKIA|token|secret|passw|api.?key"
 
 
 def quoted(x: str) -> str:
@@ -84,7 +84,8 @@ def pseudonym(key: str) -> str:
     same = struct("cast(null as string)", "m")
     name = lambda what, n: f"substr(sha2(concat_ws(':', {quoted(key)}, 'name', lower({what})), 256), 1, {n})"
     email = struct("'email'", f"concat('p', {name('m', 15)}, '@d', {name(r'''substring_index(m, '@', -1)''', 7)}, '.example')")
-    secret = struct("'secret'", f"substr(repeat(sha2(concat_ws(':', {quoted(key)}, 'secret', m), 256), 2), 1, length(m))")
+    hashed = f"sha2(concat_ws(':', {quoted(key)}, 'secret', m), 256)"
+    secret = struct("'secret'", f"case when m like 'AKIA%' then concat('AKIA', upper(substr({hashed}, 1, 16))) else substr(repeat({hashed}, 2), 1, length(m)) end")
     middle = bound(decimal("substr(d, 2, length(d) - 2)", "concat('card', substr(d, 1, 1))", key), "c", bound("concat(substr(d, 1, 1), c)", "e", f"concat(e, cast((10 - {luhn_sum('e', 0)} % 10) % 10 as string))"))
     card = f"case when {luhn_sum(d, 1)} % 10 = 0 then {struct(quoted('card'), refilled('m', middle))} else {same} end"
     area = "(cast(substr(d, 1, 3) as bigint) - case when substr(d, 1, 3) > '666' then 2 else 1 end)"

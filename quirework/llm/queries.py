@@ -72,5 +72,45 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS h FROM w),
+n AS (SELECT w.doc_id, count(h) AS n FROM w LEFT JOIN s ON s.doc_id = w.doc_id GROUP BY w.doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+r AS (SELECT a AS node, b AS far FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.far),
+c AS (SELECT node, min(far) AS least FROM r GROUP BY node), d AS (SELECT a, count(*) AS links FROM l GROUP BY a)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(least(c.least, n.doc_id), n.doc_id) AS component_id, coalesce(d.links, 0) AS n_links FROM n LEFT JOIN c ON c.node = n.doc_id LEFT JOIN d ON d.a = n.doc_id
+"""
+
+
+def number_sql(text: str) -> str:
+    return f"('0x' || substr(md5({text}), 1, 15))::BIGINT"
+
+
+def step_sql(n: int) -> str:
+    """One of the steps that narrow the exponent: the last of 65 points at which the entropy still meets the target."""
+    low = " + ".join(["0.0", *[f"(SELECT k FROM g{i}) / pow(64, {i})" for i in range(1, n)]])
+    return f"""g{n} AS (SELECT greatest(0, coalesce(min(i) FILTER (h < (SELECT 0.98 * ln(count(*)) FROM sh WHERE share > 0)), 65) - 1) AS k FROM (SELECT i, ln(sum(exp(t * ln(share)))) - sum(exp(t * ln(share)) * t * ln(share)) / sum(exp(t * ln(share))) AS h
+  FROM (SELECT i, ({low}) + i / pow(64, {n}) AS t, share FROM sh, (SELECT unnest(range(65)) AS i) WHERE share > 0) GROUP BY i))"""
+
+
+OP4_SQL = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens FROM documents),
+r AS (SELECT *, {number_sql("'mix:' || doc_id || ':' || tokens")} AS row FROM d),
+sh AS (SELECT source, count(*) AS docs, sum(tokens)::BIGINT AS tokens, sum(tokens) / (SELECT sum(tokens) FROM d) AS share FROM d GROUP BY source),
+{step_sql(1)}, {step_sql(2)}, {step_sql(3)}, {step_sql(4)},
+e AS (SELECT CASE WHEN (SELECT k FROM g1) = 64 THEN 1.0 ELSE (SELECT k FROM g1) / 64.0 + (SELECT k FROM g2) / pow(64, 2) + (SELECT k FROM g3) / pow(64, 3) + (SELECT k FROM g4) / pow(64, 4) END AS t),
+w AS (SELECT source, tokens, docs, exp(t * ln(share)) / (SELECT sum(exp((SELECT t FROM e) * ln(share))) FROM sh) AS weight FROM sh, e),
+b AS (SELECT source, weight, ceil(docs / 512.0)::BIGINT AS blocks, tokens AS all_tokens, weight * (SELECT sum(tokens) FROM d) AS goal, floor(weight * (SELECT sum(tokens) FROM d) / tokens + 1e-9)::BIGINT AS whole FROM w),
+x AS (SELECT r.*, weight, whole, greatest(0.0, goal * (1 - 1e-9) - whole * all_tokens) AS rest, row % blocks AS block FROM r JOIN b USING (source)),
+s AS (SELECT source, block, sum(tokens) AS bt, any_value(rest) AS rest FROM x GROUP BY source, block),
+c AS (SELECT source, block, bt, sum(bt) OVER (PARTITION BY source ORDER BY {number_sql("'mix:last:' || block")}, block) - bt AS before FROM s),
+y AS (SELECT x.*, c.before, c.before < x.rest AS begun, c.before + bt <= x.rest AS full_, sum(x.tokens) OVER (PARTITION BY x.source, x.block ORDER BY {number_sql("'mix:last:' || row")}) - x.tokens AS upto FROM x JOIN c ON c.source = x.source AND c.block = x.block),
+z AS (SELECT *, whole + CASE WHEN begun AND full_ THEN 1 WHEN begun AND before + upto < rest THEN 1 ELSE 0 END AS copies FROM y)
+SELECT doc_id, source, tokens AS n_tokens, round(weight, 9) AS weight, block, epoch::INTEGER AS epoch, {number_sql("'mix:' || epoch || ':' || row")} AS mix_order FROM (SELECT *, unnest(range(copies)) AS epoch FROM z)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mixing": OP4_SQL, "op5_ngram_join": OP5_SQL}
