@@ -28,7 +28,7 @@ PATTERNS = {
     "secret": r"(?:(?<=(?:token|secret|password|passwd|api_key|apikey|api-key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?=[A-Za-z+/_=-]{0,127}\d)[A-Za-z0-9+/_-][A-Za-z0-9+/_=-]{11,127}|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9]))",
     "ssn": r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "date": r"(?<![\w./-])(?:(?:18|19|20)\d{2}-\d{2}-\d{2}|\d{2}([./-])\d{2}\1(?:18|19|20)\d{2})(?![\w/-]|\.\d)",
-    "card": r"(?<![\w.+-])[1-9](?:[ -]?\d){12,18}(?![\w-])",
+    "card": r"(?<![\w.+-])(?:[1-9]\d{12,18}|[1-9]\d{3}(?:[ -]\d{4}){3}|3\d{3}[ -]\d{6}[ -]\d{5})(?![\w-])",
     "phone": r"(?<![\w+.])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}([.-])\d{3}\2\d{4})(?![\w-]|\.\d)",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\w|\.\d)",
 }

@@ -93,8 +93,8 @@ def test_clean_and_odd_texts(spark, odd, clashing, nothing):
 
 
 def test_neighbours_stay_apart(spark):
-    r = new_text(spark, "+1 (743) 555-3824 12.65.93.188 4111111111111111 a@b.example.com")[0]
-    assert (r.n_phone, r.n_ip, r.n_card, r.n_email) == (1, 1, 1, 1)
+    r = new_text(spark, "+1 (743) 555-3824 12.65.93.188 4111111111111111 27.65.93.188 a@b.example.com")[0]
+    assert (r.n_phone, r.n_ip, r.n_card, r.n_email) == (1, 2, 1, 1)
 
 
 def test_other_key_other_names(spark):
