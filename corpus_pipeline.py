@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from quirework.llm import byte_bpe, language, mixing, ngram_join, pii
 from quirework.llm.frames import documents, stored
 
+#: Shingles of five words, and a Jaccard index of 0.8 or more.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 #: Part of a text's n-grams that its language must know.
 LEAST_COVERAGE = 0.25
 
@@ -29,7 +31,7 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays; of rows with one doc_id one, rows without doc_id all."""
-    groups = ngram_join.join_documents(docs)
+    groups = ngram_join.join_documents(docs, NEAR_WORDS, NEAR_PERCENT)
     keep = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     named = docs.where(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

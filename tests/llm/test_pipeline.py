@@ -25,7 +25,7 @@ def test_stages(spark, odd):
             assert steps[-1].columns == docs.columns
     kept = {r.doc_id for r in steps[1].collect()}
     assert {r.doc_id for r in documents(spark, D).collect()} <= kept and not kept & {10_000_003, 10_000_005, 10_000_008, 10_000_011}
-    groups = {r.doc_id: r.component_id for r in ngram_join.join_documents(steps[1]).collect()}
+    groups = {r.doc_id: r.component_id for r in ngram_join.join_documents(steps[1], 5, 80).collect()}
     left = sorted(r.doc_id for r in steps[2].collect())
     assert left == sorted({c for c in groups.values()})
     assert sorted(r.doc_id for r in steps[3].collect()) == left
