@@ -16,8 +16,10 @@ there are shuffle partitions) are summed up on reading.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,20 @@ SHARD_IDS = 1 << 20
 SAMPLE = 256
 #: Parts of a data set at most, whose quantiles and totals pass through the driver.
 MAX_PARTS = 8192
-MAX_WORDS = 600_000
+MAX_WORDS = 250_000
+PLAIN = re.compile(r"[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F]+")
+# Fixed value: how the vocabulary file splits words, for ASCII and the Latin letters of PLAIN.
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u017F]+|[0-9]|[^\sa-z0-9\u00DF-\u00F6\u00F8-\u017F]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself, the others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTES = "".join(c for _, c in sorted(byte_letters().items()))
 
 
 class EliasFano:
@@ -128,29 +143,58 @@ class Shard:
 
 
 class Words(dict):
-    """Memo from a run without ASCII white space, which the tokenizer never joins to another, to its ids as bytes; two generations."""
+    """Memo from a run without ASCII white space, which the tokenizer never joins to another, to its ids as bytes.
+
+    A run of printable ASCII characters and composed Latin letters is lower-cased and cut as the
+    tokenizer does it, and its pieces, of which there are fewer, are looked up; a new piece goes, as
+    byte letters, to the tokenizer's model.  Other runs go to the whole tokenizer.  Both memos have two generations: what was not asked for since the last turn goes.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        self.code = {2: "H", 4: "I"}[int(self.kind[-1])]  # native order; the files are little endian
         self.before: dict[bytes, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        words = text.encode("utf-8", "replace").split()
-        new = [w for w in {*words} if w not in self]
-        if new:
-            if len(self) + len(new) > MAX_WORDS:
-                self.before = dict(self) if len(self) <= MAX_WORDS else {}
+        self.pieces = Pieces(self)
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            text = word.decode()
+            if PLAIN.fullmatch(text) and "<|" not in text:
+                ids = b"".join(map(self.pieces.__getitem__, PIECE.findall(text.lower())))
+            else:
+                ids = array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(word) < 200:
+            if len(self) >= MAX_WORDS:
+                self.before = dict(self)
                 self.clear()
-                new = [*{*words}]
-            ask = [w for w in new if w not in self.before]
-            self.update((w, self.before[w]) for w in new if w in self.before)
-            for w, e in zip(ask, self.tokenizer.encode_batch([w.decode() for w in ask], add_special_tokens=False)):
-                self[w] = np.array(e.ids, self.kind).tobytes()
-        return b"".join(map(self.__getitem__, words))
+            self[word] = ids
+        return ids
+
+    def encode(self, text: str | None) -> bytes:
+        return b"".join(map(self.__getitem__, (text or "").encode("utf-8", "replace").split()))
+
+
+class Pieces(dict):
+    """Memo of the pieces."""
+
+    def __init__(self, words: Words):
+        self.words, self.before = words, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = array(self.words.code, [t.id for t in self.words.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTES))]).tobytes()
+        if len(self) >= MAX_WORDS:
+            self.before = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
 
 
 _WORDS: dict[str, Words] = {}
@@ -176,7 +220,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         for batch in slices(batches):
             doc, text = batch.columns
             part = np.searchsorted(bounds, doc.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "right").astype(np.int32)
-            ids = [words.encode(t or "") + end for t in text.to_pylist()]
+            ids = [words.encode(t) + end for t in text.to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(part), doc, pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -97,8 +97,8 @@ def test_small_space():
 def test_words_as_the_library():
     words, library = token_files.Words(WORDS), Tokenizer.from_file(WORDS)
     rng = random.Random(3)
-    texts = ["".join(rng.choice(PIECES + ["B", "..", "''t", "x'D", "３"]) for _ in range(rng.randint(0, 20))) for _ in range(4000)]
-    got = [np.frombuffer(x, words.kind).tolist() for x in words.encode(texts)]
+    texts = ["".join(rng.choice(PIECES + ["B", "..", "''t", "x'D", "３", "Çà", "ß", "ẞ", "×", "÷", "ŉ", "ſ", "ø", "e\u0301", "Œuf", "ĸ", "ª", "º", "µ"]) for _ in range(rng.randint(0, 20))) for _ in range(4000)]
+    got = [np.frombuffer(words.encode(t), words.kind).tolist() for t in texts]
     assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
