@@ -93,6 +93,20 @@ def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max(F.struct(order, *[c for c in columns if c != order])).alias("_l")).select(*keys, *[F.col(f"_l.{c}").alias(c) for c in columns])
 
 
+def glossary_block(relevant: DataFrame, chunk: str) -> DataFrame:
+    """(chunk, glossary): a chunk's entities by category, categories and entities in the order of ``ord``.
+
+    relevant: chunk, ord, category, name, forms, summary, notes, speech_style; speech is shown for characters.
+    """
+    about = F.coalesce(F.when(F.length("summary") > 0, F.col("summary")), F.col("notes"), F.lit(""))
+    head = F.concat(F.lit("- "), F.col("name"), F.when(F.length(about) > 0, F.concat(F.lit(": "), about)).otherwise(""))
+    speech = F.when((F.col("category") == "character") & (F.length("speech_style") > 0), F.concat(F.lit("  speech: "), F.col("speech_style")))
+    entry = F.concat_ws("\n", head, F.when(F.size("forms") > 0, F.concat(F.lit("  forms: "), F.array_join("forms", ", "))), speech)
+    by = relevant.groupBy(chunk, "category").agg(F.min("ord").alias("o"), F.array_sort(F.collect_list(F.struct("ord", entry.alias("e")))).alias("l"))
+    part = F.concat(F.lit("## "), F.col("category"), F.lit("\n"), F.array_join(F.transform("l", lambda x: x["e"]), "\n"))
+    return by.groupBy(chunk).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", part.alias("p")))), lambda x: x["p"]), "\n\n").alias("glossary"))
+
+
 def glossary_text(entities: DataFrame, category: str, name: str, note: str, rank: dict[str, int]) -> DataFrame:
     """One row: entries by category in the given order (others after it, by name), alphabetical without regard to case."""
     order = F.coalesce(F.create_map(*[F.lit(x) for kv in rank.items() for x in kv])[F.col(category)], F.lit(len(rank))) if rank else F.lit(0)

@@ -200,11 +200,52 @@ def merged(entities: DataFrame, remap: DataFrame) -> DataFrame:
 
 def remapped(pairs: DataFrame, remap: DataFrame) -> DataFrame:
     """Pairs between survivors; pairs that have become one entity go."""
-    m = remap.select("node", "component")
-    a = pairs.join(m.withColumnsRenamed({"node": "a", "component": "ra"}), "a", "left").join(m.withColumnsRenamed({"node": "b", "component": "rb"}), "b", "left")
+    ends = [remap.select(F.col("node").alias(c), F.col("component").alias(f"r{c}")) for c in "ab"]
+    a = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left")
     return ordered(a.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
 
 
+def embedding_text(category: Column, name: Column, sources: Column, translations: Column, summary: Column, hints: Column) -> Column:
+    """What an entity's vector is made from: its parts that are not empty, parted by '. '."""
+    join = lambda c: F.array_join(F.filter(c, lambda x: F.length(x) > 0), ", ")
+    parts = F.array(category, name, join(sources), join(translations), summary, join(hints))
+    return F.array_join(F.filter(parts, lambda x: F.length(x) > 0), ". ")
+
+
+def remapped_conflicts(conflicts: DataFrame, remap: DataFrame) -> DataFrame:
+    """Conflicts (entity_id, current_translation, alternatives) by survivor: its own translation stays, the others' are alternatives."""
+    m = remap.select(F.col("node").alias("entity_id"), "component")
+    rows = conflicts.join(m, "entity_id", "left").withColumn("root", F.coalesce("component", "entity_id"))
+    l = F.array_sort(F.collect_list(F.struct((F.col("entity_id") != F.col("root")).alias("absorbed"), "entity_id", "current_translation", "alternatives")))  # noqa: E741
+    by = rows.groupBy("root").agg(l.alias("l"))
+    current = F.get("l", F.lit(0))["current_translation"]
+    every = F.array_distinct(F.flatten(F.transform("l", lambda x: F.concat(F.array(x["current_translation"]), x["alternatives"]))))
+    return by.select(F.col("root").alias("entity_id"), current.alias("current_translation"), F.filter(every, lambda x: x != current).alias("alternatives"))
+
+
+def prompt_text(name: Column, category: Column, forms: Column, aliases: Column, summary: Column) -> Column:
+    """An entity as shown to a judge of pairs."""
+    line = lambda label, c: F.when(F.length(c) > 0, F.concat(F.lit(f"{label}: "), c))
+    return F.concat_ws("\n", F.concat(name, F.lit(" ("), category, F.lit(")")), line("forms", F.array_join(forms, ", ")), line("aliases", F.array_join(aliases, ", ")), line("summary", summary))
+
+
+def decided(decisions: DataFrame, remap: DataFrame) -> DataFrame:
+    """Decisions (a, b, same_entity, preferred) between survivors: pairs to merge and the one that is to survive (a if the preferred one is neither)."""
+    m = remap.select("node", "component")
+    rows = decisions.where("same_entity").join(m.select(F.col("node").alias("a"), F.col("component").alias("ra")), "a", "left").join(m.select(F.col("node").alias("b"), F.col("component").alias("rb")), "b", "left")
+    x, y = F.coalesce("ra", "a"), F.coalesce("rb", "b")
+    kept_one = F.when(F.col("preferred") == F.col("b"), y).otherwise(x)
+    return rows.select(x.alias("a"), y.alias("b"), kept_one.alias("survivor")).where(F.col("a") != F.col("b")).distinct()
+
+
+def report(rounds: DataFrame) -> DataFrame:
+    """One row: a report of merges.  rounds: round, tier, n_pairs, n_merged."""
+    head = F.lit("| round | tier | pairs | merged |\n| --- | --- | --- | --- |\n")
+    line = F.format_string("| %d | %s | %d | %d |", "round", "tier", "n_pairs", "n_merged")
+    listed = F.array_sort(F.collect_list(F.struct("round", "tier", line.alias("l"))))
+    return rounds.groupBy().agg(F.concat(head, F.array_join(F.transform(listed, lambda x: x["l"]), "\n")).alias("markdown"))
+
+
 def resolve(entities: DataFrame, candidates: Callable[[DataFrame], DataFrame], judge: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 3, embeddings: bool = False) -> tuple[DataFrame, DataFrame]:
     """Merge until nothing changes, at most ``rounds`` times: (entities, remap).
 
