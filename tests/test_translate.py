@@ -7,22 +7,24 @@ from quirework.plans.translate import translate, window
 CHUNKS = "book_id string, spine_index int, chunk_index int, chunk_id string, text string, classification string, status string, summary string"
 
 
-def echo():
-    seen = []
+def echoing():
+    """A factory that executors can read without this module."""
 
-    def call(messages):
-        seen.append(messages)
-        if "hard" in messages[-1]["content"] and "Mend" not in messages[-1]["content"]:
-            return "no end mark"
-        return f"hm {len(messages)}</analysis>" + messages[-1]["content"].split("\n")[0].upper()
+    def echo():
+        def call(messages):
+            if "hard" in messages[-1]["content"] and "Mend" not in messages[-1]["content"]:
+                return "no end mark"
+            return f"hm {len(messages)}</analysis>" + messages[-1]["content"].split("\n")[0].upper()
 
-    return call
+        return call
+
+    return echo
 
 
 def test_chunks_in_order_with_context(spark):
     rows = [("b", 0, 1, "0000.001", "a cat sat", "chapter", "completed", "sum one"), ("b", 0, 2, "0000.002", "hard dog ran", "chapter", "pending", None), ("b", 1, 1, "0001.001", "the cat", "toc_auto", "pending", None)]
     forms = spark.createDataFrame([("b", "cat", "cat = KAT"), ("b", "bird", "bird = B")], "book_id string, source string, line string")
-    got = translate(spark.createDataFrame(rows, CHUNKS), forms, echo, None, lambda: lambda m: "short", Translation(qa_retries=2)).orderBy("chunk_id", "attempt").collect()
+    got = translate(spark.createDataFrame(rows, CHUNKS), forms, echoing(), None, lambda: lambda m: "short", Translation(qa_retries=2)).orderBy("chunk_id", "attempt").collect()
     assert [(r.chunk_id, r.attempt, r.verdict, r.selected, r.summary, r.overlap_chunk_id) for r in got] == [("0000.002", 1, "fail", False, None, "0000.001"), ("0000.002", 2, "pass", True, "short", "0000.001"), ("0001.001", 1, "pass", True, None, "0000.002")]
     assert got[2].translated_text == "THE CAT" and got[2].analysis == "hm 8"
 
@@ -31,7 +33,7 @@ def test_judge_and_last_attempt(spark):
     rows = [("b", 0, 1, "0000.001", "a b", "chapter", None, None)]
     forms = spark.createDataFrame([], "book_id string, source string, line string")
     judge = lambda: lambda m: '{"issues": [{"issue": "tone", "severity": "high"}]}'
-    got = translate(spark.createDataFrame(rows, CHUNKS), forms, echo, judge, None, Translation(qa_retries=1)).orderBy("attempt").collect()
+    got = translate(spark.createDataFrame(rows, CHUNKS), forms, echoing(), judge, None, Translation(qa_retries=1)).orderBy("attempt").collect()
     assert [(r.attempt, r.verdict, r.selected) for r in got] == [(1, "fail", False), (2, "fail", True)]
     assert window([("1", "a b c"), ("2", "d e"), ("3", "f g h i")], 5) == "f g h i" and window([("1", "a"), ("2", "b")], 5) == "a\n---\nb"
 
