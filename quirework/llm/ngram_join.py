@@ -7,8 +7,8 @@
    different hashes.  Any list of frequent tokens gives a valid order: the list only decides
    how much the filters keep, never what is found.
 3. Pairs that share an infrequent prefix token under the first order and are of fitting size are
-   intersected with those under the next, then bounded by their parity bitmaps: the Hamming
-   distance of two bitmaps is at most the size of the symmetric difference.
+   bounded by their parity bitmaps (the Hamming distance of two bitmaps is at most the size of
+   the symmetric difference), then intersected with the pairs under the other orders.
 4. Sets that share a frequent prefix token, of which there may be very many, are never paired
    as rows: they go into blocks, as do the pairs left by 3, and blocks are compared exactly.
 5. Components of the links are spread to the documents.
@@ -32,11 +32,11 @@ from .shingles import mix, shingle_sets
 WIDTH = 4
 PERCENT = 85
 ORDERS = 2
-#: Frequent tokens: at most so many, in at least one of so many documents, counted in runs of so many tokens.
-HOT_TOKENS = 1 << 16
-HOT_SHARE = 2048
+#: Frequent tokens: at most so many (16 MB), in so many documents at least; counted where a run of so many tokens holds them so often.
+HOT_TOKENS = 1 << 20
+HOT_LEAST = 24
 HOT_RUN = 3_000_000
-HOT_IN_RUN = 4
+HOT_IN_RUN = 2
 #: Digests that a task remembers so as not to emit copies again; missing some only costs work.
 REMEMBERED = 500_000
 
@@ -97,33 +97,27 @@ def most_shared(a: bytes, b: bytes, n: int) -> int:
     return (n - int(np.bitwise_count(x ^ y).sum())) // 2
 
 
-def prefixes(elements: np.ndarray, hot: np.ndarray, rank: np.ndarray, percent: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Infrequent prefix tokens under each order, and the frequent ones (the same under all orders)."""
+def prefix(elements: np.ndarray, hot: np.ndarray, rank: np.ndarray, percent: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Infrequent prefix tokens under an order, and the frequent ones (the same under all orders)."""
     n = len(elements)
     size = n - -(-percent * n // 100) + 1
     at = np.minimum(np.searchsorted(hot, elements), max(0, len(hot) - 1))
     is_hot = hot[at] == elements if len(hot) else np.zeros(n, bool)
     cold = elements[~is_hot]
-    lists = []
-    for order in range(ORDERS):
-        key = mix(cold + np.uint64(0x9E3779B97F4A7C15 * (order + 1) & (1 << 64) - 1))
-        lists.append(cold[np.argpartition(key, size - 1)[:size]] if len(cold) > size else cold)
     left = max(0, size - len(cold))
-    warm = elements[is_hot]
-    return lists, warm[np.argsort(rank[at[is_hot]], kind="stable")[:left]]
+    if len(cold) > size:
+        cold = cold[np.argpartition(mix(cold + np.uint64(0x9E3779B97F4A7C15 * (order + 1) & (1 << 64) - 1)), size - 1)[:size]]
+    return cold, elements[is_hot][np.argsort(rank[at[is_hot]], kind="stable")[:left]]
 
 
 LISTS = pa.list_(pa.int64())
 
 
-def index(docs: DataFrame, sets_of: Callable, hot: np.ndarray, rank: np.ndarray, percent: int) -> DataFrame:
-    """A row for each document with a set not yet seen in its task: digest, prefixes and bitmap."""
-    names = ["d1", "d2", *[f"p{o}" for o in range(ORDERS)], "hot", "bits"]
-    kinds = [pa.int64(), pa.int64(), *[LISTS] * ORDERS, LISTS, pa.binary()]
-    shared = docs.sparkSession.sparkContext.broadcast((hot, rank))
+def index(docs: DataFrame, sets_of: Callable, order, percent: int) -> DataFrame:
+    """A row for each document with a set not yet seen in its task: digest, prefix under the first order and bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, rank = shared.value
+        hot, rank = order.value
         seen: set[tuple[int, int]] = set()
         for batch in slices(batches):
             rows = []
@@ -132,17 +126,32 @@ def index(docs: DataFrame, sets_of: Callable, hot: np.ndarray, rank: np.ndarray,
                     continue
                 if len(seen) < REMEMBERED:
                     seen.add(d)
-                lists, warm = prefixes(s, hot, rank, percent)
-                rows.append((*d, *[x.view(np.int64) for x in lists], warm.view(np.int64), bitmap(s)))
+                cold, warm = prefix(s, hot, rank, percent, 0)
+                rows.append((*d, cold.view(np.int64), warm.view(np.int64), bitmap(s)))
             if rows:
-                yield batch_of([(c, list(v), k) for c, v, k in zip(names, zip(*rows), kinds)])
+                yield batch_of([(c, list(v), k) for c, v, k in zip(["d1", "d2", "cold", "hot", "bits"], zip(*rows), [pa.int64(), pa.int64(), LISTS, LISTS, pa.binary()])])
 
-    schema = "d1 long,d2 long," + ",".join(f"p{o} array<long>" for o in range(ORDERS)) + ",hot array<long>,bits binary"
-    return docs.select("text").mapInArrow(run, schema).dropDuplicates(["d1", "d2"])
+    return docs.select("text").mapInArrow(run, "d1 long,d2 long,cold array<long>,hot array<long>,bits binary").dropDuplicates(["d1", "d2"])
+
+
+def other_prefixes(sets: DataFrame, order, percent: int) -> DataFrame:
+    """(id, n, p1, ...): infrequent prefixes under the other orders, from sets (id, elements)."""
+    names, kinds = ["id", "n", *[f"p{o}" for o in range(1, ORDERS)]], [pa.int64(), pa.int64(), *[LISTS] * (ORDERS - 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, rank = order.value
+        for batch in slices(batches):
+            rows = []
+            for i, e in zip(*(c.to_pylist() for c in batch.columns)):
+                s = np.frombuffer(e, np.uint64)
+                rows.append((i, len(s), *[prefix(s, hot, rank, percent, o)[0].view(np.int64) for o in range(1, ORDERS)]))
+            yield batch_of([(c, list(v), k) for c, v, k in zip(names, zip(*rows), kinds)])
+
+    return sets.select("id", "elements").mapInArrow(run, "id long,n long," + ",".join(f"p{o} array<long>" for o in range(1, ORDERS)))
 
 
 def bounded_pairs(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) whose bitmaps allow the threshold."""
+    """Those of the pairs (a, b, na, nb) whose bitmaps allow the threshold, as (a, b)."""
     rows = pairs.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("id").alias("b"), F.col("bits").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,37 +219,37 @@ def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     rows = seen.where(F.col("kind") == 0)
     classes = rows.where(F.col("n") > 0).groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("size"))
     classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    least = max(16, rows.count() // HOT_SHARE)
-    top = seen.where(F.col("kind") == 1).groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "id").limit(HOT_TOKENS).toPandas()
+    top = seen.where(F.col("kind") == 1).groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "id").limit(HOT_TOKENS).toPandas()
     tokens, counts = top["id"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    order = np.argsort(tokens)
-    hot, rank = tokens[order], counts[order]
-    signed = index(docs, sets_of, hot, rank, percent).join(classes.select("d1", "d2", "id", "n"), ["d1", "d2"]).drop("d1", "d2")
-    sets = stored(signed, "index")
-
-    pairs = stored(sharing(sets.select(F.explode("p0").alias("token"), "id", "n"), percent), "pairs")
+    by_token = np.argsort(tokens)
+    order = docs.sparkSession.sparkContext.broadcast((tokens[by_token], counts[by_token]))
+    entries = stored(index(docs, sets_of, order, percent).join(classes.select("d1", "d2", "id", "n"), ["d1", "d2"]).drop("d1", "d2"), "index")
+
+    met = sharing(entries.select(F.explode("cold").alias("token"), "id", "n"), percent)
+    pairs = stored(bounded_pairs(met, entries.select("id", "bits"), percent), "pairs")
+    warm = entries.where(F.size("hot") > 0).select("id", "n", "hot", F.element_at("hot", 1).alias("group"))
+    paired = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    concerned = stored(paired.unionByName(warm.select("id")).distinct().join(classes.select("id", "d1", "d2"), "id"), "concerned")
+    sets = stored(active_sets(docs, sets_of, concerned), "sets")
+    marks = stored(other_prefixes(sets.join(paired, "id", "left_semi"), order, percent), "marks")
+    near = pairs
     for o in range(1, ORDERS):
-        concerned = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        some = sets.join(concerned, "id", "left_semi")
-        again = sharing(some.select(F.explode(f"p{o}").alias("token"), "id", "n"), percent).select("a", "b")
-        warm = some.where(F.size("hot") > 0).select("id")  # these may share a frequent token under this order
-        both = pairs.join(warm.select(F.col("id").alias("a")), "a", "left_semi").join(warm.select(F.col("id").alias("b")), "b", "left_semi")
-        pairs = pairs.join(again.unionByName(both.select("a", "b")).distinct(), ["a", "b"], "left_semi")
-    near = stored(bounded_pairs(pairs, sets.select("id", "bits"), percent), "near")
-
-    warm = sets.where(F.size("hot") > 0).select("id", "n", "hot", F.element_at("hot", 1).alias("group"))
+        again = sharing(marks.select(F.explode(f"p{o}").alias("token"), "id", "n"), percent).select("a", "b")
+        # two sets that both reach the frequent tokens may share one of those under this order
+        both = near.join(warm.select(F.col("id").alias("a")), "a", "left_semi").join(warm.select(F.col("id").alias("b")), "b", "left_semi")
+        near = near.join(again.unionByName(both.select("a", "b")).distinct(), ["a", "b"], "left_semi")
+    near = stored(near, "near")
+
     cold = near.select(F.col("a").alias("id"), "b").unionByName(near.select(F.col("b").alias("id"), F.col("a").alias("b"))).groupBy("id").agg(F.least(F.col("id"), F.min("b")).alias("group"))
-    cold = cold.join(warm.select("id"), "id", "left_anti").join(sets.select("id", "n"), "id").select("id", "n", F.xxhash64("group").alias("group"))
-    members = stored(block_of(warm.select("id", "n", "group").unionByName(cold), "group", "id", "n").join(classes.select("id", "size", "d1", "d2"), "id"), "members")
+    cold = cold.join(warm.select("id"), "id", "left_anti").join(classes.select("id", "n"), "id").select("id", "n", F.xxhash64("group").alias("group"))
+    members = stored(block_of(warm.select("id", "n", "group").unionByName(cold), "group", "id", "n").join(classes.select("id", "size"), "id"), "members")
     place = members.select("id", "block")
-    by_token = warm.select("id", F.explode("hot").alias("token")).join(place, "id").select("token", "block").distinct()
-    met = by_token.join(by_token.withColumnRenamed("block", "other"), "token").where(F.col("block") <= F.col("other")).select(F.col("block").alias("p"), F.col("other").alias("q"))
-    paired = near.join(place.select(F.col("id").alias("a"), F.col("block").alias("x")), "a").join(place.select(F.col("id").alias("b"), F.col("block").alias("y")), "b")
-    items = stored(met.unionByName(paired.select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"))).distinct(), "items")
-    in_items = items.select(F.explode(F.array("p", "q")).alias("block")).distinct()
-    members = members.join(in_items, "block", "left_semi")
-
-    found = stored(compare(items, members.select("id", "block", "size"), active_sets(docs, sets_of, members.select("id", "d1", "d2")), percent), "links")
+    placed = warm.select("id", F.explode("hot").alias("token")).join(place, "id").select("token", "block").distinct()
+    met = placed.join(placed.withColumnRenamed("block", "other"), "token").where(F.col("block") <= F.col("other")).select(F.col("block").alias("p"), F.col("other").alias("q"))
+    ends = near.join(place.select(F.col("id").alias("a"), F.col("block").alias("x")), "a").join(place.select(F.col("id").alias("b"), F.col("block").alias("y")), "b")
+    items = stored(met.unionByName(ends.select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"))).distinct(), "items")
+
+    found = stored(compare(items, members.select("id", "block", "size"), sets, percent), "links")
     linked = components(found.where(F.col("kind") == 0).select("a", "b"))
     degree = found.where(F.col("kind") == 1).groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("links"))
     reps = linked.select(F.col("node").alias("id"), "component").join(classes.select("id", "rep"), "id")
