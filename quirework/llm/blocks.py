@@ -25,7 +25,9 @@ BLOCK_ELEMENTS = 300_000
 def block_of(members: DataFrame, group: str, key: str, elements: str) -> DataFrame:
     """``members`` with ``block``: the sets of a group dealt by a hash into blocks of bounded size."""
     sizes = members.groupBy(group).agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(elements) / BLOCK_ELEMENTS), F.lit(1)).alias("_k"))
-    return members.join(sizes, group).withColumn("block", F.xxhash64(group, F.pmod(F.xxhash64(key), "_k"))).drop("_k")
+    several = sizes.where(F.col("_k") > 1)  # few: one for each BLOCK_SETS sets at most
+    part = F.pmod(F.xxhash64(key), F.coalesce("_k", F.lit(1)))
+    return members.join(several, group, "left").withColumn("block", F.xxhash64(group, part)).drop("_k")
 
 
 def item_pairs(blocks_a: str, blocks_b: str, of: DataFrame) -> DataFrame:
