@@ -30,8 +30,8 @@ from .frames import per_document
 #: White space as the pattern's \s has it (the Unicode property White_Space).
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SEGMENT = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
-MAX_STATES = 150_000
-MAX_SEGMENTS = 250_000
+MAX_STATES = 100_000
+MAX_SEGMENTS = 150_000
 NEVER = 1 << 60
 
 
@@ -89,7 +89,7 @@ class Transducer:
         key = (left, right)
         if (known := self.pairs.get(key)) is None:
             known = self.merged(left + right) == ([left, right] if left else [right])
-            if len(self.pairs) > 4 * MAX_STATES:
+            if len(self.pairs) > MAX_STATES:
                 self.pairs.clear()
             self.pairs[key] = known
         return known

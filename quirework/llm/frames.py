@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a batch handed to Python are sliced further so that one slice holds about this many bytes.
-SLICE_BYTES = 8 << 20
+#: Bytes of a batch handed to Python, about, and of the slices that are worked on at a time: numpy's intermediate arrays are 8 bytes and more for each byte of text.
+BATCH_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def stored(df: DataFrame, name: str = "table", mode: str = "zstd") -> DataFrame:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small however long the texts are."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * SLICE_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
