@@ -7,7 +7,8 @@ exactly, in blocks (blocks.py), and linked at a Jaccard index of 0.8 or more.  E
 one entry throughout, so a line in a third of all documents is one row of the bands.
 
 A passage may also stand in the middle of a paragraph, between other sentences.  The sentences of
-SENTENCE_WORDS words or more are therefore clustered too, by equality.
+SENTENCE_WORDS words or more are therefore clustered too, by equality; those of removed paragraphs
+take no part, those of paragraphs that stay do.
 
 Components of the links, and classes of equal sentences, are clusters; the first occurrence, by
 (doc_id, unit), stays, the others are removals.  A duplicate sentence counts if its run of
@@ -67,40 +68,41 @@ def signatures(sets: list[np.ndarray], bands: int, rows: int = ROWS) -> np.ndarr
     return out
 
 
-def units(text: str | None) -> list[tuple[int, int, int, int, bytes]]:
-    """(level, unit, paragraph, words, normalised bytes) of a text: level 0 paragraphs, then the sentences (level 1) of those that have several."""
-    out, unit = [], 0
+def units(text: str | None) -> list[tuple[int, int, int, int, bytes, int]]:
+    """(level, unit, paragraph, words, normalised bytes, words before it) of a text: level 0 paragraphs, then the sentences (level 1) of those that have several."""
+    out, unit, at = [], 0, 0
     for number, line in enumerate((text or "").split("\n")):
         words = line.encode("utf-8", "replace").translate(LOWER).split()
         if not words:
             continue
         if len(words) >= MIN_WORDS:
-            out.append((0, unit, number, len(words), b" ".join(words)))
+            out.append((0, unit, number, len(words), b" ".join(words), at))
         unit += 1
+        begin, at = at, at + len(words)
         sentences = SENTENCE_END.split(line)
         if len(sentences) > 1:
             for sentence in sentences:
                 words = sentence.encode("utf-8", "replace").translate(LOWER).split()
                 if len(words) >= SENTENCE_WORDS:
-                    out.append((1, unit, number, len(words), b" ".join(words)))
-                unit += 1
+                    out.append((1, unit, number, len(words), b" ".join(words), begin))
+                unit, begin = unit + 1, begin + len(words)
     return out
 
 
-UNITS = "doc_id long,level int,unit int,paragraph int,words int,id long"
+UNITS = "doc_id long,row long,level int,unit int,paragraph int,words int,at int,id long"
 
 
 def unit_table(docs: DataFrame) -> DataFrame:
     """A row a unit; equal units of a level have equal ids."""
-    names, kinds = [f.split()[0] for f in UNITS.split(",")], [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+    names, kinds = [f.split()[0] for f in UNITS.split(",")], [pa.int64()] * 2 + [pa.int32()] * 5 + [pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = [(d, level, unit, number, n, xxhash.xxh64_intdigest(data, level) - (1 << 63)) for d, t in zip(*(c.to_pylist() for c in batch.columns)) for level, unit, number, n, data in units(t)]
+            rows = [(d, r, level, unit, number, n, at, xxhash.xxh64_intdigest(data, level) - (1 << 63)) for d, r, t in zip(*(c.to_pylist() for c in batch.columns)) for level, unit, number, n, data, at in units(t)]
             if rows:
                 yield batch_of([(c, v, k) for c, v, k in zip(names, zip(*rows), kinds)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, UNITS)
+    return docs.select("doc_id", "row", "text").mapInArrow(run, UNITS)
 
 
 REMEMBERED = 1_000_000
@@ -110,7 +112,7 @@ def paragraph_sets(texts: list[str | None], seen: set[int], wanted=None) -> Iter
     """Ids and shingle sets of the paragraphs not seen before (and wanted, if a filter is given)."""
     ids, data = [], []
     for t in texts:
-        for level, _, _, _, words in units(t):
+        for level, _, _, _, words, _ in units(t):
             if level == 0 and (i := xxhash.xxh64_intdigest(words, 0) - (1 << 63)) not in seen and (wanted is None or wanted(i)):
                 if len(seen) < REMEMBERED:
                     seen.add(i)
@@ -167,67 +169,124 @@ def near_links(docs: DataFrame) -> DataFrame:
     return found.where(F.col("kind") == 0).select("a", "b")
 
 
+def marked_units(docs: DataFrame) -> DataFrame:
+    """The duplicate paragraphs and sentences of ``docs`` (doc_id, row, text), with ``at`` (words before it), removed and, for paragraphs, exact (the one that stays is equal)."""
+    table = stored(unit_table(docs), "units")
+    place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "row", "unit")
+    again = F.row_number().over(Window.partitionBy("row", "unit").orderBy("id")) > 1
+    lines, sentences = table.where("level = 0"), table.where("level = 1")
+    count = (F.count("*").alias("n"), F.min(place).alias("first"))
+    classes = stored(lines.groupBy("id").agg(*count), "classes")
+    near = components(stored(near_links(docs), "near"))
+    linked = near.join(classes, F.col("node") == F.col("id"))
+    clusters = linked.groupBy("component").agg(F.sum("n").alias("size"), F.min("first").alias("keep"))
+    linked = linked.join(clusters, "component").select("id", "size", "keep", (F.col("first") == F.col("keep")).alias("exact"))
+    equal = classes.where(F.col("n") > 1).join(linked.select("id"), "id", "left_anti").select("id", F.col("n").alias("size"), F.col("first").alias("keep"), F.lit(True).alias("exact"))
+    paragraphs = stored(lines.join(linked.unionByName(equal), "id").withColumn("removed", (place != F.col("keep")) | again), "paragraphs")
+    # Sentences of lines that stay; the first filter leaves few rows to look up.
+    several = sentences.join(sentences.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("id"), "id", "left_semi")
+    staying = stored(several.join(paragraphs.where("removed").select("row", "paragraph").distinct(), ["row", "paragraph"], "left_anti"), "sentences")
+    repeated = staying.groupBy("id").agg(*count).where(F.col("n") > 1).select("id", F.col("n").alias("size"), F.col("first").alias("keep"), F.lit(True).alias("exact"))
+    marked = paragraphs.unionByName(staying.join(repeated, "id").withColumn("removed", (place != F.col("keep")) | again))
+    order = Window.partitionBy("row").orderBy("unit")
+    gap = F.when((F.col("level") == 0) | (F.col("unit") - F.lag("unit").over(order) > 3), 1).otherwise(0)
+    runs = marked.withColumn("_gap", gap).withColumn("_run", F.sum("_gap").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    words = F.sum(F.when(F.col("level") == 1, F.col("words")).otherwise(0)).over(Window.partitionBy("row", "_run"))
+    return runs.withColumn("_words", words).where((F.col("level") == 0) | (F.col("_words") >= RUN_WORDS)).drop("_gap", "_run", "_words")
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id, row (64 bits of doc_id and text, so that rows of one doc_id and different texts are apart) and text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"), "text")
+
+
+def located_units(docs: DataFrame) -> DataFrame:
+    """``duplicate_units`` of ``identified`` documents, with row and the words [at, till) of each."""
+    listed = stored(marked_units(docs), "listed").withColumn("till", F.col("at") + F.col("words"))
+    names = ["doc_id", "row", "level", "unit", "paragraph", "n_words", "cluster_doc_id", "cluster_unit", "cluster_size", "removed", "at", "till"]
+    units = listed.select(
+        "doc_id", "row", F.when(F.col("level") == 0, "paragraph").otherwise("sentence").alias("level"), "unit", "paragraph", F.col("words").alias("n_words"),
+        F.col("keep.doc_id").alias("cluster_doc_id"), F.col("keep.unit").alias("cluster_unit"), F.col("size").alias("cluster_size"), "removed", "at", "till",
+    )
+    return units.select(*names)
+
+
 def duplicate_units(docs: DataFrame) -> DataFrame:
     """The duplicate units of ``docs`` (doc_id, text).
 
-    Columns doc_id, level (paragraph or sentence), unit (the place in the document), paragraph (the
-    line), n_words, cluster_doc_id and cluster_unit (the occurrence that stays), cluster_size and
-    removed.  Null and empty texts have no units.  Repeated rows are duplicates of each other; of
-    equal (doc_id, unit) one stays.  Sentences of a paragraph that is a duplicate itself are not
-    listed.  An empty table gives no rows.
+    Columns doc_id, level (paragraph or sentence), unit (the place in the document), paragraph (the line), n_words,
+    cluster_doc_id and cluster_unit (the occurrence that stays), cluster_size and removed.  Null and
+    empty texts have no units.  Repeated rows are duplicates of each other; of equal rows' units one
+    stays.  Sentences of a paragraph that is removed are not listed.  An empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = stored(unit_table(docs), "units")
-    first = F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "unit"))
-    classes = stored(table.groupBy("id").agg(F.count("*").alias("n"), first.alias("first")), "classes")
-    near = components(stored(near_links(docs), "near"))
-    clusters = near.join(classes, F.col("node") == F.col("id")).groupBy("component").agg(F.sum("n").alias("size"), F.min("first").alias("keep"))
-    linked = near.join(clusters, "component").select(F.col("node").alias("id"), "size", "keep")
-    equal = classes.where(F.col("n") > 1).join(linked.select("id"), "id", "left_anti").select("id", F.col("n").alias("size"), F.col("first").alias("keep"))
-    marked = table.join(linked.unionByName(equal), "id")
-    whole = Window.partitionBy("doc_id", "paragraph")
-    order = Window.partitionBy("doc_id").orderBy("unit")
-    shown = marked.withColumn("_in", F.max(F.when(F.col("level") == 0, 1)).over(whole)).where((F.col("level") == 0) | F.col("_in").isNull())
-    gap = F.when((F.col("level") == 0) | (F.col("unit") - F.lag("unit").over(order) > 3), 1).otherwise(0)
-    runs = shown.withColumn("_gap", gap).withColumn("_run", F.sum("_gap").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    words = F.sum(F.when(F.col("level") == 1, F.col("words")).otherwise(0)).over(Window.partitionBy("doc_id", "_run"))
-    kept = runs.withColumn("_words", words).where((F.col("level") == 0) | (F.col("_words") >= RUN_WORDS))
-    here = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "unit")
-    again = F.row_number().over(Window.partitionBy("doc_id", "unit").orderBy("id"))
-    return kept.withColumn("_again", again).select(
-        "doc_id", F.when(F.col("level") == 0, "paragraph").otherwise("sentence").alias("level"), "unit", "paragraph", F.col("words").alias("n_words"),
-        F.col("keep.doc_id").alias("cluster_doc_id"), F.col("keep.unit").alias("cluster_unit"), F.col("size").alias("cluster_size"), ((here != F.col("keep")) | (F.col("_again") > 1)).alias("removed"),
-    )
+    return located_units(identified(docs)).drop("row", "at", "till")
+
+
+WORD = re.compile(r"[^\t-\r ]+")
+
+
+def without_words(piece: str, at: int, spans: list[tuple[int, int]]) -> str:
+    """``piece`` without the words of ``spans``; its first word has number ``at``."""
+    words = list(WORD.finditer(piece))
+    for a, b in reversed(spans):
+        a, b = max(a - at, 0), min(b - at, len(words))
+        if a < b:
+            piece = piece[: words[a].start()] + (piece[words[b].start() :] if b < len(words) else piece[words[b - 1].end() :])
+    return piece
+
+
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same words in ranges that are apart, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
-def without_units(text: str | None, gone: set[int]) -> str | None:
-    """The text without the paragraphs and sentences of these numbers (as in ``units``)."""
+def without_units(text: str | None, gone: set[int], spans: list[tuple[int, int]] = ()) -> str | None:
+    """The text without the paragraphs and sentences of these numbers (as in ``units``) and without the words of ``spans``."""
     if text is None:
         return None
-    lines, unit = [], 0
+    lines, unit, at, spans = [], 0, 0, joined(spans)
     for line in text.split("\n"):
-        if not line.split():
+        n = len(WORD.findall(line))
+        if not n:
             lines.append(line)
             continue
-        here, unit = unit, unit + 1
+        here, unit, begin, at = unit, unit + 1, at, at + n
+        hit = [s for s in spans if s[0] < at and s[1] > begin]
         sentences = SENTENCE_END.split(line)
-        if len(sentences) > 1:
-            if any(unit + k in gone for k in range(len(sentences))):
-                line = " ".join(s for k, s in enumerate(sentences) if unit + k not in gone)
-            unit += len(sentences)
-        if here not in gone:
+        if len(sentences) > 1 and any(unit + k in gone for k in range(len(sentences))):
+            left = []
+            for k, s in enumerate(sentences):
+                if unit + k not in gone and (not hit or WORD.search(s := without_words(s, begin, hit))):
+                    left.append(s)
+                begin += len(WORD.findall(sentences[k]))
+            line = " ".join(left)
+        elif hit:
+            line = without_words(line, begin, hit)
+        unit += len(sentences) if len(sentences) > 1 else 0
+        if here not in gone and (not hit or WORD.search(line)):
             lines.append(line)
     return "\n".join(lines)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """All rows and columns of ``docs`` with the removed units cut out of ``text`` (null texts stay null)."""
-    dup = duplicate_units(docs).where("removed").groupBy("doc_id").agg(F.collect_set(F.struct("level", "unit")).alias("_cut"))
+    bounded_batches(docs.sparkSession)
+    dup = located_units(identified(docs)).where("removed").groupBy("row").agg(F.collect_set(F.struct((F.col("level") == "passage").alias("part"), "unit", "at", "till")).alias("_cut")).withColumnRenamed("row", "_row_of")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, cuts: pd.Series) -> pd.Series:
-        return pd.Series([without_units(t, {int(c["unit"]) for c in gone} if gone is not None else set()) for t, gone in zip(texts, cuts)])
+        def left(text, gone):
+            gone = [] if gone is None else list(gone)
+            return without_units(text, {int(c["unit"]) for c in gone if not c["part"]}, [(int(c["at"]), int(c["till"])) for c in gone if c["part"]])
 
-    bounded_batches(docs.sparkSession)
-    return docs.drop("_cut").join(dup, "doc_id", "left").withColumn("text", cut(F.col("text"), F.col("_cut"))).drop("_cut")
+        return pd.Series([left(t, gone) for t, gone in zip(texts, cuts)])
+
+    own = docs.drop("_cut", "_row_of")
+    return own.join(dup, F.xxhash64(F.col("doc_id").cast("long"), "text") == F.col("_row_of"), "left").withColumn("text", cut(F.col("text"), F.col("_cut"))).drop("_cut", "_row_of")
