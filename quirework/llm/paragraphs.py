@@ -8,7 +8,7 @@ one entry throughout, so a line in a third of all documents is one row of the ba
 
 A passage may also stand in the middle of a paragraph, between other sentences.  The sentences of
 SENTENCE_WORDS words or more are therefore clustered too, by equality; those of removed paragraphs
-take no part, those of paragraphs that stay do.
+take no part, those of paragraphs that stay do.  Passages at any word offset are those of passages.py.
 
 Components of the links, and classes of equal sentences, are clusters; the first occurrence, by
 (doc_id, unit), stays, the others are removals.  A duplicate sentence counts if its run of
@@ -33,6 +33,7 @@ from ..operators.components import components
 from .blocks import block_of, compare
 from .frames import bounded_batches, slices, stored
 from .ngram_join import batch_of
+from .passages import passages
 from .shingles import mix, shingle_sets
 
 WIDTH = 5
@@ -203,21 +204,32 @@ def identified(docs: DataFrame) -> DataFrame:
 def located_units(docs: DataFrame) -> DataFrame:
     """``duplicate_units`` of ``identified`` documents, with row and the words [at, till) of each."""
     listed = stored(marked_units(docs), "listed").withColumn("till", F.col("at") + F.col("words"))
+    gone = listed.where("level = 0 and removed").select("row", "at", "till", "exact")
+    found = passages(docs, gone)
+    # A passage counts if the units don't cover it: one that goes by units that go, one that stays by any.
+    ranges = listed.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("at", "till"))).alias("any"), F.sort_array(F.collect_set(F.when(F.col("removed"), F.struct("at", "till")))).alias("cut"))
+    reach = "aggregate(case when removed then cut else any end, word, (e, x) -> if(x.at <= e, greatest(e, x.till), e))"
+    found = found.join(ranges, "row", "left").where(F.coalesce(F.expr(f"{reach} < till"), F.lit(True)))
     names = ["doc_id", "row", "level", "unit", "paragraph", "n_words", "cluster_doc_id", "cluster_unit", "cluster_size", "removed", "at", "till"]
     units = listed.select(
         "doc_id", "row", F.when(F.col("level") == 0, "paragraph").otherwise("sentence").alias("level"), "unit", "paragraph", F.col("words").alias("n_words"),
         F.col("keep.doc_id").alias("cluster_doc_id"), F.col("keep.unit").alias("cluster_unit"), F.col("size").alias("cluster_size"), "removed", "at", "till",
     )
-    return units.select(*names)
+    return units.unionByName(found.select(
+        "doc_id", "row", F.lit("passage").alias("level"), F.col("word").alias("unit"), F.col("line").alias("paragraph"), (F.col("till") - F.col("word")).alias("n_words"),
+        F.col("keep.doc_id").alias("cluster_doc_id"), F.col("keep.word").alias("cluster_unit"), "size", "removed", F.col("word").alias("at"), "till",
+    ).withColumnRenamed("size", "cluster_size")).select(*names)
 
 
 def duplicate_units(docs: DataFrame) -> DataFrame:
     """The duplicate units of ``docs`` (doc_id, text).
 
-    Columns doc_id, level (paragraph or sentence), unit (the place in the document), paragraph (the line), n_words,
+    Columns doc_id, level (paragraph, sentence or passage), unit (the place in the document; the
+    number of its first word for passages), paragraph (the line, where it begins), n_words,
     cluster_doc_id and cluster_unit (the occurrence that stays), cluster_size and removed.  Null and
     empty texts have no units.  Repeated rows are duplicates of each other; of equal rows' units one
-    stays.  Sentences of a paragraph that is removed are not listed.  An empty table gives no rows.
+    stays.  Sentences of a paragraph that is removed are not listed, nor passages that listed units
+    cover.  An empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
     return located_units(identified(docs)).drop("row", "at", "till")

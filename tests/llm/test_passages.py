@@ -1,14 +1,70 @@
-"""Sentences of lines that stay."""
+"""Repeated passages at any word offset against all repeated windows; sentences of lines that stay."""
 
 import random
 
-from quirework.llm import paragraphs
+from quirework.llm import paragraphs, passages
+from quirework.llm.passages import WINDOW
 
 
 def words(rng, n, tag="w"):
     return [f"{tag}{rng.randint(0, 10**6)}" for _ in range(n)]
 
 
+def brute(docs):
+    """(doc, from, till, removed) of the chained windows of each kind."""
+    at, out = {}, set()
+    for d, t in sorted(docs):
+        w = t.lower().split()
+        for i in range(len(w) - WINDOW + 1):
+            at.setdefault(tuple(w[i : i + WINDOW]), []).append((d, i))
+    chosen = {}
+    for places in at.values():
+        if len(places) > 1:
+            for k, (d, i) in enumerate(sorted(places)):
+                chosen.setdefault((d, k > 0), []).append(i)
+    for (d, removed), starts in chosen.items():
+        starts, begin = sorted(starts), None
+        for i, j in zip(starts, starts[1:] + [None]):
+            begin = i if begin is None else begin
+            if j is None or j - i > WINDOW:
+                out.add((d, begin, i + WINDOW, removed))
+                begin = None
+    return out
+
+
+def test_passages_are_those_of_all_windows(spark):
+    rng = random.Random(21)
+    runs = [words(rng, n, "p") for n in (50, 51, 60, 75, 82, 130, 49)]
+    docs = []
+    for i in range(40):
+        w = []
+        for r in rng.sample(runs, 2):
+            w += words(rng, rng.randint(0, 90)) + r[rng.randint(0, 3) :]
+        w = [x.upper() if rng.random() < 0.1 else x for x in w + words(rng, rng.randint(0, 9))]
+        docs.append((i, "".join(x + rng.choice([" "] * 9 + ["\n"]) for x in w)))
+    docs += [(90, "a " * 70), (91, " ".join(f"c{i % 3}" for i in range(53))), (92, ""), (93, None)]
+    df = paragraphs.identified(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    none = spark.createDataFrame([], "row long, at int, till int, exact boolean")
+    got = [(r.doc_id, r.word, r.till, r.removed) for r in passages.passages(df, none).collect()]
+    want = brute([(d, t) for d, t in docs if t])
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 30
+    heads = {r.doc_id: (r.word, r.line) for r in passages.passages(df, none).collect()}
+    for d, (word, line) in heads.items():
+        before = sum(len(x.split()) for x in dict(docs)[d].split("\n")[: line + 1])
+        assert before > word >= before - len(dict(docs)[d].split("\n")[line].split())
+
+
+def test_passage_inside_long_sentences_is_cut(spark):
+    rng = random.Random(22)
+    run = " ".join(words(rng, 82, "p"))
+    docs = [(i, f"{' '.join(words(rng, 100))} {run} {' '.join(words(rng, 120 + i))}\nend {i}") for i in (3, 4, 5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r.doc_id, r.level, r.unit, r.paragraph, r.n_words, r.cluster_doc_id, r.cluster_size, r.removed) for r in paragraphs.duplicate_units(df).collect())
+    assert got == [(i, "passage", 100, 0, 82, 3, 3, i > 3) for i in (3, 4, 5)]
+    left = {r.doc_id: r.text for r in paragraphs.deduplicated(df).collect()}
+    assert left[3] == docs[0][1] and left[4] == docs[1][1].replace(run + " ", "") and left[5] == docs[2][1].replace(run + " ", "")
+
+
 def test_the_line_that_stays_gives_up_its_repeats(spark):
     """Passage S in a line of document 1 and inside a line that documents 5 and 9 share: once in what is left."""
     rng = random.Random(23)
