@@ -25,7 +25,7 @@ FIRST_DAY, DAYS = "1800-01-01", 109_572
 # The patterns of what is looked for, in the order in which they are tried.
 PATTERNS = {
     "email": r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])",
-    "secret": r"(?:(?<=(?:token|secret|password|passwd|api_key|apikey|api-key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?=[A-Za-z+/_=-]{0,127}\d)[A-Za-z0-9+/_-][A-Za-z0-9+/_=-]{11,127}|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9]))",
+    "secret": r"(?:(?<=(?i:token|secret|password|passwd|api_key|apikey|api-key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?=[A-Za-z+/_=-]*+\d)[A-Za-z0-9+/_-][A-Za-z0-9+/_=-]{11,}+|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9]))",
     "ssn": r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "date": r"(?<![\w./-])(?:(?:18|19|20)\d{2}-\d{2}-\d{2}|\d{2}([./-])\d{2}\1(?:18|19|20)\d{2})(?![\w/-]|\.\d)",
     "card": r"(?<![\w.+-])(?:[1-9]\d{12,18}|[1-9]\d{3}(?:[ -]\d{4}){3}|3\d{3}[ -]\d{6}[ -]\d{5})(?![\w-])",
@@ -33,7 +33,7 @@ PATTERNS = {
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\w|\.\d)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-MAYBE = r"[0-9][0-9]|@|[0-9][.][0-9]|AKIA|token|secret|passw|api.?key"
+MAYBE = r"[0-9][0-9]|@|[0-9][.][0-9]|AKIA|(?i:token|secret|passw|api.?key)"
 
 
 def quoted(x: str) -> str:
@@ -85,7 +85,7 @@ def pseudonym(key: str) -> str:
     name = lambda what, n: f"substr(sha2(concat_ws(':', {quoted(key)}, 'name', lower({what})), 256), 1, {n})"
     email = struct("'email'", f"concat('p', {name('m', 15)}, '@d', {name(r'''substring_index(m, '@', -1)''', 7)}, '.example')")
     hashed = f"sha2(concat_ws(':', {quoted(key)}, 'secret', m), 256)"
-    secret = struct("'secret'", f"case when m like 'AKIA%' then concat('AKIA', upper(substr({hashed}, 1, 16))) else substr(repeat({hashed}, 2), 1, length(m)) end")
+    secret = struct("'secret'", f"case when m like 'AKIA%' then concat('AKIA', upper(substr({hashed}, 1, 16))) else substr(repeat({hashed}, cast(ceil(length(m) / 64) as int)), 1, length(m)) end")
     middle = bound(decimal("substr(d, 2, length(d) - 2)", "concat('card', substr(d, 1, 1))", key), "c", bound("concat(substr(d, 1, 1), c)", "e", f"concat(e, cast((10 - {luhn_sum('e', 0)} % 10) % 10 as string))"))
     card = f"case when {luhn_sum(d, 1)} % 10 = 0 then {struct(quoted('card'), refilled('m', middle))} else {same} end"
     area = "(cast(substr(d, 1, 3) as bigint) - case when substr(d, 1, 3) > '666' then 2 else 1 end)"
@@ -111,7 +111,7 @@ def pseudonym(key: str) -> str:
         ("m rlike '^[0-9]{3}-[0-9]{2}-[0-9]{4}$'", ssn),
         (r"m rlike '^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[-./][0-9]{2}[-./][0-9]{4})$'", date),
         (r"m rlike '^[0-9]{1,3}([.][0-9]{1,3}){3}$'", ip),
-        (r"m rlike '^[0-9][0-9 -]{11,36}[0-9]$' and length(d) >= 13", card),
+        (r"m rlike '^[0-9][0-9 -]{11,36}[0-9]$' and length(d) between 13 and 19", card),
         (r"m rlike '^[+(0-9][-0-9 .()]{7,30}$' and length(d) < 16", phone),
     ]
     cases = " ".join(f"when {c} then {x}" for c, x in which)

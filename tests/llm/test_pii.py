@@ -100,3 +100,12 @@ def test_neighbours_stay_apart(spark):
 def test_other_key_other_names(spark):
     df = spark.createDataFrame([(1, "10.2.3.4")], "doc_id long, text string")
     assert pii.pii_documents(df, "k1").first().text != pii.pii_documents(df, "k2").first().text
+
+
+def test_credentials_in_any_case_and_to_their_end(spark):
+    v = "9233A8EC11D24be64439e3e49cf46b2d7c90f360"
+    out = new_text(spark, f'TOKEN = "{v}"', f"PASSWORD={v} Secret: {v} API_KEY='{v}'", "Api-Key=" + v * 9 + "!", "PassWD: " + "x" * 300 + "7" + "y" * 20, "token=" + "x" * 200 + " 1", "Secret=" + "4" * 25)
+    assert all(v not in r.text and v[:12] not in r.text and v[-12:] not in r.text for r in out.values())
+    assert [out[i].n_secret for i in range(6)] == [1, 3, 1, 1, 0, 1]
+    assert re.fullmatch(r"Api-Key=[0-9a-f]{360}!", out[2].text) and re.fullmatch(r"PassWD: [0-9a-f]{321}", out[3].text)
+    assert out[4].text == "token=" + "x" * 200 + " 1"
