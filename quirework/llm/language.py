@@ -24,40 +24,46 @@ from .grams import normal, slot, sums, windows
 WIDTH = 5
 HASHES = 3
 SLOT_BITS = 20
-#: Bounds of training: rows sampled (by a hash of doc_id), languages, and n-grams a language.
+#: Bounds of training: rows sampled of each language (by a hash of doc_id and text), and n-grams a language.
 SAMPLE_ROWS = 20_000
-MAX_LANGUAGES = 64
 GRAMS = 30_000
+#: Languages whose bits share one table.
+BANK = 64
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
 
 class Filters:
-    """Bit-sliced Bloom filters; at most MAX_LANGUAGES bits times 2**SLOT_BITS slots, so 8 MB however large the corpus is."""
+    """Bit-sliced Bloom filters: for each BANK languages a table of 2**SLOT_BITS slots (8 MB at most), so the size follows the languages and not the corpus."""
 
     def __init__(self, languages: list[str], grams: list[np.ndarray]):
-        self.languages = languages
-        self.kind = next(k for k, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= n)
-        self.table = np.zeros(1 << SLOT_BITS, self.kind)
-        for bit, keys in enumerate(grams):
-            for which in range(HASHES):
-                self.table[slot(keys, which, SLOT_BITS)] |= self.kind(1 << bit)
-        fill = np.array([np.mean(self.table >> self.kind(b) & self.kind(1)) for b in range(len(languages))])
-        self.chance = fill**HASHES
-
-    def masks(self, keys: np.ndarray) -> np.ndarray:
-        """For each n-gram the languages whose filters contain it."""
-        out = self.table[slot(keys, 0, SLOT_BITS)]
+        self.languages, self.tables, fill = languages, [], []
+        for low in range(0, max(1, len(languages)), BANK):
+            part = grams[low : low + BANK]
+            kind = next(k for k, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(part) <= n)
+            table = np.zeros(1 << SLOT_BITS, kind)
+            for bit, keys in enumerate(part):
+                for which in range(HASHES):
+                    table[slot(keys, which, SLOT_BITS)] |= kind(1 << bit)
+            self.tables.append(table)
+            fill += [np.mean(table >> kind(b) & kind(1)) for b in range(len(part))]
+        self.chance = np.array(fill) ** HASHES
+
+    def masks(self, keys: np.ndarray, bank: int = 0) -> np.ndarray:
+        """For each n-gram the languages of a bank whose filters contain it."""
+        out = self.tables[bank][slot(keys, 0, SLOT_BITS)]
         for which in range(1, HASHES):
-            out &= self.table[slot(keys, which, SLOT_BITS)]
+            out &= self.tables[bank][slot(keys, which, SLOT_BITS)]
         return out
 
     def estimates(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Corrected hits by text and language, and the windows of each text."""
         keys, starts, ends = windows(parts, WIDTH)
-        masks, n = self.masks(keys), (ends - starts).astype(float)
-        hits = np.stack([sums(masks >> self.kind(b) & self.kind(1), starts, ends) for b in range(len(self.languages))], 1)
-        return np.clip((hits - n[:, None] * self.chance) / (1 - self.chance), 0, None), n
+        n, hits = (ends - starts).astype(float), []
+        for bank in range(len(self.tables)):
+            masks = self.masks(keys, bank)
+            hits += [sums(masks >> masks.dtype.type(b) & masks.dtype.type(1), starts, ends) for b in range(min(BANK, len(self.languages) - bank * BANK))]
+        return np.clip((np.stack(hits, 1) - n[:, None] * self.chance) / (1 - self.chance), 0, None), n
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
         """Language, score and coverage of each text."""
@@ -77,16 +83,17 @@ class Filters:
 def train(labelled: DataFrame) -> Filters:
     """Filters from the text and lang of ``labelled`` (doc_id, text, lang); rows without text or lang don't count.
 
-    Up to about SAMPLE_ROWS rows are used, drawn by a hash of doc_id.  Languages are in order of
-    their rows, so that ties fall to the more frequent one.
+    All languages are learned.  Of each up to about SAMPLE_ROWS rows are used, all rows of a rarer
+    one, drawn by a hash of doc_id and text.  Languages are in order of their rows, so that ties
+    fall to the more frequent one.
     """
     bounded_batches(labelled.sparkSession)
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     languages = [r["lang"] for r in counts]
     if not languages:
         return Filters([], [])
-    share = min(1.0, SAMPLE_ROWS / sum(r["count"] for r in counts))
+    bound = {r["lang"]: int(SAMPLE_ROWS / r["count"] * (1 << 30)) for r in counts if r["count"] > SAMPLE_ROWS}
     number = {x: i for i, x in enumerate(languages)}
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +105,10 @@ def train(labelled: DataFrame) -> Filters:
             tagged, n = np.unique((where[where >= 0].astype(np.uint64) << np.uint64(8 * WIDTH)) | keys[inside[where >= 0]], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(tagged.astype(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text", "lang")
+    if bound:
+        limits = F.create_map(*(F.lit(x) for pair in bound.items() for x in pair))
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.coalesce(F.element_at(limits, F.col("lang")), F.lit(1 << 30)))
+    sample = rows.select("text", "lang")
     counted = sample.mapInArrow(grams, "key long,n long").groupBy("key").agg(F.sum("n").alias("n")).withColumn("lang", F.shiftright("key", 8 * WIDTH))
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
     kept = counted.withColumn("r", F.row_number().over(first)).where(F.col("r") <= GRAMS).select("key").toPandas()["key"].to_numpy(np.int64)

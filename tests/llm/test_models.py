@@ -30,6 +30,20 @@ def test_language_edges(spark, odd, clashing, nothing):
     assert normal(None) == normal("") == normal("1 2") and normal("A\tb--c") == b" a b c  "
 
 
+def test_rare_languages_are_learned(spark, monkeypatch):
+    """A language of five rows among many of others, and languages from the 65th on."""
+    monkeypatch.setattr(language, "SAMPLE_ROWS", 20)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k, i: f"{letters[k % 26]}{letters[k // 26]}qx{letters[i % 26]}{letters[k % 26]}"
+    text = lambda k, i: " ".join(word(k, i + j) for j in range(20))
+    rows = [(i, text(0, i), "l0") for i in range(3000)] + [(5000 + 10 * k + i, text(k, i), f"l{k}") for k in range(1, 70) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = language.train(docs)
+    assert len(filters.languages) == 70
+    got = language.identify(docs, filters, "lang").toPandas()
+    assert (got.lang == got.lang_pred).all() and got.coverage.min() > 0.9
+
+
 def test_language_held_out(spark):
     d = "/root/testdata/sf0.01"
     got = queries.op1_language(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
