@@ -1,7 +1,7 @@
 """A corpus from raw documents to token ids, in five stages, each written as Parquet and read again.
 
 1. language: documents without text, without a letter, or in none of the learned languages go.
-2. near_duplicates: of each group of documents with similar word shingles the one with the smallest doc_id stays.
+2. near_duplicates: of each group of documents with similar word shingles the one with the smallest doc_id stays, whatever rows share a doc_id or have none.
 3. pii: personal data becomes pseudonyms.
 4. mixing: documents are taken so often that sources have their target weights.
 5. encoding: texts become token ids, of which counts and hashes are returned.
@@ -30,11 +30,12 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays; of rows with one doc_id one, rows without doc_id all."""
-    groups = ngram_join.join_documents(docs, NEAR_WORDS, NEAR_PERCENT)
-    keep = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each component stays, the one with the smallest doc_id (and hash of the text); one without doc_id only where all are."""
+    rows = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    groups = ngram_join.join_documents(rows.select(F.col("_row").alias("doc_id"), "text"), NEAR_WORDS, NEAR_PERCENT).select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), "_row")).alias("_first")
+    keep = rows.select("doc_id", "_row").distinct().join(groups, "_row").groupBy("component_id").agg(least).select("_first._row")
+    return rows.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def with_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

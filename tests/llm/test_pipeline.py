@@ -37,6 +37,17 @@ def test_stages(spark, odd):
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, library.encode_ordinary(text[r.doc_id]))).encode()).hexdigest()
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Rows that share a doc_id and differ, and rows without one."""
+    a, b, c, e = (" ".join(f"{x}{i}" for i in range(120)) for x in "abce")
+    near = a.replace("a60 ", "x ")
+    rows = [(1, a), (2, near), (2, b), (3, b), (3, e), (None, c), (None, c), (None, near), (7, c.replace("c60 ", "x ")), (None, "no other row has this text"), (None, "no other row has this text")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.without_near_duplicates(spark, docs, D)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id or 0, r.text) for r in left.collect())) == sorted([(1, a), (2, b), (3, e), (7, c.replace("c60 ", "x ")), (0, "no other row has this text")])
+
+
 def test_empty(spark, nothing):
     docs = nothing
     for name, stage in corpus_pipeline.STAGES:
