@@ -9,8 +9,16 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark) -> str:
-    """A new folder below spark.checkpoint.dir, or below the warehouse where that is not set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quirework"
+    """A new folder below spark.checkpoint.dir, which driver and executors share.
+
+    Where that is not set a session on one machine (tests, a laptop) gets a folder of its warehouse;
+    on a cluster there is no place that is shared for certain, so that is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quirework"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
