@@ -12,8 +12,8 @@ when there are too many, as in lazy automata for regular expressions.  Whole seg
 space and the non-space run after it, to which the pattern's matches are confined) are memoised
 as longer arcs from the start state to itself.
 
-Decoding.  ``Utf8Decoder`` steps a UTF-8 state machine over token after token and hands out
-text as soon as its characters are complete.
+Decoding.  ``Utf8Decoder`` joins the bytes of a run of tokens at a time; a UTF-8 state machine over
+their last bytes says what is still to be completed by the next run, the rest is handed out.
 """
 
 from __future__ import annotations
@@ -21,17 +21,20 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterable
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
-from .frames import per_document
+from .frames import per_document, resident
 
 #: White space as the pattern's \s has it (the Unicode property White_Space).
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SEGMENT = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
-MAX_STATES = 100_000
+#: Bounds of what a Python worker keeps: about 600 and 250 bytes each.
+MAX_STATES = 150_000
 MAX_SEGMENTS = 150_000
+#: Tokens decoded at a time.
+RUN = 1024
 NEVER = 1 << 60
 
 
@@ -41,15 +44,15 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class State(dict):
-    """The arcs made so far: byte to (next state, settled tokens); the bytes held and, by position, the length of the last token there."""
+    """The arcs made so far: byte to (next state, settled tokens); the bytes held, by position the length of the last token there, and the places from which a token may still grow."""
 
-    __slots__ = ("held", "last", "machine")
+    __slots__ = ("held", "last", "open", "machine")
 
-    def __init__(self, machine: Transducer, held: bytes, last: tuple[int, ...]):
-        self.machine, self.held, self.last = machine, held, last
+    def __init__(self, machine: Transducer, held: bytes, last: tuple[int, ...], open_: tuple[int, ...]):
+        self.machine, self.held, self.last, self.open = machine, held, last, open_
 
     def __missing__(self, byte: int) -> tuple[State, tuple[int, ...]]:
-        step = self[byte] = self.machine.arc(self.held + bytes((byte,)), self.last)
+        step = self[byte] = self.machine.arc(self, byte)
         return step
 
 
@@ -58,70 +61,89 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.longest = max(map(len, ranks))
         self.growing = {t[:i] for t in ranks for i in range(1, len(t))}
+        self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.start = State(self, b"", (0,))
+        self.start = State(self, b"", (0,), ())
         self.states: dict[bytes, State] = {b"": self.start}
 
-    def merged(self, piece: bytes) -> list[bytes]:
-        """The merges applied as defined: always the lowest rank, leftmost first."""
-        rank = self.ranks.get
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        costs = [rank(a + b, NEVER) for a, b in zip(parts, parts[1:])]
-        while costs and (low := min(costs)) != NEVER:
-            at = costs.index(low)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            del costs[at]
-            if at:
-                costs[at - 1] = rank(parts[at - 1] + parts[at], NEVER)
-            if at < len(costs):
-                costs[at] = rank(parts[at] + parts[at + 1], NEVER)
-        return parts
+    def halved(self, token: bytes) -> tuple[bytes, bytes] | None:
+        """The two parts that the merges of the token's own bytes join last; None if they don't end in the token."""
+        if token not in self.halves:
+            rank = self.ranks.get
+            parts, before = [token[i : i + 1] for i in range(len(token))], []
+            costs = [rank(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+            while costs and (low := min(costs)) != NEVER:  # always the lowest rank, leftmost first
+                at, before = costs.index(low), list(parts)
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                del costs[at]
+                if at:
+                    costs[at - 1] = rank(parts[at - 1] + parts[at], NEVER)
+                if at < len(costs):
+                    costs[at] = rank(parts[at] + parts[at + 1], NEVER)
+            self.halves[token] = (before[0], before[1]) if len(parts) == 1 else None
+        return self.halves[token]
+
+    def made(self, token: bytes) -> bool:
+        return len(token) == 1 or self.halved(token) is not None
 
     def stable(self, left: bytes, right: bytes) -> bool:
-        """Whether the merges of left + right give these two tokens (or the one, if left is empty)."""
-        if left and left + right in self.ranks:
-            return False
-        key = (left, right)
-        if (known := self.pairs.get(key)) is None:
-            known = self.merged(left + right) == ([left, right] if left else [right])
+        """Whether the merges of left + right give these two tokens (or the one, if left is empty).
+
+        Backwards in time from the two: of the parts that meet at the seam the one made later is
+        undone.  A merge of the two parts comes to pass if its rank is below that of what becomes
+        of the left one, and not above that of the right one (leftmost first).
+        """
+        if not left:
+            return self.made(right)
+        known = self.pairs.get((left, right))
+        if known is None:
+            ranks, x, y, end_x, end_y = self.ranks, left, right, NEVER, NEVER
+            known = self.made(left) and self.made(right)
+            while known:
+                rank = ranks.get(x + y, NEVER)
+                if rank < end_x and rank <= end_y:
+                    known = False
+                elif len(x) == len(y) == 1:
+                    break
+                elif len(x) == 1 or len(y) > 1 and ranks[y] >= ranks[x]:
+                    end_y, y = ranks[y], self.halved(y)[0]
+                else:
+                    end_x, x = ranks[x], self.halved(x)[1]
             if len(self.pairs) > MAX_STATES:
                 self.pairs.clear()
-            self.pairs[key] = known
+            self.pairs[left, right] = known
         return known
 
-    def arc(self, held: bytes, last: tuple[int, ...]) -> tuple[State, tuple[int, ...]]:
-        """Determinise one transition: the next state and the tokens that are settled by it.
-
-        held ends in the new byte; last goes as far as the byte before.
-        """
-        n = len(held)
-        for size in range(min(n, self.longest), 0, -1):
-            at = n - size
-            if held[at:] in self.ranks and (at == 0 or last[at]) and self.stable(held[at - last[at] : at], held[at:]):
-                break
-        else:
-            size = 0
+    def arc(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
+        """Determinise one transition: the next state and the tokens that are settled by it."""
+        held, last, ranks = state.held + bytes((byte,)), state.last, self.ranks
+        n, size, open_ = len(held), 0, []
+        for at in (*state.open, len(state.held)):  # the longest token first
+            grown = held[at:]
+            if not size and grown in ranks and self.stable(held[at - last[at] : at], grown):
+                size = n - at
+            if grown in self.growing:
+                open_.append(at)
         last += (size,)
-        open_ = {at for at in range(max(0, n + 1 - self.longest), n) if held[at:] in self.growing and (at == 0 or last[at])} | {n}
-        while len(open_) > 1:  # the nearest boundary on all chains
-            cut = max(open_)
-            open_.remove(cut)
-            open_.add(cut - last[cut])
-        cut = open_.pop()
+        ends = {*open_, n}
+        while len(ends) > 1:  # the nearest boundary on all chains
+            cut = max(ends)
+            ends.remove(cut)
+            ends.add(cut - last[cut])
+        cut = ends.pop()
         out, at = [], cut
         while at:
-            out.append(self.ranks[held[at - last[at] : at]])
+            out.append(ranks[held[at - last[at] : at]])
             at -= last[at]
         rest = held[cut:]
         if (to := self.states.get(rest)) is None:
             if len(self.states) > MAX_STATES:
                 self.reset()
-            to = self.states[rest] = State(self, rest, (0, *last[cut + 1 :]))
+            to = self.states[rest] = State(self, rest, (0, *last[cut + 1 :]), tuple([at - cut for at in open_]))
         return to, tuple(reversed(out))
 
     def encode(self, piece: bytes) -> list[int]:
@@ -186,92 +208,80 @@ def utf8_steps() -> list[list[int]]:
 
 
 class Utf8Decoder:
-    """Token ids to bytes and, piece by piece, to text; bytes that are no UTF-8 become U+FFFD in the text."""
+    """Token ids to bytes and, run by run, to text; bytes that are no UTF-8 become U+FFFD in the text."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.steps = utf8_steps()
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self.open = {i for t, i in ranks.items() if self.step(0, t) != 0}
-
-    def step(self, state: int, data: bytes) -> int:
-        for b in data:
-            state = self.steps[state][b]
-            if state < 0:
-                return state
-        return state
-
-    def stream(self, ids: Iterable[int]) -> Iterable[str]:
-        """Text in as many pieces as there are tokens that complete a character."""
-        held, state = b"", 0
-        for i in ids:
-            data = self.bytes_of[i]
-            if not state and i not in self.open:
-                yield data.decode()
-                continue
-            held += data
-            state = self.step(state, data) if state >= 0 else state
-            if state == 0:
-                yield held.decode()
-                held = b""
-            elif state < 0:
-                text, held, state = self.recover(held)
-                yield text
-        if held:
-            yield held.decode("utf-8", "replace")
-
-    def recover(self, held: bytes) -> tuple[str, bytes, int]:
-        """Text of bytes that hold an error, keeping what may still become a character."""
-        for keep in range(min(3, len(held)), -1, -1):
-            state = self.step(0, held[len(held) - keep :])
-            if state > 0 or keep == 0:
-                cut = len(held) - keep
-                return held[:cut].decode("utf-8", "replace"), held[cut:], max(state, 0)
-        raise AssertionError
-
-    def valid(self, ids: list[int]) -> bool:
-        """Whether the ids' bytes are whole UTF-8: only tokens that split characters are stepped through."""
-        if self.open.isdisjoint(ids):
-            return True
-        state = 0
-        for i in ids:
-            if state or i in self.open:
-                state = self.step(state, self.bytes_of[i])
+
+    def begun(self, data: bytes) -> int:
+        """How many of the last bytes are the beginning of a character that is still to end."""
+        for keep in range(min(3, len(data)), 0, -1):
+            state = 0
+            for b in data[len(data) - keep :]:
+                state = self.steps[state][b]
                 if state < 0:
-                    return False
-        return state == 0
+                    break
+            if state > 0 and data[-keep] >= 0xC2:
+                return keep
+        return 0
+
+    def runs(self, ids: list[int], run: int = RUN) -> Iterator[bytes]:
+        """The ids' bytes, as soon as the characters in them are complete: looked at after each ``run`` tokens."""
+        held = b""
+        for at in range(0, len(ids), run):
+            held += b"".join(map(self.bytes_of.__getitem__, ids[at : at + run]))
+            cut = len(held) - self.begun(held)
+            if cut:
+                yield held[:cut]
+                held = held[cut:]
+        if held:
+            yield held
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def stream(self, ids: list[int], run: int = 1) -> Iterator[str]:
+        """Text in pieces of whole characters."""
+        return (piece.decode("utf-8", "replace") for piece in self.runs(ids, run))
 
+    def decode(self, ids: list[int]) -> tuple[bytes, bool]:
+        """All bytes, and whether they are whole UTF-8."""
+        pieces, valid = list(self.runs(ids)), True
+        for piece in pieces:
+            try:
+                piece.decode()
+            except UnicodeDecodeError:
+                valid = False
+        return b"".join(pieces), valid
 
-_CODEC: dict[tuple[str, str], tuple[Segments, Utf8Decoder]] = {}
 
+def codec(path: str, pattern: str) -> tuple[Segments, Utf8Decoder, list[str]]:
+    """Encoder, decoder and the ids' decimal digits: made once a Python worker, kept until it works for another operator."""
 
-def codec(path: str, pattern: str) -> tuple[Segments, Utf8Decoder]:
-    """One encoder and decoder a Python worker; its memo lives on from task to task."""
-    if (path, pattern) not in _CODEC:
+    def make():
         ranks = load_ranks(path)
-        _CODEC[path, pattern] = Segments(Transducer(ranks), pattern), Utf8Decoder(ranks)
-    return _CODEC[path, pattern]
+        return Segments(Transducer(ranks), pattern), Utf8Decoder(ranks), list(map(str, range(max(ranks.values()) + 1)))
+
+    return resident(f"byte_bpe {path} {pattern}", make)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode every text, decode the ids again.
 
     Returns doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256
-    (of the decoded bytes), utf8_valid.  A null text counts as empty: no ids.  Repeated rows
-    stay; other columns are ignored.  A lone surrogate, which no UTF-8 input holds, counts as "?".
+    (of the bytes that the streaming decoder gives), utf8_valid.  A null text counts as empty: no
+    ids.  Repeated rows stay, equal texts get equal values; other columns are ignored, whatever
+    their names.  A lone surrogate, which no UTF-8 input holds, counts as "?".  A long text takes
+    memory in proportion to its length.  An empty table gives no rows.
     """
 
     def start():
-        segments, decoder = codec(path, pattern)
+        segments, decoder, digits = codec(path, pattern)
         sha = hashlib.sha256
 
         def one(doc_id, text):
             ids = segments.encode(text or "")
-            decoded = decoder.decode(ids)
-            return doc_id, len(ids), sha(",".join(map(str, ids)).encode()).hexdigest(), sha(decoded).hexdigest(), decoder.valid(ids)
+            decoded, valid = decoder.decode(ids)
+            return doc_id, len(ids), sha(",".join([digits[i] for i in ids]).encode()).hexdigest(), sha(decoded).hexdigest(), valid
 
         return one
 
-    return per_document(docs, ["doc_id", "text"], start, "doc_id long,n_tokens long,ids_sha256 string,decoded_sha256 string,utf8_valid boolean")
+    return per_document(docs, ["doc_id", "text"], start, "doc_id long,n_tokens long,ids_sha256 string,decoded_sha256 string,utf8_valid boolean", f"byte_bpe {path} {pattern}")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import shared_folder
+
 #: Bytes of a batch handed to Python, about, and of the slices that are worked on at a time: numpy's intermediate arrays are 8 bytes and more for each byte of text.
 BATCH_BYTES = 8 << 20
 SLICE_BYTES = 1 << 20
@@ -19,22 +22,35 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def workspace(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
+    """A new folder below spark.checkpoint.dir, which driver and executors share."""
+    return shared_folder(spark)
 
-    Where that setting is absent (tests, a laptop) the session gets a folder of the warehouse.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quirework"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+_FOLDERS = "_quirework_folder"
 
 
 def stored(df: DataFrame, name: str = "table", mode: str = "zstd") -> DataFrame:
-    """``df`` written as Parquet into a workspace and read again: cuts the lineage and survives lost executors."""
+    """``df`` written as Parquet into a workspace and read again: cuts the lineage and survives lost executors.
+
+    Shuffle files of what was written are no longer needed; the driver's collector finds that out
+    when it runs, so it is asked to.
+    """
     spark = df.sparkSession
-    path = f"{workspace(spark)}/{name}"
+    folder = workspace(spark)
+    path = f"{folder}/{name}"
     df.write.option("compression", mode).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    setattr(out, _FOLDERS, folder)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that nothing reads any more."""
+    for table in tables:
+        spark, folder = table.sparkSession, getattr(table, _FOLDERS)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -53,7 +69,43 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, step)
 
 
-def per_document(df: DataFrame, columns: list[str], row: Callable[[], Callable[..., tuple]], schema: str) -> DataFrame:
+_RESIDENT: dict[str, object] = {}
+
+
+def resident(key: str, make: Callable[[], object]):
+    """What a Python worker keeps from task to task: one thing, until it works for another operator."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
+def keep_only(key: str) -> None:
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+
+
+def released() -> None:
+    """Give memory that is not in use back to the system: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keeps: str = "") -> DataFrame:
+    """``df.mapInArrow`` by tasks that leave nothing in their worker but the resident named ``keeps``."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(keeps)
+        try:
+            yield from run(batches)
+        finally:
+            released()
+
+    return df.mapInArrow(task, schema)
+
+
+def per_document(df: DataFrame, columns: list[str], row: Callable[[], Callable[..., tuple]], schema: str, keeps: str = "") -> DataFrame:
     """Apply a function of ``columns`` to every row; ``row()`` is called once a task and returns it."""
     names = [f.split()[0] for f in schema.split(",")]
     bounded_batches(df.sparkSession)
@@ -65,7 +117,7 @@ def per_document(df: DataFrame, columns: list[str], row: Callable[[], Callable[.
             types = types or arrow_types(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return mapped(df.select(*columns), run, schema, keeps)
 
 
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import arrow_types, bounded_batches, slices
+from .frames import arrow_types, bounded_batches, mapped, slices
 from .grams import normal, slot, sums, windows
 
 WIDTH = 5
@@ -109,7 +109,7 @@ def train(labelled: DataFrame) -> Filters:
         limits = F.create_map(*(F.lit(x) for pair in bound.items() for x in pair))
         rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.coalesce(F.element_at(limits, F.col("lang")), F.lit(1 << 30)))
     sample = rows.select("text", "lang")
-    counted = sample.mapInArrow(grams, "key long,n long").groupBy("key").agg(F.sum("n").alias("n")).withColumn("lang", F.shiftright("key", 8 * WIDTH))
+    counted = mapped(sample, grams, "key long,n long").groupBy("key").agg(F.sum("n").alias("n")).withColumn("lang", F.shiftright("key", 8 * WIDTH))
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
     kept = counted.withColumn("r", F.row_number().over(first)).where(F.col("r") <= GRAMS).select("key").toPandas()["key"].to_numpy(np.int64)
     low = np.int64((1 << 8 * WIDTH) - 1)
@@ -136,4 +136,4 @@ def identify(docs: DataFrame, filters: Filters, *keep: Column | str) -> DataFram
             yield pa.RecordBatch.from_arrays(batch.columns[:-1] + found, names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name != "_text")
-    return out.mapInArrow(run, f"{schema}{', ' if schema else ''}lang_pred string, score double, coverage double")
+    return mapped(out, run, f"{schema}{', ' if schema else ''}lang_pred string, score double, coverage double")

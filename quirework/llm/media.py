@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import bounded_batches, per_document, slices, stored
+from .frames import bounded_batches, mapped, per_document, slices, stored
 
 # Magic numbers of the formats and their media types.
 SIGNATURES = {
@@ -278,7 +278,7 @@ def read_media(stored_records: DataFrame) -> DataFrame:
 
     schema = "doc_id long,n_bytes long,payload_bytes long,payload_sha256 string,tail_crc32 long,media_bytes long,media_sha256 string,feature string,declared_type string,corrected_type string,media_offset long"
     bounded_batches(stored_records.sparkSession)
-    return stored_records.select("doc_id", "n_bytes", "declared", "record").mapInArrow(read, schema)
+    return mapped(stored_records.select("doc_id", "n_bytes", "declared", "record"), read, schema)
 
 
 def text_media(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .frames import arrow_types, bounded_batches, slices, workspace
+from .frames import arrow_types, bounded_batches, mapped, resident, slices, workspace
 
 MAGIC = b"EFTOK1"
 HEADER = struct.Struct("<6sBBIIIQ")
@@ -197,7 +197,13 @@ class Pieces(dict):
         return ids
 
 
-_WORDS: dict[str, Words] = {}
+def kept_words(tokenizer: str) -> str:
+    return f"token_files {tokenizer}"
+
+
+def words_of(tokenizer: str) -> Words:
+    """One tokenizer a Python worker, kept until the worker turns to another operator."""
+    return resident(kept_words(tokenizer), lambda: Words(tokenizer))
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
@@ -213,9 +219,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     bounds = np.array(bounds or [], np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _WORDS:
-            _WORDS[tokenizer] = Words(tokenizer)
-        words = _WORDS[tokenizer]
+        words = words_of(tokenizer)
         end = np.array([end_id], words.kind).tobytes()
         for batch in slices(batches):
             doc, text = batch.columns
@@ -250,18 +254,16 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         if ids:
             yield flush()
 
-    encoded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "part int,doc_id long,ids binary")
+    encoded = mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), encode, "part int,doc_id long,ids binary", kept_words(tokenizer))
     dealt = encoded.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
-    dealt.mapInArrow(shards, SHARD_TABLE).write.option("compression", "zstd").parquet(path)
+    mapped(dealt, shards, SHARD_TABLE, kept_words(tokenizer)).write.option("compression", "zstd").parquet(path)
 
 
 SHARD_TABLE = "part int,at long,n_ids long,n_docs long,shard binary"
 
 
 def tokenizer_is_narrow(tokenizer: str) -> bool:
-    if tokenizer not in _WORDS:
-        _WORDS[tokenizer] = Words(tokenizer)
-    return _WORDS[tokenizer].kind == "<u2"
+    return words_of(tokenizer).kind == "<u2"
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -277,7 +279,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     joined = table.join(F.broadcast(base), "part").select("base", "at", "shard")
-    return joined.mapInArrow(read, "doc_id long,start long,n_tokens long,ids_crc32 long")
+    return mapped(joined, read, "doc_id long,start long,n_tokens long,ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:

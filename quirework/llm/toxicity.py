@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import bounded_batches, held_out, slices, stored
+from .frames import bounded_batches, held_out, mapped, slices, stored
 from .grams import normal, slot, windows
 
 WIDTHS = (4, 5, 6)
@@ -115,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
         at = np.flatnonzero(total[2])
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, *total[:, at])], names=["i", "p", "q", "seen"])
 
-    counted = stored(sample.select("text", "toxic").mapInArrow(sums, "i long,p long,q long,seen long").groupBy("i").agg(*[F.sum(c).alias(c) for c in ("p", "q", "seen")]), "sums")
+    counted = stored(mapped(sample.select("text", "toxic"), sums, "i long,p long,q long,seen long").groupBy("i").agg(*[F.sum(c).alias(c) for c in ("p", "q", "seen")]), "sums")
     whole = counted.agg(F.sum("p").alias("p"), F.sum("q").alias("q")).first()
     facts = sample.agg(F.avg(F.length(F.coalesce("text", F.lit("")))).alias("chars"), F.sum("toxic").alias("pos"), F.count("*").alias("n")).first()
     if whole["p"] is None or not 0 < facts["pos"] < facts["n"]:
@@ -137,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
             lists = [pa.array([f[k] for f in found], pa.list_(t)) for k, t in ((0, pa.int64()), (1, pa.float64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "toxic", "i", "v"])
 
-    rows = sample.select("doc_id", "toxic", "text").mapInArrow(kept, "doc_id long,toxic int,i array<long>,v array<double>").toArrow().sort_by("doc_id")
+    rows = mapped(sample.select("doc_id", "toxic", "text"), kept, "doc_id long,toxic int,i array<long>,v array<double>").toArrow().sort_by("doc_id")
     index, values = ([np.asarray(x.values, t) for x in rows[c]] for c, t in (("i", np.int64), ("v", np.float64)))
     weights = np.zeros(1 << BITS, np.float32)
     weights[used], bias = descend([np.searchsorted(used, i) for i in index], values, rows["toxic"].to_numpy(), ratio)
@@ -154,4 +154,4 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
             s = np.array(shared.value.scores(batch.column(2).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(5, 0).alias("held_out"), "text").mapInArrow(run, "doc_id long,held_out boolean,score double,predicted int")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(5, 0).alias("held_out"), "text"), run, "doc_id long,held_out boolean,score double,predicted int")

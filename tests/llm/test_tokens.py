@@ -25,27 +25,27 @@ def library():
 
 
 def test_encoding_and_round_trip(library):
-    segments, decoder = byte_bpe.codec(RANKS, public_tokenizers.PATTERN)
+    segments, decoder, _ = byte_bpe.codec(RANKS, public_tokenizers.PATTERN)
     rng = random.Random(2)
     texts = ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 25))) for _ in range(4000)]
     texts += ["a" * 5000, " " * 999 + "x", "".join(rng.choice("abcdefgh") for _ in range(20_000)), "漢" * 700, ""]
     for t in texts:
         ids = segments.encode(t)
         assert ids == library.encode_ordinary(t)
-        assert decoder.decode(ids) == t.encode() and decoder.valid(ids) and "".join(decoder.stream(ids)) == t
+        assert decoder.decode(ids) == (t.encode(), True) and "".join(decoder.stream(ids)) == t
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60))
 def test_any_text(text):
-    segments, decoder = byte_bpe.codec(RANKS, public_tokenizers.PATTERN)
-    assert decoder.decode(segments.encode(text)) == text.encode("utf-8", "replace")
+    segments, decoder, _ = byte_bpe.codec(RANKS, public_tokenizers.PATTERN)
+    assert decoder.decode(segments.encode(text)) == (text.encode("utf-8", "replace"), True)
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.binary(max_size=40))
 def test_bytes_decode_as_they_should(data):
-    _, decoder = byte_bpe.codec(RANKS, public_tokenizers.PATTERN)
+    _, decoder, _ = byte_bpe.codec(RANKS, public_tokenizers.PATTERN)
     ranks = {v: k for k, v in decoder.bytes_of.items()}
     ids = [ranks[bytes((b,))] for b in data]
     try:
@@ -53,9 +53,10 @@ def test_bytes_decode_as_they_should(data):
         fine = True
     except UnicodeDecodeError:
         fine = False
-    assert decoder.valid(ids) == fine
-    if fine:
-        assert "".join(decoder.stream(ids)) == data.decode()
+    assert decoder.decode(ids) == (data, fine)
+    for run in (1, 2, 7):
+        assert "".join(decoder.stream(ids, run)) == data.decode("utf-8", "replace")
+        assert b"".join(decoder.runs(ids, run)) == data
 
 
 def test_reset_keeps_results(library, monkeypatch):
