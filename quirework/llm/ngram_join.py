@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .blocks import block_of, compare
-from .frames import bounded_batches, slices, stored
+from .blocks import block_of, block_pairs, compare
+from .frames import bounded_batches, mapped, slices, stored
 from .shingles import mix, shingle_sets
 
 WIDTH = 4
@@ -77,7 +77,7 @@ def survey(docs: DataFrame, sets_of: Callable) -> DataFrame:
         if size:
             yield frequent()
 
-    return docs.mapInArrow(run, "kind int,id long,d1 long,d2 long,n long")
+    return mapped(docs, run, "kind int,id long,d1 long,d2 long,n long")
 
 
 def bitmap(elements: np.ndarray) -> bytes:
@@ -131,7 +131,7 @@ def index(docs: DataFrame, sets_of: Callable, order, percent: int) -> DataFrame:
             if rows:
                 yield batch_of([(c, list(v), k) for c, v, k in zip(["d1", "d2", "cold", "hot", "bits"], zip(*rows), [pa.int64(), pa.int64(), LISTS, LISTS, pa.binary()])])
 
-    return docs.select("text").mapInArrow(run, "d1 long,d2 long,cold array<long>,hot array<long>,bits binary").dropDuplicates(["d1", "d2"])
+    return mapped(docs.select("text"), run, "d1 long,d2 long,cold array<long>,hot array<long>,bits binary").dropDuplicates(["d1", "d2"])
 
 
 def other_prefixes(sets: DataFrame, order, percent: int) -> DataFrame:
@@ -147,7 +147,7 @@ def other_prefixes(sets: DataFrame, order, percent: int) -> DataFrame:
                 rows.append((i, len(s), *[prefix(s, hot, rank, percent, o)[0].view(np.int64) for o in range(1, ORDERS)]))
             yield batch_of([(c, list(v), k) for c, v, k in zip(names, zip(*rows), kinds)])
 
-    return sets.select("id", "elements").mapInArrow(run, "id long,n long," + ",".join(f"p{o} array<long>" for o in range(1, ORDERS)))
+    return mapped(sets.select("id", "elements"), run, "id long,n long," + ",".join(f"p{o} array<long>" for o in range(1, ORDERS)))
 
 
 def bounded_pairs(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
@@ -160,7 +160,7 @@ def bounded_pairs(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
             keep = [most_shared(x[i], y[i], na[i] + nb[i]) * (100 + percent) >= percent * (na[i] + nb[i]) for i in range(len(a))]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    return rows.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long,b long")
+    return mapped(rows.select("a", "b", "na", "nb", "x", "y"), run, "a long,b long")
 
 
 def sharing(entries: DataFrame, percent: int) -> DataFrame:
@@ -199,7 +199,7 @@ def active_sets(docs: DataFrame, sets_of: Callable, active: DataFrame) -> DataFr
             if rows:
                 yield batch_of([(c, v, k) for c, v, k in zip(["d1", "d2", "elements"], zip(*rows), [pa.int64(), pa.int64(), pa.binary()])])
 
-    found = docs.select("text").mapInArrow(run, "d1 long,d2 long,elements binary")
+    found = mapped(docs.select("text"), run, "d1 long,d2 long,elements binary")
     return found.join(active.select("id", "d1", "d2"), ["d1", "d2"]).select("id", "elements").dropDuplicates(["id"])
 
 
@@ -245,11 +245,10 @@ def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     members = stored(block_of(warm.select("id", "n", "group").unionByName(cold), "group", "id", "n").join(classes.select("id", "size"), "id"), "members")
     place = members.select("id", "block")
     placed = warm.select("id", F.explode("hot").alias("token")).join(place, "id").select("token", "block").distinct()
-    met = placed.join(placed.withColumnRenamed("block", "other"), "token").where(F.col("block") <= F.col("other")).select(F.col("block").alias("p"), F.col("other").alias("q"))
     ends = near.join(place.select(F.col("id").alias("a"), F.col("block").alias("x")), "a").join(place.select(F.col("id").alias("b"), F.col("block").alias("y")), "b")
-    items = stored(met.unionByName(ends.select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"))).distinct(), "items")
+    items = stored(block_pairs(placed, "token").unionByName(ends.select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"))).distinct(), "items")
 
-    found = stored(compare(items, members.select("id", "block", "size"), sets, percent), "links")
+    found = compare(items, members.select("id", "block", "size"), sets, percent)
     linked = components(found.where(F.col("kind") == 0).select("a", "b"))
     degree = found.where(F.col("kind") == 1).groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("links"))
     reps = linked.select(F.col("node").alias("id"), "component").join(classes.select("id", "rep"), "id")

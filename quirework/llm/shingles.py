@@ -70,6 +70,14 @@ def blocks(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def shingles_at(words: np.ndarray, width: int) -> np.ndarray:
+    """The shingle hash of every run of ``width`` words."""
+    h = np.full(max(0, len(words) - width + 1), 0x51ED270B, np.uint64)
+    for k in range(width):
+        h = mix(h + words[k : k + len(h)])
+    return h
+
+
 def shingle_sets(texts: list[bytes | None], width: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; a text of fewer words has one shingle of all of them, a text without words none."""
     for lo, hi in blocks(texts):
@@ -77,9 +85,7 @@ def shingle_sets(texts: list[bytes | None], width: int) -> Iterator[np.ndarray]:
         data = np.frombuffer(b"\n".join(part), np.uint8)
         words, start, _ = word_hashes(data)
         bounds = np.searchsorted(start, np.cumsum([0] + [len(t) + 1 for t in part]))
-        h = np.full(max(0, len(words) - width + 1), 0x51ED270B, np.uint64)
-        for k in range(width):
-            h = mix(h + words[k : k + len(h)])
+        h = shingles_at(words, width)
         for a, b in zip(bounds[:-1], bounds[1:]):
             if b - a >= width:
                 yield np.unique(h[a : b - width + 1])
