@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+FILE_EDGES = 500_000
+
+
 def shared_folder(spark) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
@@ -39,12 +42,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """
     clean = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.col(a).alias("x"), F.col(b).alias("y"))
     both = kept(clean.unionByName(clean.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    labels = kept(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label")))
+    # A file a round for each FILE_EDGES edges: small graphs take few files, large ones as many as their shuffles have partitions.
+    files = -(-both.count() // FILE_EDGES) or 1
+    labels = kept(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label")).coalesce(files))
     for _ in range(rounds):
         near = both.join(labels.select(F.col("x").alias("y"), "label"), "y").groupBy("x").agg(F.min("label").alias("near"))
         step = labels.join(near, "x").select("x", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("x").alias("label"), F.col("label").alias("far"))
-        moved = kept(step.join(jump, "label").select("x", "old", F.least("label", "far").alias("label")))
+        moved = kept(step.join(jump, "label").select("x", "old", F.least("label", "far").alias("label")).coalesce(files))
         labels = moved.select("x", "label")
         if moved.where(F.col("old") != F.col("label")).limit(1).count() == 0:
             break
