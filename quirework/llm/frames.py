@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,20 +28,34 @@ def workspace(spark: SparkSession) -> str:
     return shared_folder(spark)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+_COLLECTED = [0.0]
+
+
+def collected(spark: SparkSession, seconds: float = 5.0) -> None:
+    """Ask the driver to collect its garbage, once in so many seconds: only then are shuffle files deleted that no plan needs any more."""
+    if time.monotonic() - _COLLECTED[0] > seconds:
+        spark._jvm.System.gc()
+        _COLLECTED[0] = time.monotonic()
+
+
 _FOLDERS = "_quirework_folder"
 
 
 def stored(df: DataFrame, name: str = "table", mode: str = "zstd") -> DataFrame:
-    """``df`` written as Parquet into a workspace and read again: cuts the lineage and survives lost executors.
-
-    Shuffle files of what was written are no longer needed; the driver's collector finds that out
-    when it runs, so it is asked to.
-    """
+    """``df`` written as Parquet into a workspace and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     folder = workspace(spark)
     path = f"{folder}/{name}"
     df.write.option("compression", mode).parquet(path)
-    spark._jvm.System.gc()
+    collected(spark)
     out = spark.read.schema(df.schema).parquet(path)
     setattr(out, _FOLDERS, folder)
     return out
@@ -48,9 +64,8 @@ def stored(df: DataFrame, name: str = "table", mode: str = "zstd") -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``stored`` that nothing reads any more."""
     for table in tables:
-        spark, folder = table.sparkSession, getattr(table, _FOLDERS)
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(getattr(table, _FOLDERS))
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -80,6 +95,23 @@ def resident(key: str, make: Callable[[], object]):
     return _RESIDENT[key]
 
 
+BITS = 1 << 28
+
+
+def bitmap_of(ids: DataFrame, column: str = "id"):
+    """Bits (a power of two, BITS at most) and a broadcast bitmap of the low bits of a column of ``ids``.
+
+    The driver gets a row for each 64 bits that are not all 0, so never more than BITS / 64; with
+    few ids the bitmap is folded until it has about 16 bits for each.
+    """
+    low = F.col(column).bitwiseAND(BITS - 1)
+    words = ids.select(F.shiftright(low, 6).alias("w"), F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()
+    size = min(BITS, max(1 << 16, 1 << int(16 * len(words)).bit_length()))
+    table = np.zeros(size // 64, np.int64)
+    np.bitwise_or.at(table, words["w"].to_numpy(np.int64) & (size // 64 - 1), words["v"].to_numpy(np.int64))
+    return size, ids.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+
 def keep_only(key: str) -> None:
     if key not in _RESIDENT:
         _RESIDENT.clear()
@@ -92,7 +124,7 @@ def released() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keeps: str = "") -> DataFrame:
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keeps: str = "") -> DataFrame:
     """``df.mapInArrow`` by tasks that leave nothing in their worker but the resident named ``keeps``."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from .blocks import block_of, block_pairs, compare
-from .frames import bounded_batches, mapped, slices, stored
+from .frames import bitmap_of, bounded_batches, discard, mapped, slices, stored
 from .shingles import mix, shingle_sets
 
 WIDTH = 4
@@ -173,16 +173,10 @@ def sharing(entries: DataFrame, percent: int) -> DataFrame:
 def active_sets(docs: DataFrame, sets_of: Callable, active: DataFrame) -> DataFrame:
     """(id, elements) of the classes in ``active`` (id, d1, d2), from the documents' texts.
 
-    A bitmap of hashed digests (about 16 bits an entry, 32 MB at most) keeps the other documents
+    A bitmap of digests (about 16 bits an entry, 32 MB at most) keeps the other documents
     from being shuffled; a full one only lets more of them through.
     """
-    n = active.count()
-    size = min(1 << 28, max(1 << 16, 1 << int(16 * n).bit_length()))
-    slot = F.pmod("d1", F.lit(size))
-    words = active.select((slot / 64).cast("long").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(d1, {size}) % 64 as int))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()
-    table = np.zeros(size // 64, np.int64)
-    table[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+    size, shared = bitmap_of(active, "d1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -191,7 +185,7 @@ def active_sets(docs: DataFrame, sets_of: Callable, active: DataFrame) -> DataFr
             rows = []
             for s in sets_of(batch.column(0).to_pylist()):
                 d = digest(s)
-                at = d[0] % size
+                at = d[0] & (size - 1)
                 if len(s) and int(table[at >> 6]) >> (at & 63) & 1 and d not in seen:
                     if len(seen) < REMEMBERED:
                         seen.add(d)
@@ -249,6 +243,7 @@ def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     items = stored(block_pairs(placed, "token").unionByName(ends.select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"))).distinct(), "items")
 
     found = compare(items, members.select("id", "block", "size"), sets, percent)
+    discard(pairs, concerned, marks, near, members, items, sets, entries)
     linked = components(found.where(F.col("kind") == 0).select("a", "b"))
     degree = found.where(F.col("kind") == 1).groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("links"))
     reps = linked.select(F.col("node").alias("id"), "component").join(classes.select("id", "rep"), "id")

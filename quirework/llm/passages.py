@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles
-from .frames import slices, stored
+from .frames import bitmap_of, mapped, slices, stored
 from .ngram_join import batch_of
 
 WINDOW = 50
@@ -48,14 +48,19 @@ def extreme(values: np.ndarray, width: int, of=np.minimum) -> np.ndarray:
     return values
 
 
-def word_blocks(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For blocks of texts: number of the first, hashes and line numbers (within the text) of all words, first word of each text (and the end)."""
+ENDS = np.isin(np.arange(256), [ord(c) for c in ".!?"])
+BLANK = np.isin(np.arange(256), [ord(c) for c in " \t"])
+
+
+def word_blocks(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For blocks of texts: number of the first, hashes and line numbers (within the text) of all words, first word of each text (and the end), and whether a sentence ends with the word and the line goes on after a blank."""
     data = [(t or "").encode("utf-8", "replace") for t in texts]
     for lo, hi in shingles.blocks(data):
-        part, offsets = np.frombuffer(b"\n".join(data[lo:hi]), np.uint8), np.cumsum([0] + [len(t) + 1 for t in data[lo:hi]])
-        words, start, _ = shingles.word_hashes(part)
+        part, offsets = np.frombuffer(b"\n".join(data[lo:hi]) + b"\n", np.uint8), np.cumsum([0] + [len(t) + 1 for t in data[lo:hi]])
+        words, start, end = shingles.word_hashes(part)
         bounds, breaks = np.searchsorted(start, offsets), np.cumsum(np.concatenate([[0], part == 10]))
-        yield lo, words, breaks[start] - np.repeat(breaks[offsets[:-1]], np.diff(bounds)), bounds
+        stops = ENDS[part[end - 1]] & BLANK[part[end]]
+        yield lo, words, breaks[start] - np.repeat(breaks[offsets[:-1]], np.diff(bounds)), bounds, stops
 
 
 def windows_of(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,7 +75,7 @@ def anchors(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            for _, words, _, bounds in word_blocks(batch.column(0).to_pylist()):
+            for _, words, _, bounds, _ in word_blocks(batch.column(0).to_pylist()):
                 grams, least, inside = windows_of(words, bounds)
                 if inside.any():
                     edge = np.zeros(REACH - 1, np.uint64)
@@ -78,18 +83,18 @@ def anchors(docs: DataFrame) -> DataFrame:
                     found, n = np.unique(grams[most == grams], return_counts=True)
                     yield batch_of([("id", found.view(np.int64), pa.int64()), ("n", n.astype(np.int64), pa.int64())])
 
-    return docs.select("text").mapInArrow(run, "id long,n long").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("id")
+    return mapped(docs.select("text"), run, "id long,n long").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("id")
 
 
 def candidate_windows(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """(h, doc_id, row, word, line) of the windows whose n-gram occurs again, without those that a removed line of ``gone`` (row, at, till, exact) excludes."""
-    size, shared = bitmap_of(stored(anchors(docs), "anchors"))
+    size, shared = bitmap_of(anchors(docs))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in slices(batches):
             ids, rows, texts = (c.to_pylist() for c in batch.columns)
-            for lo, words, lines, bounds in word_blocks(texts):
+            for lo, words, lines, bounds, _ in word_blocks(texts):
                 _, least, inside = windows_of(words, bounds)
                 if not inside.any():
                     continue
@@ -122,17 +127,8 @@ def candidate_windows(docs: DataFrame, gone: DataFrame) -> DataFrame:
                     yield batch_of([("h", np.frombuffer(h, np.int64)[keep], pa.int64()), ("doc_id", [doc] * k, pa.int64()), ("row", np.full(k, row), pa.int64()), ("word", at.astype(np.int32), pa.int32()), ("line", where, pa.int32())])
 
     cut = gone.groupBy("row").agg(F.collect_set(F.struct("at", "till", "exact")).alias("cut"))
-    blobs = docs.select("doc_id", "row", "text").mapInArrow(hashed, "doc_id long,row long,runs binary,heads binary,h binary")
-    return blobs.join(cut, "row", "left").select("doc_id", "row", "runs", "heads", "h", "cut").mapInArrow(dealt, "h long,doc_id long,row long,word int,line int")
-
-
-def bitmap_of(ids: DataFrame):
-    """Bits (a power of two, 32 MB at most) and a broadcast bitmap of the low bits of ``ids`` (id)."""
-    size = min(1 << 28, max(1 << 16, 1 << int(16 * ids.count()).bit_length()))
-    words = ids.select((F.col("id").bitwiseAND(size - 1) / 64).cast("long").alias("w"), F.expr("shiftleft(1L, cast(id & 63 as int))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()
-    table = np.zeros(size // 64, np.int64)
-    table[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64)
-    return size, ids.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+    blobs = mapped(docs.select("doc_id", "row", "text"), hashed, "doc_id long,row long,runs binary,heads binary,h binary")
+    return mapped(blobs.join(cut, "row", "left").select("doc_id", "row", "runs", "heads", "h", "cut"), dealt, "h long,doc_id long,row long,word int,line int")
 
 
 def passages(docs: DataFrame, gone: DataFrame) -> DataFrame:

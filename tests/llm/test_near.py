@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quirework.llm import blocks, ngram_join, paragraphs, simhash
-from quirework.llm.shingles import shingle_sets
+from quirework.llm.shingles import mix, shingle_sets
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -118,7 +118,59 @@ def test_paragraphs(spark, odd, clashing, nothing):
     rows = paragraphs.duplicate_units(clashing).collect()
     assert {r.doc_id for r in rows} == {2, 4, 6, 100} and sum(not r.removed for r in rows) == 1
     assert paragraphs.duplicate_units(nothing).count() == 0
-    assert paragraphs.deduplicated(clashing).count() == 14
+    kept = paragraphs.deduplicated(clashing)
+    assert kept.columns == clashing.columns and kept.count() == 14
+
+
+def test_of_equal_rows_one_keeps_its_text(spark):
+    """Rows that share doc_id and text, and rows without doc_id."""
+    rng = random.Random(14)
+    a, b = (" ".join(f"r{rng.randint(0, 10**6)}" for _ in range(40)) for _ in range(2))
+    df = spark.createDataFrame([(9, a), (9, a), (9, b), (None, b), (None, b), (4, "few words")], "doc_id long, text string").repartition(3)
+    left = sorted(((r.doc_id or 0, r.text) for r in paragraphs.deduplicated(df).collect()))
+    assert left == sorted([(9, a), (9, ""), (9, ""), (0, b), (0, ""), (4, "few words")])
+    got = sorted((r.doc_id or 0, r.n_words, r.cluster_size, r.removed) for r in paragraphs.duplicate_units(df).collect())
+    assert got == sorted([(9, 40, 2, False), (9, 40, 2, True), (0, 40, 3, False), (0, 40, 3, True), (9, 40, 3, True)])
+
+
+def plain_paragraphs(docs):
+    """doc_id, first word and removed of the paragraphs that are in clusters, where every repeated line has 20 words or more: all pairs compared."""
+    lines, out = [], []
+    for d, t in docs:
+        at = 0
+        for line in (t or "").split("\n"):
+            w = line.translate(LOWER).split()
+            if w:
+                lines.append((d, at, tuple(w), shingles(line, 5) if len(w) >= 12 else frozenset()))
+            at += len(w)
+    parent = list(range(len(lines)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, x in enumerate(lines):
+        for j in range(i):
+            y = lines[j]
+            if x[2] == y[2] or x[3] and y[3] and 100 * len(x[3] & y[3]) >= 80 * len(x[3] | y[3]):
+                parent[root(i)] = root(j)
+    groups = {}
+    for i in range(len(lines)):
+        groups.setdefault(root(i), []).append(lines[i][:2])
+    for g in groups.values():
+        if len(g) > 1:
+            out += [(d, at, (d, at) != min(g)) for d, at in g]
+    return sorted(out)
+
+
+def test_paragraph_clusters_against_all_pairs(spark):
+    rng = random.Random(15)
+    pool = [t for _ in range(8) for t in family(rng, 6, words=rng.randint(25, 60), edits=3)]
+    docs = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.5 else " ".join(f"u{rng.randint(0, 10**6)}" for _ in range(rng.randint(1, 40))) for _ in range(rng.randint(0, 5)))) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = sorted((r.doc_id, r.unit, r.removed) for r in paragraphs.duplicate_units(df).collect() if r.level == "paragraph")
+    assert got == plain_paragraphs(docs) and len(got) > 50
 
 
 def test_banding_finds_what_it_should():
@@ -127,7 +179,7 @@ def test_banding_finds_what_it_should():
     for _ in range(400):
         a = rng.integers(1, 1 << 62, 90, dtype=np.uint64)
         b = np.concatenate([a[:80], rng.integers(1, 1 << 62, 10, dtype=np.uint64)])  # a Jaccard index of 0.8
-        x, y = paragraphs.signatures([a, b], bands)
+        x, y = paragraphs.signatures(mix(np.concatenate([a, b])), np.array([0, len(a)]), bands)
         found += bool((x == y).any())
     assert found >= 390
 
