@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .frames import arrow_types, bounded_batches, mapped, slices
 from .grams import normal, slot, sums, windows
@@ -120,11 +121,14 @@ def identify(docs: DataFrame, filters: Filters, *keep: Column | str) -> DataFram
     """The columns ``keep`` of every row with lang_pred, score and coverage.
 
     lang_pred is ``und`` (scores 0) where the text is null or has no letter.  score is the winner's
-    part of all languages' corrected hits, coverage its corrected hits by the text's n-grams.
-    Whole texts count; equal texts get equal values; an empty table gives no rows.
+    part of all languages' corrected hits, coverage its corrected hits by the text's n-grams; of
+    equal estimates the first language's counts.  Whole texts count; equal texts get equal values;
+    repeated rows stay; an empty table gives no rows.  Columns named like the three new ones are best
+    kept inside a struct.
     """
-    out = docs.select(*keep, F.col("text").alias("_text"))
-    names = [f.name for f in out.schema if f.name != "_text"] + ["lang_pred", "score", "coverage"]
+    out = docs.select(*keep, F.col("text"))
+    schema = StructType([*out.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("coverage", DoubleType())])
+    names = schema.names
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     kinds = arrow_types("a string,b double,c double")
     bounded_batches(docs.sparkSession)
@@ -135,5 +139,4 @@ def identify(docs: DataFrame, filters: Filters, *keep: Column | str) -> DataFram
             found = [pa.array(c, t) for c, t in zip(zip(*model.predict(batch.column(batch.num_columns - 1).to_pylist())), kinds)]
             yield pa.RecordBatch.from_arrays(batch.columns[:-1] + found, names=names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name != "_text")
-    return mapped(out, run, f"{schema}{', ' if schema else ''}lang_pred string, score double, coverage double")
+    return mapped(out, run, schema)

@@ -78,15 +78,18 @@ def mix(docs: DataFrame, entropy: float | None = 0.98, repeats: float | None = 4
     copies hold its weight's part of the budget (to 1e-9), up to less than one document more.  Documents
     without words weigh nothing: they are in every whole epoch, and in the cut one with the block
     they are in.  Equal rows are placed alike.  Sorting by (epoch, mix_order) gives the mixed
-    order.  An empty table gives no rows; columns epoch and mix_order are replaced.
+    order.  A null source is a source, a null text has no words.  An empty table gives no rows;
+    columns epoch and mix_order are replaced, all others stay whatever their names.
     """
-    rows = docs.drop("epoch", "mix_order").withColumn("_tokens", n_words("text"))
-    plan = plan_mix(rows.select("doc_id", "source", F.col("_tokens").alias("tokens")), entropy, repeats, budget, key)
-    weighed = rows.withColumn("_row", row_key(F.col("doc_id"), F.col("_tokens"), key))
+    kept = [c for c in docs.columns if c.lower() not in ("epoch", "mix_order")]
+    tokens = n_words("text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), "doc_id", "source", tokens.alias("tokens"))
+    plan = plan_mix(rows.select("doc_id", "source", "tokens"), entropy, repeats, budget, key)
+    weighed = rows.select("doc", "source", row_key(F.col("doc_id"), F.col("tokens"), key).alias("row"))
     taken = plan.select(F.col("source").alias("_source"), F.col("row").alias("_row"), "copies").distinct()
-    met = weighed.join(taken, weighed["source"].eqNullSafe(taken["_source"]) & (weighed["_row"] == taken["_row"]))
-    epochs = met.drop(taken["_source"]).drop(taken["_row"]).where(F.col("copies") > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)))
-    return epochs.withColumn("mix_order", number(F.lit(key), F.col("epoch"), F.col("_row"))).drop("_tokens", "_row", "copies")
+    met = weighed.join(taken, weighed["source"].eqNullSafe(taken["_source"]) & (weighed["row"] == taken["_row"]))
+    epochs = met.where(F.col("copies") > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)))
+    return epochs.select("doc.*", "epoch", number(F.lit(key), F.col("epoch"), F.col("row")).alias("mix_order"))
 
 
 def row_key(doc_id: Column, tokens: Column, key: str) -> Column:

@@ -27,8 +27,12 @@ def op2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.duplicate_units(documents(spark, sf_dir))
 
 
+#: The key of the queries and of the pipeline over test documents.  It is public: real documents need a key of their own.
+EXAMPLE_KEY = "example, not secret"
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pii_documents(documents(spark, sf_dir))
+    return pii.pii_documents(documents(spark, sf_dir), EXAMPLE_KEY)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

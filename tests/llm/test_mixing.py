@@ -55,7 +55,10 @@ def test_cut_takes_whole_blocks(corpus, monkeypatch):
 
 
 def test_odd_rows(odd, clashing, nothing):
-    out = mixing.mix(clashing.drop("epoch", "mix_order"), entropy=None, repeats=None)
+    named = clashing.withColumns({n: F.lit(n) for n in ("copies", "doc", "tokens", "_tokens", "_source")})
+    out = mixing.mix(named, entropy=None, repeats=None)
+    assert {(r["copies"], r["doc"], r["tokens"], r["_tokens"], r["_source"], r["_row"]) for r in out.collect()} == {("copies", "doc", "tokens", "_tokens", "_source", "x")}
+    assert dict(out.dtypes)["epoch"] == "int" and len(out.columns) == len(set(out.columns))
     got = sorted((str(r.doc_id), r.text or "") for r in out.collect())
     assert got == sorted((str(r.doc_id), r.text or "") for r in odd.collect()) and {"epoch", "mix_order", "block"} <= set(out.columns)
     assert mixing.mix(nothing).count() == 0 and mixing.mix_table(nothing).count() == 0

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quirework.llm import language, queries, toxicity
 from quirework.llm.grams import normal
@@ -20,8 +21,10 @@ def test_filters_count_languages():
 
 def test_language_edges(spark, odd, clashing, nothing):
     filters = language.train(odd.select("doc_id", "text", "lang"))
-    got = [(r.doc_id, r.lang_pred, r.score) for r in language.identify(clashing.drop("lang_pred", "score", "coverage"), filters, "doc_id").collect()]
+    got = [(r.doc_id, r.lang_pred, r.score) for r in language.identify(clashing, filters, "doc_id").collect()]
     assert len(got) == 14
+    whole = language.identify(clashing, filters, F.struct("*").alias("doc")).select("doc.*")
+    assert whole.columns == clashing.columns and whole.count() == 14
     by = {d: (p, s) for d, p, s in got}
     assert by[5] == by[3] == by[8] == by[11] == ("und", 0.0) and by[1][0] == "en" and by[10][0] in ("en", "fr") and all(0 <= s <= 1 for _, s in by.values())
     none = language.train(nothing.select("doc_id", "text", "lang"))
