@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators.components import shared_folder
 
 #: Bytes of a batch handed to Python, about, and of the slices that are worked on at a time: numpy's intermediate arrays are 8 bytes and more for each byte of text.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 SLICE_BYTES = 1 << 20
 
 
