@@ -7,45 +7,70 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
-GRAM = 2
+#: Characters by which forms and texts are brought together, and characters of forms that an automaton takes (some 100 bytes each).
+GRAM = 4
+SCANNED = 2_000_000
 
 
-def relevant_entities(chunks: DataFrame, forms: DataFrame, chunk: str, text: str) -> DataFrame:
+def relevant_entities(chunks: DataFrame, forms: DataFrame, chunk: str, text: str, most: int = SCANNED) -> DataFrame:
     """(chunk, entity_id): entities one of whose source forms is in the chunk's text.
 
-    Blocking that loses nothing: a form in the text has its first two characters there, so the
-    distinct bigrams of the text meet the forms; only those pairs are tested.
+    Up to ``most`` characters of forms, as they are counted first, go into one automaton that passes
+    each text once; more are met by blocking.  Both find the same.
     """
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(GRAM))))
-    have = chunks.where(F.length(text) > 0).select(chunk, F.explode(grams).alias("_g"))
-    ones = chunks.where(F.length(text) > 0).select(chunk, F.explode(F.array_distinct(F.split(text, ""))).alias("_g")).where(F.length("_g") == 1)
-    f = forms.where(F.length("source") > 0).select("entity_id", "source", F.substring("source", 1, GRAM).alias("_g"))
-    met = have.unionByName(ones).distinct().join(f, "_g").select(chunk, "entity_id", "source").distinct()
-    return met.join(chunks.select(chunk, text), chunk).where(F.col(text).contains(F.col("source"))).select(chunk, "entity_id").distinct()
+    listed = forms.where(F.length("source") > 0).select("entity_id", "source").distinct()
+    if (listed.agg(F.sum(F.length("source"))).first()[0] or 0) <= most:
+        return relevant_entities_scan(chunks, listed, chunk, text)
+    return relevant_entities_blocked(chunks, listed, chunk, text)
 
 
-def relevant_entities_scan(chunks: DataFrame, forms: list[tuple[str, str]], chunk: str, text: str) -> DataFrame:
-    """The same by one automaton over all forms, for a list of forms that is known to be small."""
-    kind = chunks.schema[chunk].dataType.simpleString()
+def relevant_entities_blocked(chunks: DataFrame, forms: DataFrame, chunk: str, text: str) -> DataFrame:
+    """The same for any number of forms: a form in the text has its first GRAM characters there.
+
+    The distinct runs of GRAM characters of a text (of fewer, at its end) meet the forms that begin
+    so.  A chunk's candidates are gathered and tested within the text, which is joined once.
+    """
+    have = chunks.where(F.length(text) > 0).select(chunk, F.col(text).alias("_text"), F.xxhash64(chunk, text).alias("_row"))
+    at = F.sequence(F.lit(1), F.greatest(F.length("_text"), F.lit(1)))
+    runs = [F.transform(at, lambda i, n=n: F.substring(F.col("_text"), i, F.lit(n))) for n in range(1, GRAM + 1)]
+    starts = have.select("_row", F.explode(F.array_distinct(F.concat(*runs))).alias("_g"))
+    begun = forms.select("entity_id", "source", F.substring("source", 1, GRAM).alias("_g"))
+    met = starts.distinct().join(begun, "_g").groupBy("_row").agg(F.collect_set(F.struct("source", "entity_id")).alias("_f"))
+    held = have.join(met, "_row").select(chunk, F.explode(F.array_distinct(F.transform(F.filter("_f", lambda f: F.contains(F.col("_text"), f["source"])), lambda f: f["entity_id"]))).alias("entity_id"))
+    return held.distinct()
+
+
+def relevant_entities_scan(chunks: DataFrame, forms: DataFrame, chunk: str, text: str) -> DataFrame:
+    """The same by one automaton over all forms, for forms whose size has been found small enough to be sent to all executors."""
+    entity = forms.schema["entity_id"].dataType
+    schema = StructType([chunks.select(chunk).schema[0], StructField("entity_id", entity)])
+    by_source: dict[str, list] = {}
+    for row in forms.where(F.length("source") > 0).collect():
+        by_source.setdefault(row["source"], []).append(row["entity_id"])
+    shared = chunks.sparkSession.sparkContext.broadcast(by_source)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         machine = ahocorasick.Automaton()
-        for source, entity in forms:
-            if source:
-                machine.add_word(source, {*machine.get(source, ()), entity})
+        for source, entities in shared.value.items():
+            machine.add_word(source, entities)
         machine.make_automaton()
+        kinds = to_arrow_schema(schema)
         for batch in batches:
             ids, found = [], []
             for i, t in zip(*(c.to_pylist() for c in batch.columns)):
-                for e in sorted({e for _, es in machine.iter(t or "") for e in es}) if len(machine) else ():
-                    ids.append(i)
-                    found.append(e)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(found, pa.string())], names=[chunk, "entity_id"])
-
-    return chunks.select(chunk, text).mapInArrow(scan, f"{chunk} {kind}, entity_id string")
+                hits = {id(es): es for _, es in machine.iter(t)}
+                entities = {e for es in hits.values() for e in es}
+                ids += [i] * len(entities)
+                found += entities
+            yield pa.RecordBatch.from_arrays([pa.array(ids, kinds.field(0).type), pa.array(found, kinds.field(1).type)], schema=kinds)
+
+    texts = chunks.select(chunk, text).where((F.length(text) > 0) & F.lit(bool(by_source)))
+    return texts.mapInArrow(scan, schema).distinct()
 
 
 def rolling_window(items: DataFrame, group: str, order: str, text: str, tokens: str, budget: int = 2000) -> DataFrame:

@@ -79,6 +79,13 @@ def shared_value_pairs(values: DataFrame, id_: str, value: str) -> DataFrame:
     return v.select(F.col("id").alias("a"), "v").join(v.select(F.col("id").alias("b"), "v"), "v").where(F.col("a") < F.col("b")).select("a", "b").distinct()
 
 
+def shared_value_edges(values: DataFrame, id_: str, value: str) -> DataFrame:
+    """Edges (a, b) from the smallest entity of each shared value to the others: the same components as all pairs, in one row an entity and value."""
+    v = values.where(F.col(value).isNotNull()).select(F.col(id_).alias("b"), F.col(value).alias("v")).distinct()
+    least = v.groupBy("v").agg(F.min("b").alias("a"), F.count("*").alias("n")).where(F.col("n") > 1).select("v", "a")
+    return v.join(least, "v").where(F.col("a") < F.col("b")).select("a", "b").distinct()
+
+
 def alias_pairs(aliases: DataFrame, sources: DataFrame, id_: str, value: str) -> DataFrame:
     """Entities one of whose aliases is the other's source or alias."""
     a = aliases.select(F.col(id_).alias("a"), F.col(value).alias("v")).distinct()

@@ -38,13 +38,12 @@ def pair_translation_containment(spark, d):
 
 
 def pair_shared_key(spark, d):
-    keyed = names(spark, d).select("id", F.element_at(F.split("p_name", " "), 1).alias("reading"))
-    return E.shared_value_pairs(keyed.withColumn("reading", F.when(F.col("reading") != "red", F.col("reading"))), "id", "reading")
+    return E.shared_value_pairs(names(spark, d).select("id", F.element_at(F.split("p_name", " "), 1).alias("reading")), "id", "reading")
 
 
 def pair_alias_overlap(spark, d):
     n = names(spark, d)
-    return E.alias_pairs(n.where(F.col("id") % 3 == 0).select("id", F.element_at(F.split("p_name", " "), -1).alias("v")), n.select("id", F.element_at(F.split("p_name", " "), -1).alias("v")), "id", "v")
+    return E.alias_pairs(n.select("id", F.element_at(F.split("p_name", " "), -1).alias("v")), n.select("id", F.element_at(F.split("p_name", " "), -1).alias("v")), "id", "v")
 
 
 def fuzzy(spark, d):
@@ -101,8 +100,9 @@ def pick_winner(spark, d):
 
 
 def linked(spark, d):
-    n = names(spark, d).select("id", F.element_at(F.split("p_name", " "), 1).alias("w")).where(F.col("w") != "red")
-    return E.shared_value_pairs(n, "id", "w").unionByName(pair_alias_overlap(spark, d).where((F.col("a") + F.col("b")) % 11 == 0))
+    """Names linked where brand and type of their part are the same: edges to the smallest of each group."""
+    p = table(spark, d, "part", "p_partkey", "p_brand", "p_type").withColumnRenamed("p_partkey", "id")
+    return E.shared_value_edges(names(spark, d).join(p, "id").select("id", F.concat_ws("/", "p_brand", "p_type").alias("v")), "id", "v")
 
 
 def merge_components(spark, d):
@@ -158,7 +158,7 @@ def conflict_log(spark, d):
 
 def summary_fold(spark, d):
     turns = table(spark, d, "conversations", "conv_id", "turn", "text")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 90).alias("t")))), lambda x: F.replace(x["t"], F.lit("\n"), F.lit(" ")))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("t")))), lambda x: F.replace(x["t"], F.lit("\n"), F.lit(" ")))
     return turns.groupBy("conv_id").agg(listed.alias("l")).select("conv_id", L.summary_fold(F.col("l"), 200).alias("summary"))
 
 
@@ -197,12 +197,12 @@ N = "n AS (SELECT p_name, min(p_partkey) AS id FROM part GROUP BY p_name)"
 LAST = "list_last(string_split({}, ' '))".format
 FIRST = "string_split({}, ' ')[1]".format
 SUBSTRING = f"f AS (SELECT id, p_name AS form FROM n UNION SELECT id, {LAST('p_name')} FROM n), ss AS (SELECT DISTINCT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b FROM f x JOIN f y ON x.id <> y.id AND length(x.form) > 1 AND contains(y.form, x.form))"
-SHARED = f"k AS (SELECT id, {FIRST('p_name')} AS w FROM n WHERE {FIRST('p_name')} <> 'red'), sk AS (SELECT x.id AS a, y.id AS b FROM k x JOIN k y ON x.w = y.w AND x.id < y.id)"
-ALIAS = f"al AS (SELECT DISTINCT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b FROM n x JOIN n y ON x.id % 3 = 0 AND x.id <> y.id AND {LAST('x.p_name')} = {LAST('y.p_name')})"
+SHARED = f"k AS (SELECT id, {FIRST('p_name')} AS w FROM n), sk AS (SELECT x.id AS a, y.id AS b FROM k x JOIN k y ON x.w = y.w AND x.id < y.id)"
+ALIAS = f"al AS (SELECT DISTINCT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b FROM n x JOIN n y ON x.id <> y.id AND {LAST('x.p_name')} = {LAST('y.p_name')})"
 FUZZY = "jw AS (SELECT a, b, s AS jw FROM (SELECT x.id AS a, y.id AS b, greatest(jaro_winkler_similarity(x.p_name, y.p_name), jaro_winkler_similarity(reverse(x.p_name), reverse(y.p_name))) AS s FROM n x JOIN n y ON x.id < y.id) WHERE s >= 0.75)"
 FOUND = f"""{N}, {SUBSTRING}, {SHARED}, {ALIAS}, {FUZZY}, t AS (SELECT a, b, 'source_substring' AS h, NULL::DOUBLE AS jw FROM ss UNION ALL SELECT a, b, 'shared_reading', NULL FROM sk UNION ALL SELECT a, b, 'alias_overlap', NULL FROM al UNION ALL SELECT a, b, 'jaro_winkler', jw FROM jw),
 ev AS (SELECT a, b, string_agg(DISTINCT h, ',' ORDER BY h) AS heuristics, max(jw) AS jw, a % 2 = b % 2 AS same_category, count(DISTINCT h) FILTER (h <> 'jaro_winkler') + CASE WHEN max(jw) >= 0.9 THEN 1 ELSE 0 END AS strong FROM t GROUP BY a, b)"""
-LINKED = f"{N}, {SHARED}, {ALIAS}, li AS (SELECT a, b FROM sk UNION SELECT a, b FROM al WHERE (a + b) % 11 = 0), bo AS (SELECT a, b FROM li UNION SELECT b, a FROM li), re AS (SELECT a AS node, b AS r FROM bo UNION SELECT re.node, bo.b FROM re JOIN bo ON bo.a = re.r), co AS (SELECT node, least(node, min(r)) AS component FROM re GROUP BY node)"
+LINKED = f"{N}, kv AS (SELECT id, concat_ws('/', p_brand, p_type) AS v FROM n JOIN part ON p_partkey = id), li AS (SELECT x.id AS a, y.id AS b FROM kv x JOIN kv y ON x.v = y.v AND x.id < y.id), bo AS (SELECT a, b FROM li UNION SELECT b, a FROM li), re AS (SELECT a AS node, b AS r FROM bo UNION SELECT re.node, bo.b FROM re JOIN bo ON bo.a = re.r), co AS (SELECT node, least(node, min(r)) AS component FROM re GROUP BY node)"
 COS = "cs AS (SELECT * FROM (SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 4) AS cosine, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS c FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id) WHERE c >= 0.30)"
 LINKS = f"l AS (SELECT {LAST('p_name')} AS entity_id, p_partkey AS ord, p_name AS source, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand END AS translation, CASE WHEN p_partkey % 5 = 0 THEN p_type END AS reading, printf('%06d', p_partkey) AS chunk_id, p_type AS category FROM part)"
 DISTINCT = "list_transform(list_sort(list_transform(map_entries(m), lambda e: {'o': e.value, 'v': e.key})), lambda x: x.v)"
@@ -238,7 +238,7 @@ SELECT root AS id, arg_min(p_name, rn) AS name, any_value(forms) AS forms, any_v
     "mention_link_exact": "SELECT 'book' || p_partkey % 4 AS book_id, p_name AS source, min(p_partkey) AS first_ord, count(*) AS n FROM part GROUP BY ALL",
     "surface_form_upsert": f"WITH {LINKS}, {FORMS} SELECT entity_id, source, occurrence_count, translation, translation_variants, reading, first_seen_chunk FROM sf",
     "conflict_log": f"WITH {LINKS}, {CONFLICTS} SELECT entity_id, source_form, current_translation, alternatives, category_variants FROM cf",
-    "summary_fold": r"""WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, replace(substr(text, 1, 90), chr(10), ' ') AS x FROM conversations),
+    "summary_fold": r"""WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, replace(text, chr(10), ' ') AS x FROM conversations),
 s AS (SELECT conv_id, 0::BIGINT AS n, '' AS s FROM t GROUP BY conv_id UNION ALL SELECT conv_id, n, CASE WHEN contains(s, x) OR x = '' THEN s WHEN length(j) > 200 THEN regexp_replace(substr(j, 1, 200), ' [^ ]*$', '') || '...' ELSE j END FROM (SELECT s.conv_id, t.n, s.s, t.x, CASE WHEN s.s = '' THEN t.x ELSE s.s || ' ' || t.x END AS j FROM s JOIN t ON t.conv_id = s.conv_id AND t.n = s.n + 1))
 SELECT conv_id, arg_max(s, n) AS summary FROM s GROUP BY conv_id""",
     "entity_ids": "WITH p AS (SELECT p_partkey, lower(p_type) AS c FROM part), m AS (SELECT c, max(p_partkey) AS top FROM p WHERE p_partkey < 20 GROUP BY c) SELECT p_partkey, c || printf('_%06d', coalesce(top, 0) + row_number() OVER (PARTITION BY c ORDER BY p_partkey)) AS entity_id FROM p LEFT JOIN m USING (c) WHERE p_partkey >= 20",

@@ -18,7 +18,7 @@ def turns(spark, d):
 
 def relevant_terms(spark, d):
     terms = table(spark, d, "part", "p_name").select(F.explode(F.split("p_name", " ")).alias("source")).distinct()
-    short = table(spark, d, "documents", "text").select(F.explode(F.filter(F.split("text", " "), lambda w: F.length(w) == 3)).alias("source")).groupBy("source").count().orderBy(F.desc("count"), "source").limit(40).select("source")
+    short = table(spark, d, "documents", "text").select(F.explode(F.filter(F.split("text", " "), lambda w: F.length(w) == 3)).alias("source")).distinct()
     forms = terms.unionByName(short).distinct().select(F.col("source").alias("entity_id"), "source")
     docs = table(spark, d, "documents", "doc_id", "text")
     return X.relevant_entities(docs, forms, "doc_id", "text")
@@ -31,7 +31,7 @@ def rolling_window(spark, d):
 
 
 def overlap_prev(spark, d):
-    chunks = turns(spark, d).select((F.col("conv_id") % 10).alias("book"), F.col("conv_id").alias("spine"), "turn", F.substring("text", 1, 40).alias("head"))
+    chunks = turns(spark, d).select((F.col("conv_id") % 10).alias("book"), F.col("conv_id").alias("spine"), "turn", md5(F.col("text")).alias("head"))
     return X.overlap(chunks, "book", "spine", "turn", ["turn", "head"]).select("spine", "turn", F.coalesce("previous_turn", F.lit(-1)).alias("previous_turn"), "previous_head")
 
 
@@ -58,8 +58,8 @@ def length_ratio_gate(spark, d):
 
 def analysis_strip(spark, d):
     docs = table(spark, d, "documents", "doc_id", "text")
-    first = F.regexp_extract("text", r"^([^\n]*)", 1)
-    answer = F.when(F.col("doc_id") % 3 == 0, F.concat(first, F.lit("</analysis>\nx</analysis>\n "), first)).when(F.col("doc_id") % 3 == 1, F.concat(first, F.lit("</analysis>"), F.col("text"))).otherwise(F.col("text"))
+    text = F.col("text")
+    answer = F.when(F.col("doc_id") % 3 == 0, F.concat(text, F.lit("</analysis>\nx</analysis>\n "), text)).when(F.col("doc_id") % 3 == 1, F.concat(text, F.lit("</analysis>"), text)).otherwise(F.col("text"))
     out = Q.analysis(answer)
     return docs.select("doc_id", out["has_boundary"].alias("has_boundary"), md5(F.coalesce(out["analysis"], F.lit("none"))).alias("analysis_md5"), md5(out["text"]).alias("text_md5"))
 
@@ -85,8 +85,8 @@ def message_build(spark, d):
     a = answers(spark, d)
     glossary = F.when(F.col("conv_id") % 2 == 0, F.lit("terms"))
     summary = F.when(F.col("turn") > 1, F.lit("so far"))
-    m = Q.message_array(system=F.lit("Translate."), glossary=glossary, summary=summary, source=F.substring("source", 1, 20))
-    return a.select("conv_id", "turn", F.array_join(F.transform(m, lambda x: F.concat(x["role"], F.lit("="), x["content"])), "|").alias("messages"))
+    m = Q.message_array(system=F.lit("Translate."), glossary=glossary, summary=summary, source=F.col("source"))
+    return a.select("conv_id", "turn", F.array_join(F.transform(m, lambda x: F.concat(x["role"], F.lit("="), md5(x["content"]))), "|").alias("messages"))
 
 
 def range_filter(spark, d):
@@ -101,7 +101,7 @@ def token_usage(spark, d):
 
 
 def summary_upsert(spark, d):
-    rows = turns(spark, d).select("conv_id", "role", "turn", F.substring("text", 1, 30).alias("summary"))
+    rows = turns(spark, d).select("conv_id", "role", "turn", F.col("text").alias("summary"))
     return X.latest(rows, ["conv_id", "role"], "turn").select("conv_id", "role", "turn", "summary")
 
 
@@ -128,7 +128,7 @@ def css_strip(spark, d):
 
 
 def title_dedupe(spark, d):
-    titles = table(spark, d, "pages", "page_id", "html").select("page_id", F.substring(F.regexp_extract("html", "<title>([^<]*)</title>", 1), 1, 4).alias("title"))
+    titles = table(spark, d, "pages", "page_id", "html").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
     return A.distinct_titles(titles, "title", "page_id")
 
 
@@ -179,28 +179,28 @@ s AS (SELECT stage, item_id, CASE WHEN c IS NOT NULL AND (f IS NULL OR c > f) TH
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')".format
 
 ORACLE = {
-    "relevant_terms": r"""WITH t AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part), s AS (SELECT w FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) WHERE length(w) = 3 GROUP BY w ORDER BY count(*) DESC, w LIMIT 40), f AS (SELECT w FROM t UNION SELECT w FROM s)
+    "relevant_terms": r"""WITH t AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part), s AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) WHERE length(w) = 3), f AS (SELECT w FROM t UNION SELECT w FROM s)
 SELECT doc_id, w AS entity_id FROM documents JOIN f ON contains(text, w)""",
     "rolling_window": f"""WITH c AS (SELECT *, {tokens_sql('text')} AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations), p AS (SELECT a.conv_id, a.turn, b.turn AS bt, b.text, a.i - b.i AS away, sum(b.n) OVER (PARTITION BY a.conv_id, a.turn ORDER BY b.turn DESC) AS s FROM c a JOIN c b ON b.conv_id = a.conv_id AND b.turn < a.turn),
 k AS (SELECT conv_id, turn, count(*) AS w, string_agg(text, chr(10) || '---' || chr(10) ORDER BY bt) AS t FROM p WHERE s <= 400 OR away = 1 GROUP BY ALL) SELECT c.conv_id, c.turn, coalesce(w, 0) AS window_size, md5(coalesce(t, '')) AS window_md5 FROM c LEFT JOIN k ON k.conv_id = c.conv_id AND k.turn = c.turn""",
-    "overlap_prev": "SELECT conv_id AS spine, turn, coalesce(lag(turn) OVER w, -1) AS previous_turn, lag(substr(text, 1, 40)) OVER w AS previous_head FROM conversations WINDOW w AS (PARTITION BY conv_id % 10 ORDER BY conv_id, turn)",
+    "overlap_prev": "SELECT conv_id AS spine, turn, coalesce(lag(turn) OVER w, -1) AS previous_turn, lag(md5(text)) OVER w AS previous_head FROM conversations WINDOW w AS (PARTITION BY conv_id % 10 ORDER BY conv_id, turn)",
     "overlap_within": "SELECT conv_id AS spine, turn, coalesce(lag(turn) OVER (PARTITION BY conv_id ORDER BY turn), -1) AS previous_turn FROM conversations",
     "sequence_gate": "SELECT spine, turn FROM (SELECT conv_id AS spine, turn, conv_id * 7 + turn < 300 AS done, lag(conv_id * 7 + turn < 300) OVER (PARTITION BY conv_id % 10 ORDER BY conv_id, turn) AS before FROM conversations) WHERE NOT done AND coalesce(before, true)",
     "length_ratio_gate": f"WITH {ANSWERS} SELECT conv_id, turn, {GATE} AS gate FROM an",
-    "analysis_strip": rf"""WITH f AS (SELECT doc_id, text, regexp_extract(text, '^([^\n]*)', 1) AS one FROM documents), a AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN one || '</analysis>' || chr(10) || 'x</analysis>' || chr(10) || ' ' || one WHEN 1 THEN one || '</analysis>' || text ELSE text END AS t FROM f)
+    "analysis_strip": rf"""WITH a AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text || '</analysis>' || chr(10) || 'x</analysis>' || chr(10) || ' ' || text WHEN 1 THEN text || '</analysis>' || text ELSE text END AS t FROM documents)
 SELECT doc_id, contains(t, '</analysis>') AS has_boundary, md5(CASE WHEN contains(t, '</analysis>') THEN regexp_extract(t, '(?s)^(.*</analysis>)(.*)$', 1) ELSE 'none' END) AS analysis_md5, md5(CASE WHEN contains(t, '</analysis>') THEN {STRIP("list_last(string_split(t, '</analysis>'))")} ELSE t END) AS text_md5 FROM a""",
     "qa_verdict": f"WITH {ANSWERS} SELECT conv_id, turn, CASE WHEN {GATE} IN ('short', 'long') OR conv_id % 7 = 0 OR conv_id % 3 = 0 THEN 'fail' ELSE 'pass' END AS verdict FROM an",
     "attempt_select": "SELECT conv_id, max(turn) AS attempt, arg_max(length(text), turn) AS n_issues, count(*) AS total_attempts FROM conversations GROUP BY conv_id",
     "attempt_next": "SELECT conv_id, max(turn) + 1 AS next_attempt FROM conversations GROUP BY conv_id",
-    "message_build": f"WITH {ANSWERS} SELECT conv_id, turn, 'system=Translate.' || CASE WHEN conv_id % 2 = 0 THEN '|user=terms|assistant=Understood.' ELSE '' END || CASE WHEN turn > 1 THEN '|user=so far|assistant=Understood.' ELSE '' END || '|user=' || substr(source, 1, 20) AS messages FROM an",
+    "message_build": f"WITH {ANSWERS} SELECT conv_id, turn, 'system=' || md5('Translate.') || CASE WHEN conv_id % 2 = 0 THEN '|user=' || md5('terms') || '|assistant=' || md5('Understood.') ELSE '' END || CASE WHEN turn > 1 THEN '|user=' || md5('so far') || '|assistant=' || md5('Understood.') ELSE '' END || '|user=' || md5(source) AS messages FROM an",
     "range_filter": "SELECT conv_id, unnest(range(1, n + 1)) AS chunk_index FROM (SELECT conv_id, count(*) AS n FROM conversations WHERE conv_id BETWEEN 4 AND 20 GROUP BY conv_id) UNION ALL SELECT conv_id, i FROM (SELECT conv_id, unnest(range(1, n + 1)) AS i FROM (SELECT conv_id, count(*) AS n FROM conversations WHERE conv_id = 3 GROUP BY conv_id)) WHERE i >= 2",
     "token_usage": f"SELECT role, sum({tokens_sql('text')})::BIGINT AS total, round(avg({tokens_sql('text')}), 6) AS average FROM conversations GROUP BY role",
-    "summary_upsert": "SELECT conv_id, role, max(turn) AS turn, substr(arg_max(text, turn), 1, 30) AS summary FROM conversations GROUP BY conv_id, role",
+    "summary_upsert": "SELECT conv_id, role, max(turn) AS turn, arg_max(text, turn) AS summary FROM conversations GROUP BY conv_id, role",
     "assemble_text": "SELECT conv_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS text_md5, count(*) AS n_parts FROM conversations GROUP BY conv_id",
     "assemble_complete": "SELECT conv_id, count(*) FILTER (kept) AS n_parts, bool_and(kept) AS complete, md5(CASE WHEN bool_and(kept) THEN string_agg(text, chr(10) || chr(10) ORDER BY turn) ELSE 'deferred' END) AS text_md5 FROM (SELECT *, conv_id % 5 <> 0 OR turn <> 1 AS kept FROM conversations) GROUP BY conv_id",
     "missing_parts": "SELECT conv_id, turn FROM conversations WHERE conv_id % 5 = 0 AND turn = 1",
     "css_strip": r"SELECT doc_id, 'p { color: red;' || chr(10) || ' }' || chr(10) || '/* ' || doc_id || ' */ a { writing-mode: y }' AS css FROM documents",
-    "title_dedupe": "SELECT title, min(page_id) AS ord FROM (SELECT page_id, substr(regexp_extract(html, '<title>([^<]*)</title>', 1), 1, 4) AS title FROM pages) GROUP BY title",
+    "title_dedupe": "SELECT title, min(page_id) AS ord FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages) GROUP BY title",
     "latest_state": f"WITH {LOG} SELECT stage, item_id, status, coalesce(completed_at, -1) AS completed_at FROM s",
     "stage_status": f"WITH {LOG} SELECT stage, count(*) AS n_items, count(*) FILTER (status = 'pending') AS n_pending, count(*) FILTER (status = 'started') AS n_started, count(*) FILTER (status = 'completed') AS n_completed, count(*) FILTER (status = 'failed') AS n_failed FROM s GROUP BY stage",
     "pending_items": f"WITH {LOG} SELECT DISTINCT 'u' || user_id AS item_id FROM events WHERE 'u' || user_id NOT IN (SELECT item_id FROM s WHERE stage = 'stage1' AND status = 'completed')",

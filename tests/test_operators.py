@@ -114,7 +114,8 @@ def test_context(spark):
     forms = spark.createDataFrame([("e1", "ab"), ("e1", "the"), ("e2", "y"), ("e3", "zz"), ("e4", "")], "entity_id string, source string")
     want = {(1, "e1"), (2, "e2")}
     assert {tuple(r) for r in context.relevant_entities(chunks, forms, "c", "t").collect()} == want
-    assert {tuple(r) for r in context.relevant_entities_scan(chunks, [(r.source, r.entity_id) for r in forms.collect()], "c", "t").collect()} == want
+    assert {tuple(r) for r in context.relevant_entities(chunks, forms, "c", "t", most=0).collect()} == want
+    assert {tuple(r) for r in context.relevant_entities_scan(chunks, forms, "c", "t").collect()} == want
 
 
 def test_state(spark):
