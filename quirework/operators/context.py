@@ -35,7 +35,8 @@ def relevant_entities_blocked(chunks: DataFrame, forms: DataFrame, chunk: str, t
     """
     have = chunks.where(F.length(text) > 0).select(chunk, F.col(text).alias("_text"), F.xxhash64(chunk, text).alias("_row"))
     at = F.sequence(F.lit(1), F.greatest(F.length("_text"), F.lit(1)))
-    runs = [F.transform(at, lambda i, n=n: F.substring(F.col("_text"), i, F.lit(n))) for n in range(1, GRAM + 1)]
+    cut = lambda n: F.transform(at, lambda i: F.substring(F.col("_text"), i, F.lit(n)))
+    runs = [cut(n) for n in range(1, GRAM + 1)]
     starts = have.select("_row", F.explode(F.array_distinct(F.concat(*runs))).alias("_g"))
     begun = forms.select("entity_id", "source", F.substring("source", 1, GRAM).alias("_g"))
     met = starts.distinct().join(begun, "_g").groupBy("_row").agg(F.collect_set(F.struct("source", "entity_id")).alias("_f"))
