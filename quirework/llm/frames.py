@@ -105,10 +105,10 @@ def bitmap_of(ids: DataFrame, column: str = "id"):
     few ids the bitmap is folded until it has about 16 bits for each.
     """
     low = F.col(column).bitwiseAND(BITS - 1)
-    words = ids.select(F.shiftright(low, 6).alias("w"), F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()
+    words = ids.select(F.shiftright(low, 6).alias("w"), F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
     size = min(BITS, max(1 << 16, 1 << int(16 * len(words)).bit_length()))
     table = np.zeros(size // 64, np.int64)
-    np.bitwise_or.at(table, words["w"].to_numpy(np.int64) & (size // 64 - 1), words["v"].to_numpy(np.int64))
+    np.bitwise_or.at(table, words["w"].to_numpy() & (size // 64 - 1), words["v"].to_numpy())
     return size, ids.sparkSession.sparkContext.broadcast(table.view(np.uint64))
 
 

@@ -112,7 +112,7 @@ def train(labelled: DataFrame) -> Filters:
     sample = rows.select("text", "lang")
     counted = mapped(sample, grams, "key long,n long").groupBy("key").agg(F.sum("n").alias("n")).withColumn("lang", F.shiftright("key", 8 * WIDTH))
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
-    kept = counted.withColumn("r", F.row_number().over(first)).where(F.col("r") <= GRAMS).select("key").toPandas()["key"].to_numpy(np.int64)
+    kept = counted.withColumn("r", F.row_number().over(first)).where(F.col("r") <= GRAMS).select("key").toArrow()["key"].to_numpy()
     low = np.int64((1 << 8 * WIDTH) - 1)
     return Filters(languages, [(kept[kept >> (8 * WIDTH) == i] & low).astype(np.uint64) for i in range(len(languages))])
 

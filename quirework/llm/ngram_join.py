@@ -213,8 +213,8 @@ def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     rows = seen.where(F.col("kind") == 0)
     classes = rows.where(F.col("n") > 0).groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("size"))
     classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    top = seen.where(F.col("kind") == 1).groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "id").limit(HOT_TOKENS).toPandas()
-    tokens, counts = top["id"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    top = seen.where(F.col("kind") == 1).groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "id").limit(HOT_TOKENS).toArrow()
+    tokens, counts = top["id"].to_numpy().view(np.uint64), top["n"].to_numpy()
     by_token = np.argsort(tokens)
     order = docs.sparkSession.sparkContext.broadcast((tokens[by_token], counts[by_token]))
     entries = stored(index(docs, sets_of, order, percent).join(classes.select("d1", "d2", "id", "n"), ["d1", "d2"]).drop("d1", "d2"), "index")
