@@ -30,9 +30,10 @@ from .frames import per_document, resident
 #: White space as the pattern's \s has it (the Unicode property White_Space).
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SEGMENT = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
-#: Bounds of what a Python worker keeps: about 600 and 250 bytes each.
+#: Bounds of what a Python worker keeps: some hundred bytes each.
 MAX_STATES = 150_000
-MAX_SEGMENTS = 150_000
+MAX_PAIRS = 40_000
+MAX_SEGMENTS = 110_000
 #: Tokens decoded at a time.
 RUN = 1024
 NEVER = 1 << 60
@@ -113,7 +114,7 @@ class Transducer:
                     end_y, y = ranks[y], self.halved(y)[0]
                 else:
                     end_x, x = ranks[x], self.halved(x)[1]
-            if len(self.pairs) > MAX_STATES:
+            if len(self.pairs) > MAX_PAIRS:
                 self.pairs.clear()
             self.pairs[left, right] = known
         return known

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import time
 from collections.abc import Callable, Iterator
 
@@ -90,7 +91,7 @@ _RESIDENT: dict[str, object] = {}
 def resident(key: str, make: Callable[[], object]):
     """What a Python worker keeps from task to task: one thing, until it works for another operator."""
     if key not in _RESIDENT:
-        _RESIDENT.clear()
+        keep_only(key)
         _RESIDENT[key] = make()
     return _RESIDENT[key]
 
@@ -113,8 +114,11 @@ def bitmap_of(ids: DataFrame, column: str = "id"):
 
 
 def keep_only(key: str) -> None:
-    if key not in _RESIDENT:
+    """Give up what another operator has left in this worker; it may hold cycles, which only the collector ends."""
+    if _RESIDENT and key not in _RESIDENT:
         _RESIDENT.clear()
+        gc.collect()
+        released()
 
 
 def released() -> None:
