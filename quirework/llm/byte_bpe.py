@@ -31,9 +31,9 @@ from .frames import per_document, resident
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SEGMENT = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 #: Bounds of what a Python worker keeps: some hundred bytes each.
-MAX_STATES = 150_000
+MAX_STATES = 200_000
 MAX_PAIRS = 40_000
-MAX_SEGMENTS = 110_000
+MAX_SEGMENTS = 200_000
 #: Tokens decoded at a time.
 RUN = 1024
 NEVER = 1 << 60
@@ -49,7 +49,7 @@ class State(dict):
 
     __slots__ = ("held", "last", "open", "machine")
 
-    def __init__(self, machine: Transducer, held: bytes, last: tuple[int, ...], open_: tuple[int, ...]):
+    def __init__(self, machine: Transducer, held: bytes, last: bytes, open_: tuple[int, ...]):
         self.machine, self.held, self.last, self.open = machine, held, last, open_
 
     def __missing__(self, byte: int) -> tuple[State, tuple[int, ...]]:
@@ -58,9 +58,12 @@ class State(dict):
 
 
 class Transducer:
-    """Pieces of bytes to token ids."""
+    """Pieces of bytes to token ids; it keeps ``share`` of MAX_STATES."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], share: float = 1.0):
+        self.most = int(MAX_STATES * share)
+        if max(map(len, ranks)) > 255:
+            raise ValueError("tokens of more than 255 bytes")  # a state keeps lengths as bytes
         self.ranks = ranks
         self.growing = {t[:i] for t in ranks for i in range(1, len(t))}
         self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
@@ -68,7 +71,8 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        self.start = State(self, b"", (0,), ())
+        self.start = State(self, b"", b"\0", ())
+        self.places: dict[tuple[int, ...], tuple[int, ...]] = {}
         self.states: dict[bytes, State] = {b"": self.start}
 
     def halved(self, token: bytes) -> tuple[bytes, bytes] | None:
@@ -129,7 +133,7 @@ class Transducer:
                 size = n - at
             if grown in self.growing:
                 open_.append(at)
-        last += (size,)
+        last += bytes((size,))
         ends = {*open_, n}
         while len(ends) > 1:  # the nearest boundary on all chains
             cut = max(ends)
@@ -142,9 +146,10 @@ class Transducer:
             at -= last[at]
         rest = held[cut:]
         if (to := self.states.get(rest)) is None:
-            if len(self.states) > MAX_STATES:
+            if len(self.states) > self.most:
                 self.reset()
-            to = self.states[rest] = State(self, rest, (0, *last[cut + 1 :]), tuple([at - cut for at in open_]))
+            grows = tuple([at - cut for at in open_])
+            to = self.states[rest] = State(self, rest, b"\0" + last[cut + 1 :], self.places.setdefault(grows, grows))
         return to, tuple(reversed(out))
 
     def encode(self, piece: bytes) -> list[int]:
@@ -166,9 +171,10 @@ class Transducer:
 class Segments(dict):
     """Memo from a segment to the ids of its pattern matches, in two generations: what was not asked for since the last turn goes."""
 
-    def __init__(self, machine: Transducer, pattern: str):
+    def __init__(self, machine: Transducer, pattern: str, share: float = 1.0):
         import regex
 
+        self.most = int(MAX_SEGMENTS * share)
         self.machine = machine
         self.before: dict[str, tuple[int, ...]] = {}
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{SPACES}").replace(r"\s", f"[{SPACES}]").replace(r"\S", f"[^{SPACES}]"))
@@ -179,7 +185,7 @@ class Segments(dict):
             encode = self.machine.encode
             ids = tuple([i for piece in self.pattern.findall(segment) for i in encode(piece.encode("utf-8", "replace"))])
         if len(segment) < 200:
-            if len(self) >= MAX_SEGMENTS:
+            if len(self) >= self.most:
                 self.before = dict(self)
                 self.clear()
             self[segment] = ids
@@ -254,28 +260,29 @@ class Utf8Decoder:
         return b"".join(pieces), valid
 
 
-def codec(path: str, pattern: str) -> tuple[Segments, Utf8Decoder, list[str]]:
+def codec(path: str, pattern: str, share: float = 1.0) -> tuple[Segments, Utf8Decoder, list[str]]:
     """Encoder, decoder and the ids' decimal digits: made once a Python worker, kept until it works for another operator."""
 
     def make():
         ranks = load_ranks(path)
-        return Segments(Transducer(ranks), pattern), Utf8Decoder(ranks), list(map(str, range(max(ranks.values()) + 1)))
+        return Segments(Transducer(ranks, share), pattern, share), Utf8Decoder(ranks), list(map(str, range(max(ranks.values()) + 1)))
 
-    return resident(f"byte_bpe {path} {pattern}", make)
+    return resident(f"byte_bpe {path} {pattern} {share}", make)
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, pattern: str, share: float = 1.0) -> DataFrame:
     """Encode every text, decode the ids again.
 
     Returns doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256
     (of the bytes that the streaming decoder gives), utf8_valid.  A null text counts as empty: no
     ids.  Repeated rows stay, equal texts get equal values; other columns are ignored, whatever
     their names.  A lone surrogate, which no UTF-8 input holds, counts as "?".  A long text takes
-    memory in proportion to its length.  An empty table gives no rows.
+    memory in proportion to its length.  An empty table gives no rows.  ``share`` scales what a worker
+    remembers (about 200 MB at 1): less memory for more time, with the same results.
     """
 
     def start():
-        segments, decoder, digits = codec(path, pattern)
+        segments, decoder, digits = codec(path, pattern, share)
         sha = hashlib.sha256
 
         def one(doc_id, text):
@@ -285,4 +292,4 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
         return one
 
-    return per_document(docs, ["doc_id", "text"], start, "doc_id long,n_tokens long,ids_sha256 string,decoded_sha256 string,utf8_valid boolean", f"byte_bpe {path} {pattern}")
+    return per_document(docs, ["doc_id", "text"], start, "doc_id long,n_tokens long,ids_sha256 string,decoded_sha256 string,utf8_valid boolean", f"byte_bpe {path} {pattern} {share}")

@@ -132,6 +132,7 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     """``df.mapInArrow`` by tasks that leave nothing in their worker but the resident named ``keeps``."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
         keep_only(keeps)
         try:
             yield from run(batches)

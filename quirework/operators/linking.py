@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import truncated_words
 from .resolve import similarity_of
 
 SIMILAR = 0.95
 SUMMARY = 500
-ENTITY_SCHEMA = "book_id string, entity_id string, category string, name string, summary string, n_mentions int, sources array<string>, translations array<string>, first_seen string, last_seen string"
+#: Between observations of how a character speaks.
+STYLES = "\n"
+ENTITY_SCHEMA = "book_id string, entity_id string, category string, name string, summary string, n_mentions int, sources array<string>, translations array<string>, aliases array<string>, nicknames array<string>, speech_style string, notes string, hints array<string>, first_seen string, last_seen string"
 LINK_SCHEMA = "book_id string, ord int, entity_id string, how string"
 
 
@@ -45,67 +52,181 @@ def summary_fold(observations: Column, limit: int = SUMMARY) -> Column:
     return F.aggregate(F.filter(observations, lambda x: x.isNotNull()), F.lit(""), step)
 
 
+def joined_notes(old: str, new: str) -> str:
+    """Notes one after another, those left out that are in it already."""
+    return old if not new or new in old else f"{old} {new}".strip()
+
+
+def text_of(m, name: str) -> str:
+    value = getattr(m, name, None)
+    return value if isinstance(value, str) else ""
+
+
+def list_of(m, name: str) -> list:
+    value = getattr(m, name, None)
+    return [] if value is None or isinstance(value, float) else list(value)
+
+
 class Book:
-    """The entities of one book while its mentions are folded in."""
+    """The entities of one book while its mentions are folded in.
+
+    Entities are known by equal sources, by reading and translation, and, for similar sources, by
+    the characters of their category's sources: only those that share enough of them are compared.
+    """
 
     def __init__(self, similar: float = SIMILAR):
         self.similar = similar
         self.entities: list[dict] = []
         self.by_source: dict[str, dict] = {}
         self.by_reading: dict[tuple[str, str], dict] = {}
-        self.by_category: dict[str, list[dict]] = {}
+        self.last_number: dict[str, int] = {}
+        self.spelled: dict[tuple[str, str], list[tuple[int, str]]] = {}
+
+    def known(self, e: dict) -> dict:
+        """Take an entity in, as the newest."""
+        e["place"] = len(self.entities)
+        self.entities.append(e)
+        number = re.search(r"_(\d+)$", e["entity_id"])
+        if number:
+            self.last_number[e["category"]] = max(self.last_number.get(e["category"], 0), int(number[1]))
+        for source, form in e["forms"].items():
+            self.index(e, source, form)
+        return e
+
+    def index(self, e: dict, source: str, form: dict) -> None:
+        if source not in self.by_source:
+            self.by_source[source] = e
+        if form["reading"]:
+            self.by_reading.setdefault((form["reading"], form["translation"]), e)
+        for c in set(source.lower()):
+            self.spelled.setdefault((e["category"], c), []).append((e["place"], source))
+
+    def alike(self, category: str, source: str) -> list[dict]:
+        """Entities of the category with a similar source, two at most: more than one is as good as none."""
+        shared = Counter(x for c in set(source.lower()) for x in set(self.spelled.get((category, c), ())))
+        n, found = len(source.strip()), {}
+        for (place, other), k in shared.items():
+            longer, m = max(n, len(other.strip())), len(other.strip())
+            # k kinds of common characters and the lengths bound the similarity: matches are at most the shorter length
+            top = (1 + min(n, m) / max(longer, 1) + 1) / 3
+            if place not in found and top + 0.4 * (1 - top) >= self.similar and similarity_of(other, source) >= self.similar:
+                found[place] = self.entities[place]
+                if len(found) > 1:
+                    break
+        return list(found.values())
 
     def find(self, m) -> tuple[dict | None, str]:
-        """The first rule that hits: equal source; equal reading and translation; one similar source of the category."""
+        """The first rule that hits: equal source; equal reading and translation; the only one of the category with a similar source."""
         if (e := self.by_source.get(m.source)) is not None:
             return e, "source"
-        if m.reading and (e := self.by_reading.get((m.reading, m.translation))) is not None:
+        if text_of(m, "reading") and (e := self.by_reading.get((m.reading, m.translation))) is not None:
             return e, "reading"
-        alike = [e for e in self.by_category.get(m.category, []) if any(similarity_of(s, m.source) >= self.similar for s in e["sources"])]
-        return (alike[0], "similar") if len(alike) == 1 else (None, "new")
+        found = self.alike(m.category, m.source)
+        return (found[0], "similar") if len(found) == 1 else (None, "new")
 
     def add(self, m) -> tuple[dict, str]:
         e, how = self.find(m)
         if e is None:
-            n = 1 + max((int(x["entity_id"].rsplit("_", 1)[1]) for x in self.by_category.get(m.category, [])), default=0)
-            e = {"entity_id": f"{m.category}_{n:06d}", "category": m.category, "name": m.translation, "summary": "", "n_mentions": 0, "sources": [], "translations": [], "first_seen": m.chunk_id, "last_seen": m.chunk_id, "fixed": False}
-            self.entities.append(e)
-            self.by_category.setdefault(m.category, []).append(e)
-        if not e["fixed"]:
-            e["n_mentions"] += 1
-            if m.source not in e["sources"]:
-                e["sources"].append(m.source)
-            if m.translation and m.translation not in e["translations"]:
-                e["translations"].append(m.translation)
-            e["summary"] = merged_summary(e["summary"], m.summary or "")
-            e["last_seen"] = max(e["last_seen"], m.chunk_id)
-            self.by_source.setdefault(m.source, e)
-            if m.reading:
-                self.by_reading.setdefault((m.reading, m.translation), e)
+            number = self.last_number.get(m.category, 0) + 1
+            e = self.known({"entity_id": f"{m.category}_{number:06d}", "category": m.category, "name": m.translation, "summary": "", "notes": "", "speech_style": "", "n_mentions": 0, "forms": {}, "aliases": [], "nicknames": {}, "first_seen": m.chunk_id, "last_seen": m.chunk_id, "fixed": False})
+        elif e["fixed"]:
+            return e, how
+        e["n_mentions"] += 1
+        form = e["forms"].get(m.source)
+        told, reading, hint, notes = text_of(m, "translation"), text_of(m, "reading"), text_of(m, "context_hint"), text_of(m, "notes")
+        if form is None:
+            form = e["forms"][m.source] = {"translation": told, "reading": reading, "variants": [], "hints": [], "notes": "", "count": 0, "first_seen": m.chunk_id}
+            self.index(e, m.source, form)
+        elif told != form["translation"] and told not in form["variants"]:
+            form["variants"].append(told)
+        if reading and not form["reading"]:
+            form["reading"] = reading
+            self.by_reading.setdefault((reading, form["translation"]), e)
+        form["count"] += 1
+        if hint and hint not in form["hints"]:
+            form["hints"].append(hint)
+        form["notes"] = joined_notes(form["notes"], notes)
+        e["summary"] = merged_summary(e["summary"], text_of(m, "summary"))
+        e["notes"] = joined_notes(e["notes"], notes)
+        e["aliases"] += [x for x in dict.fromkeys(list_of(m, "aliases")) if x not in e["aliases"]]
+        for x in list_of(m, "nicknames"):
+            e["nicknames"].setdefault(x["speaker"], x["nick"])
+        style = text_of(m, "speech_style")
+        if style and style not in e["speech_style"].split(STYLES):
+            e["speech_style"] = f"{e['speech_style']}{STYLES}{style}" if e["speech_style"] else style
+        e["last_seen"] = m.chunk_id
         return e, how
 
 
-def fold_mentions(mentions: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(book_id, ord, entity_id, how): each mention's entity, seeing the entities of earlier ones; one task a book."""
+def folded(key, known: pd.DataFrame | None, mentions: pd.DataFrame, similar: float) -> tuple[Book, list]:
+    book, rows = Book(similar), []
+    for k in () if known is None else known.sort_values("entity_id").itertuples(index=False):
+        forms = {x["source"]: {"translation": x["translation"] or "", "reading": x["reading"] or "", "variants": [], "hints": [], "notes": "", "count": 0, "first_seen": ""} for x in list_of(k, "forms")}
+        book.known({"entity_id": k.entity_id, "category": k.category, "name": k.name, "summary": text_of(k, "summary"), "notes": text_of(k, "notes"), "speech_style": text_of(k, "speech_style"), "n_mentions": 0, "forms": forms, "aliases": list_of(k, "aliases"), "nicknames": {}, "first_seen": "", "last_seen": "", "fixed": k.origin == "user"})
+    for m in mentions.sort_values("ord").itertuples(index=False):
+        e, how = book.add(m)
+        rows.append((key[0], m.ord, e["entity_id"], how, m.category != e["category"]))
+    return book, rows
+
+
+def by_book(mentions: DataFrame, known: DataFrame | None, result: Callable, schema: str) -> DataFrame:
+    if known is None:
+        return mentions.groupBy("book_id").applyInPandas(lambda key, pdf: result(key, None, pdf), schema)
+    return known.groupBy("book_id").cogroup(mentions.groupBy("book_id")).applyInPandas(result, schema)
+
+
+def fold_mentions(mentions: DataFrame, similar: float = SIMILAR, known: DataFrame | None = None) -> DataFrame:
+    """(book_id, ord, entity_id, how): each mention's entity, seeing the entities of earlier ones; one task a book.
+
+    mentions: book_id, ord, source, category, translation, chunk_id and, where there are such,
+    reading, summary, notes, context_hint, speech_style, aliases array<string>, nicknames
+    array<struct<speaker, nick>>.  known: entities that a book begins with (book_id, entity_id,
+    category, name, origin, forms array<struct<source, translation, reading>> and others); those of
+    origin ``user`` take mentions but never change.
+    """
 
-    def book(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        b = Book(similar)
-        rows = [(key[0], m.ord, *(lambda e, how: (e["entity_id"], how))(*b.add(m))) for m in pdf.sort_values("ord").itertuples(index=False)]
+    def book(key, entities, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [r[:4] for r in folded(key, entities, pdf, similar)[1]]
         return pd.DataFrame(rows, columns=["book_id", "ord", "entity_id", "how"])
 
-    return mentions.groupBy("book_id").applyInPandas(book, LINK_SCHEMA)
+    return by_book(mentions, known, book, LINK_SCHEMA)
 
 
-def fold_entities(mentions: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def fold_entities(mentions: DataFrame, similar: float = SIMILAR, known: DataFrame | None = None) -> DataFrame:
     """The entities that the fold leaves, in the order of their creation."""
+    columns = [f.split()[0] for f in ENTITY_SCHEMA.split(", ")]
 
-    def book(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        b = Book(similar)
-        for m in pdf.sort_values("ord").itertuples(index=False):
-            b.add(m)
-        return pd.DataFrame([{"book_id": key[0]} | {k: v for k, v in e.items() if k != "fixed"} for e in b.entities])
+    def book(key, entities, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for e in folded(key, entities, pdf, similar)[0].entities:
+            told = dict.fromkeys(t for f in e["forms"].values() for t in [f["translation"], *f["variants"]] if t)
+            rows.append({"book_id": key[0], "sources": list(e["forms"]), "translations": list(told), "hints": list(dict.fromkeys(h for f in e["forms"].values() for h in f["hints"])), "nicknames": [f"{s}: {n}" for s, n in e["nicknames"].items()]} | {k: e[k] for k in ("entity_id", "category", "name", "summary", "notes", "speech_style", "n_mentions", "aliases", "first_seen", "last_seen")})
+        return pd.DataFrame(rows, columns=columns)
 
-    return mentions.groupBy("book_id").applyInPandas(book, ENTITY_SCHEMA)
+    return by_book(mentions, known, book, ENTITY_SCHEMA)
+
+
+def corrected(corrections: DataFrame, entities: DataFrame, forms: DataFrame, links: DataFrame) -> DataFrame:
+    """Corrections as conflicts: ``links`` (as ``conflicts`` takes them) with a row for each correction, after the book's own.
+
+    corrections: ord, existing_translation, source_term, corrected_translation.  A correction isn't
+    applied by itself: it stands as another translation of its target for the decisions to come.
+    """
+    aimed = correction_targets(corrections, entities, forms)
+    known = entities.select("entity_id", F.col("category").alias("_category"))
+    told = F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("existing_translation").alias("t")), F.struct(F.lit(1).alias("k"), F.col("corrected_translation").alias("t")))).alias("_t")
+    rows = aimed.join(known, "entity_id", "left").select("entity_id", "ord", F.col("source_term").alias("source"), F.coalesce("_category", F.lit("")).alias("category"), told)
+    top = links.agg(F.max("ord").alias("_top"))  # one row
+    late = rows.crossJoin(F.broadcast(top)).select("entity_id", (F.coalesce("_top", F.lit(0)) + 2 * F.col("ord") + F.col("_t.k") + 1).alias("ord"), "source", F.col("_t.t").alias("translation"), "category")
+    return links.select("entity_id", F.col("ord").cast("long").alias("ord"), "source", "translation", "category").unionByName(late.withColumn("ord", F.col("ord").cast("long")))
+
+
+def require_categories(entities: DataFrame, allowed: list[str]) -> DataFrame:
+    """``entities``, or an error that names the categories which aren't allowed and up to ten entities of each."""
+    wrong = entities.where(~F.coalesce(F.col("category").isin(*allowed), F.lit(False))).groupBy("category").agg(F.min("name").alias("first"), F.count("*").alias("n")).orderBy("category").limit(10).collect()
+    if wrong:
+        raise ValueError("categories that are not allowed: " + "; ".join(f"{r['category']} ({r['n']} entities, the first {r['first']})" for r in wrong))
+    return entities
 
 
 def surface_forms(links: DataFrame) -> DataFrame:
@@ -138,6 +259,21 @@ def correction_targets(corrections: DataFrame, entities: DataFrame, forms: DataF
     return both.withColumn("entity_id", F.coalesce("_by_name", "_by_form", F.concat(F.lit("unknown:"), F.col("source_term")))).drop("_n", "_s", "_by_name", "_by_form")
 
 
+def compressed(observations: DataFrame, provider: Callable[[DataFrame], DataFrame], limit: int = SUMMARY, again: bool = False) -> DataFrame:
+    """(entity_id, summary) from observations (entity_id, origin, summary, chunk_id, text).
+
+    One observation is the summary; of several, in the order of chunks, one call makes it
+    (``provider`` maps (entity_id, text) to (entity_id, answer)), and an empty or missing answer
+    leaves them joined.  Entities of origin ``user`` and, unless ``again``, those that have a summary
+    are left out.  Summaries are cut at a word to ``limit`` characters.
+    """
+    todo = observations.where((F.col("origin") != "user") & (F.lit(again) | F.col("summary").isNull() | (F.length("summary") == 0)) & (F.length("text") > 0))
+    by = todo.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))).alias("l")).select("entity_id", F.size("l").alias("n"), F.array_join(F.transform("l", lambda x: x["text"]), " ").alias("text"))
+    told = provider(by.where("n > 1").select("entity_id", "text")).select("entity_id", F.trim("answer").alias("answer"))
+    whole = by.join(told, "entity_id", "left").select("entity_id", F.when(F.length("answer") > 0, F.col("answer")).otherwise(F.col("text")).alias("summary"))
+    return whole.withColumn("summary", truncated_words(F.col("summary"), limit))
+
+
 def compression_work(entities: DataFrame) -> DataFrame:
     """What each entity's summary needs: nothing, its only observation, or one call.  entities: source, summary, observations array<string>."""
     n = F.size("observations")
@@ -151,3 +287,23 @@ def reconcile_work(forms: DataFrame, found: DataFrame, styles: DataFrame) -> Dat
     b = found.select(F.lit("conflict"), "entity_id", F.col("source_form"), F.size("alternatives") > 0)
     c = styles.where(F.col("speech_style").contains("\n")).select(F.lit("speech"), "entity_id", F.lit(None).cast("string"), F.lit(True))
     return a.union(b).union(c)
+
+
+def reconciled(forms: DataFrame, entities: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Forms, entities and a report after decisions (work, entity_id, item, value).
+
+    ``variants``: the form takes the value as its translation and keeps no variants; ``conflict``: the
+    entity takes it as its name; ``speech``: as its way of speaking.  Of several decisions on one
+    thing the smallest value counts; empty values decide nothing.  forms: entity_id, source,
+    translation, translation_variants; entities: entity_id, name, speech_style.
+    """
+    given = decisions.where(F.length(F.trim("value")) > 0).groupBy("work", "entity_id", "item").agg(F.min("value").alias("value"))
+    of = lambda work, *keys: given.where(F.col("work") == work).select(*keys, F.col("value").alias(f"_{work}"))
+    a = forms.join(of("variants", "entity_id", F.col("item").alias("source")), ["entity_id", "source"], "left")
+    none = F.array().cast(forms.schema["translation_variants"].dataType)
+    new_forms = a.withColumns({"translation": F.coalesce("_variants", "translation"), "translation_variants": F.when(F.col("_variants").isNotNull(), none).otherwise(F.col("translation_variants"))}).select(*forms.columns)
+    one = lambda work: given.where(F.col("work") == work).groupBy("entity_id").agg(F.min("value").alias(f"_{work}"))
+    b = entities.join(one("conflict"), "entity_id", "left").join(one("speech"), "entity_id", "left")
+    new_entities = b.withColumns({"name": F.coalesce("_conflict", "name"), "speech_style": F.coalesce("_speech", "speech_style")}).select(*entities.columns)
+    report = given.groupBy("work").agg(F.count("*").alias("n_decisions"))
+    return new_forms, new_entities, report

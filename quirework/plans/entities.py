@@ -127,6 +127,7 @@ def mentions(spark, d):
     return p.select(
         F.concat(F.lit("book"), F.col("p_partkey") % 4).alias("book_id"), F.col("p_partkey").cast("int").alias("ord"), F.col("p_name").alias("source"), F.when(F.col("p_partkey") % 9 == 0, F.element_at(F.split("p_name", " "), 1)).alias("reading"),
         F.upper("p_name").alias("translation"), F.lower("p_type").alias("category"), F.format_string("%04d.001", F.col("p_partkey")).alias("chunk_id"), F.concat(F.lit("of "), F.col("p_brand")).alias("summary"),
+        F.concat(F.lit("sold as "), F.col("p_type")).alias("notes"), F.array(F.element_at(F.split("p_name", " "), -1)).alias("aliases"), F.array(F.struct(F.col("p_type").alias("speaker"), F.col("p_brand").alias("nick"))).alias("nicknames"), F.col("p_brand").alias("speech_style"), F.col("p_type").alias("context_hint"),
     )
 
 
@@ -139,9 +140,35 @@ def mention_link_fold(spark, d):
 
 
 def entity_fold(spark, d):
-    return longs(L.fold_entities(mentions(spark, d)).withColumns({"sources": F.array_join("sources", "|"), "translations": F.array_join("translations", "|")}))
+    return longs(L.fold_entities(mentions(spark, d)).withColumns({c: F.array_join(c, "|") for c in ("sources", "translations", "aliases", "nicknames", "hints")}))
 
 
+def reconcile_apply(spark, d):
+    """Forms after decisions that name the last of each form's variants."""
+    forms = L.surface_forms(links(spark, d))
+    decisions = forms.where((F.size("translation_variants") > 0) & (F.length("source") % 2 == 0)).select(F.lit("variants").alias("work"), "entity_id", F.col("source").alias("item"), F.element_at("translation_variants", -1).alias("value"))
+    entities = forms.select("entity_id", F.col("entity_id").alias("name"), F.lit("").alias("speech_style")).distinct()
+    out, _, _ = L.reconciled(forms, entities, decisions)
+    return out.select("entity_id", "source", "translation", F.array_join("translation_variants", "|").alias("translation_variants"))
+
+
+def correction_conflicts(spark, d):
+    """Conflicts after corrections: every fourth part proposes another translation of its name's last word."""
+    l = links(spark, d)  # noqa: E741
+    entities = l.groupBy("entity_id").agg(F.min_by("category", "ord").alias("category")).select("entity_id", F.col("entity_id").alias("name"), "category")
+    forms = l.select("entity_id", "source").distinct()
+    corrections = parts(spark, d).where(F.col("p_partkey") % 4 == 0).select(F.col("p_partkey").alias("ord"), F.element_at(F.split("p_name", " "), -1).alias("existing_translation"), F.col("p_name").alias("source_term"), F.concat(F.col("p_type"), F.lit("!")).alias("corrected_translation"))
+    out = L.conflicts(L.corrected(corrections, entities, forms, l))
+    return out.select("entity_id", "current_translation", F.array_join("alternatives", "|").alias("alternatives"))
+
+
+def summary_compress(spark, d):
+    """Summaries of conversations' speakers: one observation alone is taken as it is, several are told by their number."""
+    t = table(spark, d, "conversations", "conv_id", "turn", "role", "text")
+    o = t.select(F.concat_ws("/", "conv_id", "role").alias("entity_id"), F.when(F.col("conv_id") % 7 == 0, "user").otherwise("extracted").alias("origin"), F.when(F.col("conv_id") % 5 == 0, "known").alias("summary"), F.format_string("%06d", "turn").alias("chunk_id"), "text")
+    told = lambda todo: todo.select("entity_id", F.when(F.length("text") % 2 == 0, F.concat(F.lit("in short "), F.md5(F.col("text").cast("binary")))).otherwise(F.lit(" ")).alias("answer"))
+    return L.compressed(o, told, 120)
+
 def links(spark, d):
     """Parts linked to the entity of their name's last word."""
     p = parts(spark, d)
@@ -190,7 +217,7 @@ def glossary_export(spark, d):
 QUERIES = {f.__name__: f for f in (
     pair_source_substring, pair_translation_containment, pair_shared_key, pair_alias_overlap, pair_jaro_winkler, pair_best_score, pair_cosine, evidence_union, confidence_tier, tier_with_vectors,
     containment_direction, pick_winner, merge_components, id_remap, merge_records, mention_link_exact, mention_link_fold, entity_fold, surface_form_upsert, conflict_log, summary_fold, entity_ids,
-    correction_targets, reconcile_work, glossary_export,
+    correction_targets, reconcile_work, reconcile_apply, correction_conflicts, summary_compress, glossary_export,
 )}
 
 N = "n AS (SELECT p_name, min(p_partkey) AS id FROM part GROUP BY p_name)"
@@ -244,5 +271,14 @@ SELECT conv_id, arg_max(s, n) AS summary FROM s GROUP BY conv_id""",
     "entity_ids": "WITH p AS (SELECT p_partkey, lower(p_type) AS c FROM part), m AS (SELECT c, max(p_partkey) AS top FROM p WHERE p_partkey < 20 GROUP BY c) SELECT p_partkey, c || printf('_%06d', coalesce(top, 0) + row_number() OVER (PARTITION BY c ORDER BY p_partkey)) AS entity_id FROM p LEFT JOIN m USING (c) WHERE p_partkey >= 20",
     "correction_targets": f"WITH {N}, e AS (SELECT 'e' || id AS eid, upper({FIRST('p_name')}) AS name FROM n), bn AS (SELECT name, min(eid) AS eid FROM e GROUP BY name HAVING count(*) = 1), s AS (SELECT 'e' || id AS eid, CASE WHEN id % 2 = 0 THEN p_name ELSE {LAST('p_name')} END AS src FROM n), bs AS (SELECT src, min(eid) AS eid FROM s GROUP BY src HAVING count(DISTINCT eid) = 1) SELECT n.id AS ord, coalesce(bn.eid, bs.eid, 'unknown:' || p_name) AS entity_id FROM n LEFT JOIN bn ON bn.name = CASE WHEN id % 4 = 0 THEN upper({FIRST('p_name')}) ELSE '' END LEFT JOIN bs ON bs.src = p_name",
     "reconcile_work": f"WITH {LINKS}, {FORMS}, {CONFLICTS}, {N}, w AS (SELECT 'variants' AS work, true AS needs_call FROM sf WHERE nv > 1 UNION ALL SELECT 'conflict', told FROM cf UNION ALL SELECT 'speech', true FROM n WHERE id % 6 = 0) SELECT work, needs_call, count(*) AS n FROM w GROUP BY ALL",
+    "reconcile_apply": f"WITH {LINKS}, {FORMS}, v AS (SELECT *, translation_variants <> '' AND length(source) % 2 = 0 AS done FROM sf) SELECT entity_id, source, CASE WHEN done THEN list_last(string_split(translation_variants, '|')) ELSE translation END AS translation, CASE WHEN done THEN '' ELSE translation_variants END AS translation_variants FROM v",
+    "correction_conflicts": f"""WITH {LINKS}, tp AS (SELECT max(ord) AS top FROM l), fo AS (SELECT source, min(entity_id) AS e FROM l GROUP BY source HAVING count(DISTINCT entity_id) = 1), en AS (SELECT DISTINCT entity_id AS e FROM l),
+co AS (SELECT p_partkey AS o, coalesce(en.e, fo.e, 'unknown:' || p_name) AS entity_id, {LAST('p_name')} AS was, p_type || '!' AS new FROM part LEFT JOIN en ON en.e = {LAST('p_name')} LEFT JOIN fo ON fo.source = p_name WHERE p_partkey % 4 = 0),
+al AS (SELECT entity_id, ord, translation AS t FROM l UNION ALL SELECT entity_id, top + 2 * o + 1, was FROM co, tp UNION ALL SELECT entity_id, top + 2 * o + 2, new FROM co, tp),
+fi AS (SELECT entity_id, list(t ORDER BY o) AS vs FROM (SELECT entity_id, t, min(ord) AS o FROM al WHERE length(t) > 0 GROUP BY entity_id, t) GROUP BY entity_id),
+ca AS (SELECT entity_id, count(DISTINCT category) AS n FROM l GROUP BY entity_id)
+SELECT entity_id, vs[1] AS current_translation, array_to_string(vs[2:], '|') AS alternatives FROM fi LEFT JOIN ca USING (entity_id) WHERE len(vs) > 1 OR n > 1""",
+    "summary_compress": r"""WITH o AS (SELECT conv_id || '/' || role AS entity_id, turn, text FROM conversations WHERE conv_id % 7 <> 0 AND conv_id % 5 <> 0 AND length(text) > 0), b AS (SELECT entity_id, count(*) AS n, string_agg(text, ' ' ORDER BY printf('%06d', turn), text) AS t FROM o GROUP BY entity_id),
+w AS (SELECT entity_id, CASE WHEN n > 1 AND length(t) % 2 = 0 THEN 'in short ' || md5(t) ELSE t END AS s FROM b) SELECT entity_id, CASE WHEN length(s) > 120 THEN regexp_replace(substr(s, 1, 120), ' [^ ]*$', '') || '...' ELSE s END AS summary FROM w""",
     "glossary_export": f"""WITH {N}, e AS (SELECT n.p_name, p_type, p_brand FROM n JOIN part ON p_partkey = n.id), c AS (SELECT p_type, '## ' || p_type || chr(10) || chr(10) || string_agg('- **' || p_name || '**: ' || p_brand, chr(10) ORDER BY lower(p_name), p_name) AS s, CASE p_type WHEN 'SMALL' THEN 0 WHEN 'ECONOMY' THEN 1 ELSE 2 END AS r FROM e GROUP BY p_type), m AS (SELECT string_agg(s, chr(10) || chr(10) ORDER BY r, p_type) AS t FROM c) SELECT md5(t) AS md5, length(t) AS n_chars FROM m""",
 }

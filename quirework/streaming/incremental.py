@@ -43,19 +43,10 @@ def link_mentions(mentions: DataFrame, similar: float = SIMILAR) -> DataFrame:
         book = Book(similar)
         if state.exists:
             for e in json.loads(state.get[0]):
-                keys = e.pop("readings")
-                book.entities.append(e)
-                book.by_category.setdefault(e["category"], []).append(e)
-                for s in e["sources"]:
-                    book.by_source.setdefault(s, e)
-                for r, t in keys:
-                    book.by_reading.setdefault((r, t), e)
+                book.known(e)
         new = pd.concat(list(batches)).sort_values("ord")
         rows = [(key[0], m.ord, *(lambda e, how: (e["entity_id"], how))(*book.add(m))) for m in new.itertuples(index=False)]
-        readings: dict[int, list] = {}
-        for k, e in book.by_reading.items():
-            readings.setdefault(id(e), []).append(k)
-        state.update((json.dumps([e | {"readings": readings.get(id(e), [])} for e in book.entities]),))
+        state.update((json.dumps(book.entities),))
         yield pd.DataFrame(rows, columns=["book_id", "ord", "entity_id", "how"])
 
     return mentions.groupBy("book_id").applyInPandasWithState(step, LINK_SCHEMA, "entities string", "append", GroupStateTimeout.NoTimeout)

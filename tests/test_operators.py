@@ -1,3 +1,6 @@
+import random
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,3 +162,44 @@ def test_provider(spark):
         return echo
 
     assert {(r.id, r.answer, r.error) for r in provider.answered(df, "m", factory).collect()} == {(1, "HI", None), (2, None, "refused")}
+
+
+def test_user_entities_stay_as_they_are(spark):
+    known = spark.createDataFrame([("b", "place_000007", "place", "Tower", "user", [("塔", "Tower", "")])], "book_id string, entity_id string, category string, name string, origin string, forms array<struct<source string, translation string, reading string>>")
+    rows = [
+        ("b", 1, "塔", "", "place", "A tower", "c1", "tall", "n1", ["Spire"], [("Ann", "Tow")], "", "h"),
+        ("b", 2, "谷", "tani", "place", "Valley", "c1", "deep", "n2", ["Vale"], [("Ann", "V"), ("Bob", "W")], "slow", "h1"),
+        ("b", 3, "谷", "", "river", "The valley", "c2", "deep", "n2", ["Vale", "Dale"], [("Ann", "X")], "slow", "h1"),
+        ("b", 4, "渓", "tani", "place", "Valley", "c3", "wide", "n3", None, None, "fast", "h2"),
+    ]
+    mentions = spark.createDataFrame(rows, "book_id string, ord int, source string, reading string, category string, translation string, chunk_id string, summary string, notes string, aliases array<string>, nicknames array<struct<speaker string, nick string>>, speech_style string, context_hint string")
+    got = [(r.ord, r.entity_id, r.how) for r in linking.fold_mentions(mentions, known=known).orderBy("ord").collect()]
+    assert got == [(1, "place_000007", "source"), (2, "place_000008", "new"), (3, "place_000008", "source"), (4, "place_000008", "reading")]
+    e = {r.entity_id: r for r in linking.fold_entities(mentions, known=known).collect()}
+    assert (e["place_000007"].n_mentions, e["place_000007"].translations, e["place_000007"].aliases) == (0, ["Tower"], [])
+    v = e["place_000008"]
+    assert (v.n_mentions, v.sources, v.translations, v.aliases, v.nicknames) == (3, ["谷", "渓"], ["Valley", "The valley"], ["Vale", "Dale"], ["Ann: V", "Bob: W"])
+    assert (v.summary, v.notes, v.speech_style, v.hints, v.first_seen, v.last_seen) == ("deep wide", "n2 n3", "slow\nfast", ["h1", "h2"], "c1", "c3")
+
+
+def test_similar_sources_meet_by_their_characters(spark):
+    rng = random.Random(8)
+    book, plain = linking.Book(0.9), []
+    for i in range(400):
+        source = "".join(rng.choice("abcd") for _ in range(rng.randint(5, 9)))
+        m = SimpleNamespace(source=source, category="x", translation=source, chunk_id="c")
+        alike = [e for e in plain if any(resolve.similarity_of(s, source) >= 0.9 for s in e)]
+        hit = next((e for e in plain if source in e), None) or (alike[0] if len(alike) == 1 else None)
+        if hit is None:
+            plain.append(hit := [])
+        if source not in hit:
+            hit.append(source)
+        book.add(m)
+    assert [list(e["forms"]) for e in book.entities] == plain
+
+
+def test_categories_are_checked(spark):
+    entities = spark.createDataFrame([("a", "place"), ("b", "thing"), ("c", None)], "name string, category string")
+    assert linking.require_categories(entities.where("name = 'a'"), ["place"]).count() == 1
+    with pytest.raises(ValueError, match="thing"):
+        linking.require_categories(entities, ["place"])
