@@ -25,6 +25,8 @@ from quirework.llm.queries import EXAMPLE_KEY
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 #: Part of a text's n-grams that its language must know.
 LEAST_COVERAGE = 0.25
+#: The encoder remembers this part of what it would by itself: earlier stages have left the executors less memory.
+ENCODER_SHARE = 0.3
 
 
 def whole(docs: DataFrame):
@@ -72,7 +74,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the hashes of ids and decoded bytes, for each row; a null text has no ids."""
-    return byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ENCODER_SHARE)
 
 
 STAGES = [("language", by_language), ("near_duplicates", without_near_duplicates), ("pii", with_pseudonyms), ("mixing", mixed), ("encoding", encoded)]
