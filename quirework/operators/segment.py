@@ -86,20 +86,29 @@ def chunk_ends(blocks: Column, c: Chunking) -> Column:
     low = c.target * (1 - c.flex)
     start = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0).cast("long").alias("cur"), F.lit(-1).alias("best"), F.lit(0).cast("long").alias("best_sum"), F.lit(0).alias("i"), F.lit(0).alias("first"))
 
+    def once(value: Column, body) -> Column:
+        """``body`` of a value that is worked out once, however often it is used."""
+        return F.element_at(F.transform(F.array(value), body), 1)
+
     def step(s: Column, b: Column) -> Column:
         i, tokens = s["i"], b["tokens"].cast("long")
         full = (i > s["first"]) & (s["cur"] + tokens > c.target)
         cut = F.when(s["best"] >= 0, s["best"]).otherwise(i - 1)
-        cur = F.when(~full, s["cur"] + tokens).when(s["best"] >= 0, s["cur"] - s["best_sum"] + tokens).otherwise(tokens)
-        fits = b["brk"] & (cur >= low) & (cur <= c.target)
-        return F.struct(
-            F.when(full, F.concat(s["ends"], F.array(cut))).otherwise(s["ends"]).alias("ends"),
-            cur.alias("cur"),
-            F.when(fits, i).when(full, -1).otherwise(s["best"]).alias("best"),
-            F.when(fits, cur).when(full, F.lit(0).cast("long")).otherwise(s["best_sum"]).alias("best_sum"),
-            (i + 1).alias("i"),
-            F.when(full, cut + 1).otherwise(s["first"]).alias("first"),
-        )
+        cur = lambda f: F.when(~f, s["cur"] + tokens).when(s["best"] >= 0, s["cur"] - s["best_sum"] + tokens).otherwise(tokens)
+        facts = once(full, lambda f: F.struct(f.alias("full"), cur(f).alias("cur")))
+
+        def state(x: Column) -> Column:
+            fits = b["brk"] & (x["cur"] >= low) & (x["cur"] <= c.target)
+            return F.struct(
+                F.when(x["full"], F.concat(s["ends"], F.array(cut))).otherwise(s["ends"]).alias("ends"),
+                x["cur"].alias("cur"),
+                F.when(fits, i).when(x["full"], -1).otherwise(s["best"]).alias("best"),
+                F.when(fits, x["cur"]).when(x["full"], F.lit(0).cast("long")).otherwise(s["best_sum"]).alias("best_sum"),
+                (i + 1).alias("i"),
+                F.when(x["full"], cut + 1).otherwise(s["first"]).alias("first"),
+            )
+
+        return once(facts, state)
 
     def last(s: Column) -> Column:
         absorb = (F.size(s["ends"]) > 0) & (s["cur"] < c.least)

@@ -2,9 +2,9 @@ from pyspark.sql import functions as F
 
 from quirework.config import Translation
 from quirework.operators import context, resolve
-from quirework.plans.translate import translate, window
+from quirework.plans.translate import translate, usage, window
 
-CHUNKS = "book_id string, spine_index int, chunk_index int, chunk_id string, text string, classification string, status string, summary string"
+CHUNKS = "book_id string, spine_index int, chunk_index int, chunk_id string, text string, classification string, status string, summary string, translated_text string"
 
 
 def echoing():
@@ -12,9 +12,15 @@ def echoing():
 
     def echo():
         def call(messages):
-            if "hard" in messages[-1]["content"] and "Mend" not in messages[-1]["content"]:
+            text = messages[-1]["content"]
+            if "Mend" in messages[0]["content"]:
+                return "mended " + text.split("\n")[1] if "- " in text else "no issues shown"
+            if "Polish" in messages[0]["content"]:
+                return "polished " + text.rpartition("Draft:\n")[2]
+            if "hard" in text:
                 return "no end mark"
-            return f"hm {len(messages)}</analysis>" + messages[-1]["content"].split("\n")[0].upper()
+            shown = [m["content"] for m in messages[1:-1] if m["role"] == "user"]
+            return f"{len(messages)} {' / '.join(shown)}</analysis>" + text.upper()
 
         return call
 
@@ -22,16 +28,30 @@ def echoing():
 
 
 def test_chunks_in_order_with_context(spark):
-    rows = [("b", 0, 1, "0000.001", "a cat sat", "chapter", "completed", "sum one"), ("b", 0, 2, "0000.002", "hard dog ran", "chapter", "pending", None), ("b", 1, 1, "0001.001", "the cat", "toc_auto", "pending", None)]
-    forms = spark.createDataFrame([("b", "cat", "cat = KAT"), ("b", "bird", "bird = B")], "book_id string, source string, line string")
+    rows = [("b", 0, 1, "0000.001", "a cat sat", "chapter", "completed", "sum one", "KATZE SASS"), ("b", 0, 2, "0000.002", "hard dog ran", "chapter", "pending", None, None), ("b", 1, 1, "0001.001", "the cat", "toc_auto", "pending", None, None)]
+    forms = spark.createDataFrame([("b", 2, "cat", "cat = KAT"), ("b", 1, "bird", "bird = B"), ("other", 1, "cat", "not this")], "book_id string, ord int, source string, line string")
     got = translate(spark.createDataFrame(rows, CHUNKS), forms, echoing(), None, lambda: lambda m: "short", Translation(qa_retries=2)).orderBy("chunk_id", "attempt").collect()
     assert [(r.chunk_id, r.attempt, r.verdict, r.selected, r.summary, r.overlap_chunk_id) for r in got] == [("0000.002", 1, "fail", False, None, "0000.001"), ("0000.002", 2, "pass", True, "short", "0000.001"), ("0001.001", 1, "pass", True, None, "0000.002")]
-    assert got[2].translated_text == "THE CAT" and got[2].analysis == "hm 8"
+    assert got[1].translated_text == "mended hard dog ran" and (got[0].passes, got[1].passes) == (1, 2)
+    assert got[2].translated_text == "THE CAT"
+    told = ["8 Glossary:", "cat = KAT", " / Story so far:", "sum one", "---", "short", " / Text before not to be translated again:", "hard dog ran", "", "Translated as:", "mended hard dog ran"]
+    assert got[2].analysis.replace("\n", "|") == "|".join(told).replace("| / ", " / ")
+    assert all(r.prompt_tokens > 0 and r.completion_tokens > 0 for r in got)
+
+
+def test_second_pass_and_usage(spark):
+    rows = [("b", 0, 1, "0000.001", "a cat", "chapter", "completed", "s", "EIN KATER"), ("b", 0, 2, "0000.002", "a dog", "toc_auto", None, None, None)]
+    forms = spark.createDataFrame([], "book_id string, ord int, source string, line string")
+    out = translate(spark.createDataFrame(rows, CHUNKS), forms, echoing(), polisher=echoing())
+    r = out.first()
+    assert (r.translated_text, r.passes, r.verdict) == ("polished A DOG", 2, "pass") and "a cat\n\nTranslated as:\nEIN KATER" in r.analysis
+    u = usage(out).first()
+    assert (u.n_attempts, u.n_chunks) == (1, 1) and u.tokens_a_chunk == r.prompt_tokens + r.completion_tokens
 
 
 def test_judge_and_last_attempt(spark):
-    rows = [("b", 0, 1, "0000.001", "a b", "chapter", None, None)]
-    forms = spark.createDataFrame([], "book_id string, source string, line string")
+    rows = [("b", 0, 1, "0000.001", "a b", "chapter", None, None, None)]
+    forms = spark.createDataFrame([], "book_id string, ord int, source string, line string")
     judge = lambda: lambda m: '{"issues": [{"issue": "tone", "severity": "high"}]}'
     got = translate(spark.createDataFrame(rows, CHUNKS), forms, echoing(), judge, None, Translation(qa_retries=1)).orderBy("attempt").collect()
     assert [(r.attempt, r.verdict, r.selected) for r in got] == [(1, "fail", False), (2, "fail", True)]
