@@ -225,7 +225,7 @@ def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     paired = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     concerned = stored(paired.unionByName(warm.select("id")).distinct().join(classes.select("id", "d1", "d2"), "id"), "concerned")
     sets = stored(active_sets(docs, sets_of, concerned), "sets")
-    marks = stored(other_prefixes(sets.join(paired, "id", "left_semi"), order, percent), "marks")
+    marks = other_prefixes(sets.join(paired, "id", "left_semi"), order, percent)
     near = pairs
     for o in range(1, ORDERS):
         again = sharing(marks.select(F.explode(f"p{o}").alias("token"), "id", "n"), percent).select("a", "b")
@@ -243,7 +243,7 @@ def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     items = stored(block_pairs(placed, "token").unionByName(ends.select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"))).distinct(), "items")
 
     found = compare(items, members.select("id", "block", "size"), sets, percent)
-    discard(pairs, concerned, marks, near, members, items, sets, entries)
+    discard(pairs, concerned, near, members, items, sets, entries)
     linked = components(found.where(F.col("kind") == 0).select("a", "b"))
     degree = found.where(F.col("kind") == 1).groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("links"))
     reps = linked.select(F.col("node").alias("id"), "component").join(classes.select("id", "rep"), "id")
