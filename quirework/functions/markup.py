@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType
 
 # Elements by their part in the page.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-DROPPED = {"script", "style", "head", "title", "template", "noscript"}
+DROPPED = {"script", "style", "head", "title"}
 BLOCKS = {"p", "div", "section", "article", "main", "header", "footer", "aside", "nav", "figure", "figcaption", "address", "form", "fieldset", "dl", "dt", "dd", "body", "html", "center", "details", "summary"}
 PICTURES = {"img", "svg", "image"}
 

@@ -11,12 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import truncated_words
-from .resolve import similarity_of
+from .resolve import STYLES, SUMMARY, similarity_of, summary_fold  # noqa: F401
 
 SIMILAR = 0.95
-SUMMARY = 500
-#: Between observations of how a character speaks.
-STYLES = "\n"
 ENTITY_SCHEMA = "book_id string, entity_id string, category string, name string, summary string, n_mentions int, sources array<string>, translations array<string>, aliases array<string>, nicknames array<string>, speech_style string, notes string, hints array<string>, first_seen string, last_seen string"
 LINK_SCHEMA = "book_id string, ord int, entity_id string, how string"
 
@@ -41,17 +38,6 @@ def merged_summary(old: str, new: str, limit: int = SUMMARY) -> str:
     return both if len(both) <= limit else both[:limit].rsplit(" ", 1)[0] + "..."
 
 
-def summary_fold(observations: Column, limit: int = SUMMARY) -> Column:
-    """The same for an ordered array of summaries."""
-
-    def step(s: Column, x: Column) -> Column:
-        both = F.when(F.length(s) == 0, x).otherwise(F.concat(s, F.lit(" "), x))
-        cut = F.when(F.length(both) > limit, F.concat(F.regexp_replace(F.substring(both, 1, limit), " [^ ]*$", ""), F.lit("..."))).otherwise(both)
-        return F.when(s.contains(x) | (F.length(x) == 0), s).otherwise(cut)
-
-    return F.aggregate(F.filter(observations, lambda x: x.isNotNull()), F.lit(""), step)
-
-
 def joined_notes(old: str, new: str) -> str:
     """Notes one after another, those left out that are in it already."""
     return old if not new or new in old else f"{old} {new}".strip()

@@ -191,18 +191,82 @@ def winner(translation_contains: Column, source_contains: Column, name_a: Column
     return F.coalesce(contains, longer, F.when(seen_a <= seen_b, "a").otherwise("b"))
 
 
+def winners(pairs: DataFrame, entities: DataFrame) -> DataFrame:
+    """``pairs`` (a, b and, where known, container: 'a' or 'b') with survivor and absorbed, by ``winner`` of their entities (id, name, first_seen)."""
+    one = lambda c: entities.select(F.col("id").alias(c), F.col("name").alias(f"_n{c}"), F.col("first_seen").alias(f"_s{c}"))
+    container = F.col("container") if "container" in pairs.columns else F.lit(None).cast("string")
+    both = pairs.join(one("a"), "a").join(one("b"), "b")
+    unknown = F.col("_sa").isNull() | F.col("_sb").isNull()  # then the first one wins a tie
+    seen = lambda c: F.when(unknown, F.col("_sa")).otherwise(F.col(c))
+    first = winner(container, F.lit(None).cast("string"), F.coalesce("_na", F.lit("")), F.coalesce("_nb", F.lit("")), seen("_sa"), seen("_sb"))
+    out = both.withColumn("_w", F.when(unknown & container.isNull() & (F.length("_na") == F.length("_nb")), "a").otherwise(first))
+    return out.select(*pairs.columns, F.when(F.col("_w") == "a", F.col("a")).otherwise(F.col("b")).alias("survivor"), F.when(F.col("_w") == "a", F.col("b")).otherwise(F.col("a")).alias("absorbed"))
+
+
+def survivors(remap: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, component) with each component named by its survivor: of its members the one that won most and lost least, then the smallest.
+
+    remap: node, component; pairs: survivor, absorbed.
+    """
+    points = pairs.select(F.col("survivor").alias("node"), F.lit(1).alias("p")).unionByName(pairs.select(F.col("absorbed").alias("node"), F.lit(-1).alias("p"))).groupBy("node").agg(F.sum("p").alias("p"))
+    ranked = remap.join(points, "node", "left").withColumn("p", F.coalesce("p", F.lit(0)))
+    top = ranked.groupBy("component").agg(F.min(F.struct((-F.col("p")).alias("p"), "node")).alias("t")).select("component", F.col("t.node").alias("survivor"))
+    return remap.join(top, "component").select("node", F.col("survivor").alias("component"))
+
+
 def merged(entities: DataFrame, remap: DataFrame) -> DataFrame:
     """Entities folded by their survivor (remap: node, component), in the order of ``ord``.
 
-    entities: id, ord, name, forms array<string>, aliases array<string>, notes, first_seen, last_seen.
-    The survivor's name and first entries come first; lists keep the order of first appearance.
+    entities: id, ord, name, forms array<string>, aliases array<string>, notes, first_seen, last_seen
+    and, where there are such, summary, speech_style, books array<string>, nicknames
+    array<struct<speaker, nick>>.  The survivor's name and first entries come first; lists keep the
+    order of first appearance, a speaker's first nickname counts.
     """
+    extra = [c for c in ("summary", "speech_style", "books", "nicknames") if c in entities.columns]
     rows = entities.join(remap.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("root", F.coalesce("component", "id"))
-    key = F.struct((F.col("id") != F.col("root")).alias("absorbed"), "ord", "name", "forms", "aliases", "notes")
+    key = F.struct((F.col("id") != F.col("root")).alias("absorbed"), "ord", "name", "forms", "aliases", "notes", *extra)
     folded = rows.groupBy("root").agg(F.array_sort(F.collect_list(key)).alias("l"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.count("*").alias("n_merged"))
     each = lambda c: F.transform("l", lambda x: x[c])
-    notes = F.aggregate(F.filter(each("notes"), lambda n: F.length(n) > 0), F.lit(""), lambda s, n: F.when(s.contains(n), s).when(s == "", n).otherwise(F.concat(s, F.lit(" "), n)))
-    return folded.select(F.col("root").alias("id"), F.get("l", F.lit(0))["name"].alias("name"), F.array_distinct(F.flatten(each("forms"))).alias("forms"), F.array_distinct(F.flatten(each("aliases"))).alias("aliases"), notes.alias("notes"), "first_seen", "last_seen", "n_merged")
+    lists = lambda c: F.array_distinct(F.flatten(F.filter(each(c), lambda x: x.isNotNull())))
+    joined = lambda c: F.aggregate(F.filter(each(c), lambda n: F.length(n) > 0), F.lit(""), lambda s, n: F.when(s.contains(n), s).when(s == "", n).otherwise(F.concat(s, F.lit(" "), n)))
+    more = {
+        "summary": lambda: summary_fold(each("summary"), SUMMARY),
+        "speech_style": lambda: F.array_join(F.array_distinct(F.flatten(F.transform(F.filter(each("speech_style"), lambda x: F.length(x) > 0), lambda x: F.split(x, STYLES)))), STYLES),
+        "books": lambda: lists("books"),
+        "nicknames": lambda: F.aggregate(lists("nicknames"), F.array().cast(entities.schema["nicknames"].dataType), lambda s, x: F.when(F.exists(s, lambda y: y["speaker"] == x["speaker"]), s).otherwise(F.concat(s, F.array(x)))),
+    }
+    return folded.select(F.col("root").alias("id"), F.get("l", F.lit(0))["name"].alias("name"), lists("forms").alias("forms"), lists("aliases").alias("aliases"), joined("notes").alias("notes"), "first_seen", "last_seen", "n_merged", *[more[c]().alias(c) for c in extra])
+
+
+SUMMARY = 500
+#: Between observations of how a character speaks.
+STYLES = "\n"
+
+
+def summary_fold(observations: Column, limit: int = SUMMARY) -> Column:
+    """An ordered array of summaries as one: what is in it already is skipped; else appended, and cut at a space with three dots."""
+
+    def step(s: Column, x: Column) -> Column:
+        both = F.when(F.length(s) == 0, x).otherwise(F.concat(s, F.lit(" "), x))
+        cut = F.when(F.length(both) > limit, F.concat(F.regexp_replace(F.substring(both, 1, limit), " [^ ]*$", ""), F.lit("..."))).otherwise(both)
+        return F.when(s.contains(x) | (F.length(x) == 0), s).otherwise(cut)
+
+    return F.aggregate(F.filter(observations, lambda x: x.isNotNull()), F.lit(""), step)
+
+
+def merged_forms(forms: DataFrame, remap: DataFrame) -> DataFrame:
+    """Surface forms (entity_id, source, translation, translation_variants, reading, occurrence_count, first_seen_chunk) by survivor.
+
+    Of forms with one source the survivor's stays, then the smallest entity's; counts add up, the
+    first reading that is not empty counts, other translations become variants.
+    """
+    rows = forms.join(remap.select(F.col("node").alias("entity_id"), "component"), "entity_id", "left").withColumn("root", F.coalesce("component", "entity_id"))
+    key = F.struct((F.col("entity_id") != F.col("root")).alias("absorbed"), "entity_id", "translation", "translation_variants", "reading")
+    by = rows.groupBy("root", "source").agg(F.array_sort(F.collect_list(key)).alias("l"), F.sum("occurrence_count").alias("occurrence_count"), F.min("first_seen_chunk").alias("first_seen_chunk"))
+    told = F.get("l", F.lit(0))["translation"]
+    variants = F.filter(F.array_distinct(F.flatten(F.transform("l", lambda x: F.concat(F.array(x["translation"]), F.coalesce(x["translation_variants"], F.array().cast("array<string>")))))), lambda t: t.isNotNull() & ~t.eqNullSafe(told))
+    reading = F.get(F.filter(F.transform("l", lambda x: x["reading"]), lambda r: F.length(r) > 0), F.lit(0))
+    return by.select(F.col("root").alias("entity_id"), "source", told.alias("translation"), variants.alias("translation_variants"), reading.alias("reading"), "occurrence_count", "first_seen_chunk")
 
 
 def remapped(pairs: DataFrame, remap: DataFrame) -> DataFrame:
@@ -256,22 +320,27 @@ def report(rounds: DataFrame) -> DataFrame:
 def resolve(entities: DataFrame, candidates: Callable[[DataFrame], DataFrame], judge: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 3, embeddings: bool = False) -> tuple[DataFrame, DataFrame]:
     """Merge until nothing changes, at most ``rounds`` times: (entities, remap).
 
-    ``candidates`` makes evidence from entities; HIGH pairs merge, MEDIUM ones go to ``judge`` (a
-    function that keeps the pairs which are one entity), LOW ones are dropped.  Membership is
-    the components of the accepted pairs.
+    ``candidates`` makes evidence from entities (and may say which side contains the other: container);
+    HIGH pairs merge, MEDIUM ones go to ``judge`` (a function that keeps the pairs which are one
+    entity, and may name the one to survive: preferred), LOW ones are dropped.  Membership is the
+    components of the accepted pairs; a component is named by the member that wins its pairs.
     """
     spark = entities.sparkSession
     id_ = entities.schema["id"].dataType.simpleString()
     total = spark.createDataFrame([], f"node {id_}, component {id_}")
+    plain = lambda df, c: F.col(c) if c in df.columns else F.lit(None).cast("string")
     for _ in range(rounds):
         found = kept(candidates(entities).withColumn("tier", tier(embeddings)))
-        accepted = found.where(F.col("tier") == "HIGH").select("a", "b")
+        high = found.where(F.col("tier") == "HIGH")
+        accepted = winners(high.select("a", "b", plain(high, "container").alias("container")), entities).select("a", "b", "survivor", "absorbed")
         if judge is not None:
-            accepted = accepted.unionByName(judge(found.where(F.col("tier") == "MEDIUM")).select("a", "b"))
+            yes = judge(found.where(F.col("tier") == "MEDIUM"))
+            choice = F.when(plain(yes, "preferred").cast(id_) == F.col("b"), "b").otherwise("a")
+            accepted = accepted.unionByName(winners(yes.select("a", "b", choice.alias("container")), entities).select("a", "b", "survivor", "absorbed"))
         accepted = kept(accepted)
         if accepted.limit(1).count() == 0:
             break
-        step = components(accepted)
+        step = kept(survivors(components(accepted.select("a", "b")), accepted))
         entities = kept(merged(entities, step).withColumn("ord", F.col("first_seen")))
         old = total.join(step.select(F.col("node").alias("component"), F.col("component").alias("next")), "component", "left").select("node", F.coalesce("next", "component").alias("component"))
         total = kept(old.unionByName(step.join(old.select("node"), "node", "left_anti")))

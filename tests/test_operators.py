@@ -45,8 +45,29 @@ def test_resolve_merges_until_nothing_changes(spark):
         return resolve.evidence(tagged, e.select("id", F.lit("x").alias("category")))
 
     left, remap = resolve.resolve(entities, candidates)
-    assert sorted((r.id, r.forms) for r in left.collect()) == [(0, ["ann", "ann b", "ann b c"]), (3, ["zed"])]
-    assert {r.node: r.component for r in remap.collect()} == {0: 0, 1: 0, 2: 0}
+    assert sorted((r.id, r.name, r.forms) for r in left.collect()) == [(2, "ann b c", ["ann b c", "ann", "ann b"]), (3, "zed", ["zed"])]
+    assert {r.node: r.component for r in remap.collect()} == {0: 2, 1: 2, 2: 2}
+
+
+def test_whole_records_and_forms_are_merged(spark):
+    rows = [(1, 1, "A", ["a"], ["x"], "n", 5, 6, "one", "curt", ["b1"], [("Ann", "P")]), (2, 2, "B", ["b"], ["y", "x"], "n m", 3, 9, "two", "curt\nloud", ["b2", "b1"], [("Ann", "Q"), ("Bob", "R")]), (3, 3, "C", ["c"], None, None, 7, 7, None, None, None, None)]
+    entities = spark.createDataFrame(rows, "id int, ord int, name string, forms array<string>, aliases array<string>, notes string, first_seen int, last_seen int, summary string, speech_style string, books array<string>, nicknames array<struct<speaker string, nick string>>")
+    remap = spark.createDataFrame([(1, 1), (2, 1)], "node int, component int")
+    got = {r.id: r for r in resolve.merged(entities, remap).collect()}
+    a = got[1]
+    assert (a.name, a.forms, a.aliases, a.notes, a.first_seen, a.last_seen, a.n_merged) == ("A", ["a", "b"], ["x", "y"], "n n m", 3, 9, 2)
+    assert (a.summary, a.speech_style, a.books, [tuple(x) for x in a.nicknames]) == ("one two", "curt\nloud", ["b1", "b2"], [("Ann", "P"), ("Bob", "R")])
+    assert (got[3].name, got[3].forms, got[3].aliases, got[3].summary, got[3].nicknames) == ("C", ["c"], [], "", [])
+    forms = spark.createDataFrame([(1, "s", "S", ["T"], "", 2, "c5"), (2, "s", "U", ["S", "V"], "r", 3, "c1"), (2, "t", "W", None, None, 1, "c2")], "entity_id int, source string, translation string, translation_variants array<string>, reading string, occurrence_count long, first_seen_chunk string")
+    merged = {r.source: tuple(r)[2:] for r in resolve.merged_forms(forms, remap).collect()}
+    assert merged == {"s": ("S", ["T", "U", "V"], "r", 5, "c1"), "t": ("W", [], None, 1, "c2")}
+
+
+def test_the_preferred_entity_survives(spark):
+    entities = spark.createDataFrame([(1, 1, "long name", ["p"], [], "", 1, 1), (2, 2, "ln", ["q"], [], "", 2, 2)], "id int, ord int, name string, forms array<string>, aliases array<string>, notes string, first_seen int, last_seen int")
+    one = lambda e: e.sparkSession.createDataFrame([(1, 2, ["jaro_winkler"], 0.8, False)], "a int, b int, heuristics array<string>, jw double, same_category boolean").join(e.select(F.col("id").alias("a")), "a").join(e.select(F.col("id").alias("b")), "b")
+    left, remap = resolve.resolve(entities, one, lambda p: p.select("a", "b", F.col("b").cast("string").alias("preferred")))
+    assert [(r.id, r.name, r.forms) for r in left.collect()] == [(2, "ln", ["q", "p"])] and {r.component for r in remap.collect()} == {2}
 
 
 def test_mentions_see_earlier_entities(spark):
