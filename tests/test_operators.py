@@ -224,3 +224,12 @@ def test_categories_are_checked(spark):
     assert linking.require_categories(entities.where("name = 'a'"), ["place"]).count() == 1
     with pytest.raises(ValueError, match="thing"):
         linking.require_categories(entities, ["place"])
+
+
+def test_markdown_of_all_kinds():
+    got = assemble.markdown_html("1. one\n2. two\n   - in\n   - ner\n3. three\n\n> q\n> r\n\n| a | b |\n|---|:-:|\n| 1 | `2|x` |\n\n```py\nx < 1\n\n# no heading\n```\nsnake_case_word _it_ {x} {a|b|c} [l](u)")
+    assert got == (
+        "<ol>\n<li>one</li>\n<li>two\n<ul>\n<li>in</li>\n<li>ner</li>\n</ul>\n</li>\n<li>three</li>\n</ol>\n<blockquote><p>q\nr</p></blockquote>\n"
+        "<table>\n<thead>\n<tr><th>a</th><th>b</th></tr>\n</thead>\n<tbody>\n<tr><td>1</td><td>`2</td><td>x`</td></tr>\n</tbody>\n</table>\n"
+        '<pre><code class="language-py">x &lt; 1\n\n# no heading\n</code></pre>\n<p>snake_case_word <em>it</em> {x} {a|b|c} <a href="u">l</a></p>'
+    )
