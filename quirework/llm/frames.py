@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,9 +45,24 @@ def collected(spark: SparkSession, seconds: float = 5.0) -> None:
     """Ask the driver to collect its garbage, once in so many seconds: only then are shuffle files deleted that no plan needs any more."""
     if time.monotonic() - _COLLECTED[0] > seconds:
         spark._jvm.System.gc()
+        returned(spark)
         _COLLECTED[0] = time.monotonic()
 
 
+def returned(spark: SparkSession) -> None:
+    """Have the driver's JVM give native memory that it has freed back to the system: planning and compiling leave much of it behind."""
+    java, new_array = spark._jvm.java.lang, spark.sparkContext._gateway.new_array
+    kinds, values = new_array(java.Class, 4), new_array(java.Object, 4)
+    for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = java.Class.forName(name)
+    values[0] = spark._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    values[1] = "systemTrimNativeHeap"
+    # by the interface's method: the server's class itself is not open to callers
+    invoke = java.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds)
+    with contextlib.suppress(Py4JJavaError):  # a JVM or C library without that command
+        invoke.invoke(java.management.ManagementFactory.getPlatformMBeanServer(), values)
+
+
 _FOLDERS = "_quirework_folder"
 
 
