@@ -50,6 +50,18 @@ class Translation:
     across_documents: bool = True
 
 
+@dataclass(frozen=True)
+class Models:
+    """Names of models by task; a task without one takes the translating model."""
+
+    translate: str = ""
+    summarize: str | None = None
+    qa: str | None = None
+
+    def of(self, task: str) -> str:
+        return getattr(self, task) or self.translate
+
+
 @dataclass(frozen=True)
 class Settings:
     source_language: str = "ja"
@@ -60,6 +72,9 @@ class Settings:
     batching: Batching = field(default_factory=Batching)
     clustering: Clustering = field(default_factory=Clustering)
     translation: Translation = field(default_factory=Translation)
+    models: Models = field(default_factory=Models)
+    toc_categories: tuple[str, ...] = ()
+    stylesheet: str = "added.css"
 
     def suffix(self) -> str:
         return f" ({language_name(self.target_language)} Translation)" if self.title_suffix is None else self.title_suffix
@@ -93,10 +108,13 @@ class Layout:
 
     root: str
 
-    def table(self, stage: str, version: int = 0) -> str:
+    def stage(self, stage: str) -> str:
         if stage not in STAGES:
             raise ValueError(f"no stage {stage}")
-        return f"{self.root.rstrip('/')}/{stage}/v={version}"
+        return f"{self.root.rstrip('/')}/{stage}"
+
+    def table(self, stage: str, version: int = 0) -> str:
+        return f"{self.stage(stage)}/v={version}"
 
     def log(self) -> str:
         return f"{self.root.rstrip('/')}/state"

@@ -36,6 +36,12 @@ def pending(items: DataFrame, state: DataFrame, stage: str) -> DataFrame:
     return items.join(done, "item_id", "left_anti")
 
 
+def without_lost(state: DataFrame, items: DataFrame, stage: str, value: str) -> DataFrame:
+    """``state`` without those completed items of a stage whose ``value`` in ``items`` (item_id and others) is missing: they are pending again."""
+    lost = items.where(F.col(value).isNull()).select(F.lit(stage).alias("stage"), "item_id", F.lit("completed").alias("status"))
+    return state.join(lost, ["stage", "item_id", "status"], "left_anti").select(*state.columns)
+
+
 def stage_status(state: DataFrame) -> DataFrame:
     """A row a stage with the number of its items in each status."""
     return state.groupBy("stage").agg(F.count("*").alias("n_items"), *[F.count_if(F.col("status") == s).alias(f"n_{s}") for s in STATUSES])

@@ -15,6 +15,7 @@ from ..functions.text import TOKEN
 from ..operators.context import relevant_entities
 from ..operators.provider import Provider, Refused, RetryLater, completed
 from ..operators.quality import END, json_in
+from .prompts import prompt
 
 SUMMARISED = ("chapter", "frontmatter", "backmatter")
 SCHEMA = "book_id string, chunk_id string, attempt int, translated_text string, analysis string, verdict string, issues string, selected boolean, summary string, overlap_chunk_id string, error string, passes int, prompt_tokens long, completion_tokens long"
@@ -53,23 +54,23 @@ def slots(system: str, content: str, **context: str | None) -> list[dict[str, st
 def draft_messages(source: str, glossary: str, summary: str, before: tuple[str, str] | None) -> list[dict[str, str]]:
     """First pass: translate, with the terms, the story so far and the text before with its translation."""
     overlap = f"{before[0]}\n\nTranslated as:\n{before[1]}" if before else None
-    return slots(f"Translate the text. Think first, end the thoughts with {END}, then give the translation alone.", source, glossary=glossary, story_so_far=summary, text_before_not_to_be_translated_again=overlap)
+    return slots(prompt("draft", end=END), source, glossary=glossary, story_so_far=summary, text_before_not_to_be_translated_again=overlap)
 
 
 def polish_messages(source: str, draft: str) -> list[dict[str, str]]:
     """Second pass: the source and the draft alone."""
-    return slots("Polish the draft translation and give the result alone.", f"Source:\n{source}\n\nDraft:\n{draft}")
+    return slots(prompt("polish"), f"Source:\n{source}\n\nDraft:\n{draft}")
 
 
 def check_messages(source: str, output: str, glossary: str) -> list[dict[str, str]]:
     """Judging: the source, the translation and the approved terms."""
-    return slots('List the issues of the translation as JSON: {"issues": [{"issue": ..., "severity": "high" or "low"}]}.', f"Source:\n{source}\n\nTranslation:\n{output}", approved_terms=glossary)
+    return slots(prompt("check"), f"Source:\n{source}\n\nTranslation:\n{output}", approved_terms=glossary)
 
 
 def fix_messages(source: str, failed: str, issues: list[str], glossary: str) -> list[dict[str, str]]:
     """Mending: the source, the translation that failed, its high issues and the terms."""
     listed = "\n".join(f"- {i}" for i in issues)
-    return slots("Mend the named issues of the translation, leave the rest, and give the result alone.", f"Source:\n{source}\n\nTranslation:\n{failed}\n\nIssues:\n{listed}", glossary=glossary)
+    return slots(prompt("fix"), f"Source:\n{source}\n\nTranslation:\n{failed}\n\nIssues:\n{listed}", glossary=glossary)
 
 
 class Counted:

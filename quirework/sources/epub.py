@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import posixpath
 import re
+import subprocess
 import zipfile
 from collections.abc import Iterator
 from urllib.parse import unquote
@@ -172,6 +173,15 @@ def with_stylesheet(xhtml: str, href: str) -> str:
     return xhtml if link in xhtml else re.sub(r"(?i)</head\s*>", lambda m: link + m[0], xhtml, count=1)
 
 
+def validated(path: str, command: tuple[str, ...] = ("epubcheck",), seconds: float = 300.0) -> tuple[bool | None, str]:
+    """Whether a validator finds a book in order, and what it says; None if there is no validator or it takes too long."""
+    try:
+        done = subprocess.run([*command, path], capture_output=True, text=True, timeout=seconds)
+    except (FileNotFoundError, subprocess.TimeoutExpired) as e:
+        return None, str(e)
+    return done.returncode == 0, done.stdout + done.stderr
+
+
 def package_updated(opf: str, language: str, suffix: str, note: str, css: str | None = None, identifier: str | None = None) -> str:
     """A package with its languages, first title's suffix, description, reading direction and, if given, style sheet item and identifier changed."""
     ElementTree.register_namespace("", OPF[1:-1])

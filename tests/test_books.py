@@ -69,3 +69,52 @@ def test_settings():
     s = config.merged(config.Settings(), {"target_language": "de", "unknown": 1, "chunking": {"target": 10}})
     assert s.suffix() == " (German Translation)" and s.chunking.target == 10 and s.chunking.least == 400
     assert config.language_name("xx") == "xx" and "chunking" in config.default_yaml()
+
+
+NCX = '<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/"><navMap><navPoint><navLabel><text>One</text></navLabel></navPoint><navPoint><navLabel><text>Two</text></navLabel></navPoint><navPoint><navLabel><text>One</text></navLabel></navPoint></navMap></ncx>'
+
+
+def test_contents(spark):
+    from quirework.plans import contents
+
+    entries = spark.createDataFrame([("b", 0, "O/t.ncx", bytearray(NCX.encode())), ("b", 1, "O/x.html", bytearray(b"<p>no contents</p>")), ("c", 0, "n.xhtml", bytearray(b"<nav"))], "path string, ord int, name string, content binary")
+    found = contents.titles(entries)
+    assert [r.title for r in found.orderBy("ord").collect()] == ["One", "Two"]
+
+    def factory():
+        def call(messages):
+            lines = messages[-1]["content"].split("\n\n")[0].split("\n")
+            return '{"titles": [' + ", ".join(f'"{x.upper()}"' for x in lines) + "]}"
+
+        return call
+
+    made = contents.translated_titles(found, factory, "Japanese", "English")
+    new = contents.rewritten(entries, made).collect()
+    assert len(new) == 1 and epub.toc_titles(bytes(new[0].content).decode()) == ["ONE", "TWO", "ONE"]
+    e = spark.createDataFrame([("b", 1, "place", 2), ("b", 2, "character", 1), ("b", 3, "term", 3)], "book_id string, entity_id long, category string, ord int")
+    f = spark.createDataFrame([("b", 1, "r", "Rome"), ("b", 2, "a", "Abel"), ("b", 3, "t", "")], "book_id string, entity_id long, source string, translation string")
+    assert contents.glossary(e, f).first().glossary == "a -> Abel\nr -> Rome" and contents.glossary(e, f, ("place",)).first().glossary == "r -> Rome"
+
+
+def test_command_line_and_versions(spark, shelf, tmp_path):
+    from quirework import cli
+
+    work, out = str(tmp_path / "work"), tmp_path / "out"
+    layout = config.Layout(work)
+    assert cli.main(["run", shelf, work]) == 0 and cli.main(["chunk", work]) == 0
+    assert stages.versions(spark, layout, "chunk") == [0, 1] and stages.versions(spark, layout, "translate") == []
+    with pytest.raises(ValueError):
+        cli.main(["assemble", work])
+    parts = stages.newest(spark, layout, "chunk").selectExpr("path", "spine_index", "chunk_index", "upper(text) as translated_text")
+    stages.commit(parts, layout, "translate")
+    assert cli.main(["assemble", work]) == 0 and cli.main(["rebuild", shelf, work, str(out)]) == 0
+    with zipfile.ZipFile(out / "x.epub") as z:
+        page, package = z.read("O/t/a.xhtml"), z.read("O/c.opf")
+        assert b"WORD WORD" in page and b'href="../added.css"' in page and b"added.css" in package and b"English Translation" in package and z.read("O/added.css")
+    stages.commit(parts, layout, "glossary_cluster")
+    assert stages.invalidate(spark, layout, "glossary_build") == ("glossary_cluster", "glossary_reconcile") and stages.versions(spark, layout, "glossary_cluster") == []
+    assert epub.validated("x", ("no-such-validator",))[0] is None
+    assert config.Models("a", qa="b").of("qa") == "b" and config.Models("a").of("summarize") == "a"
+    whole = spark.createDataFrame([("x", 1, False)], "path string, spine_index int, complete boolean")
+    with pytest.raises(ValueError, match="x#1"):
+        stages.require_complete(whole)

@@ -233,3 +233,44 @@ def test_markdown_of_all_kinds():
         "<table>\n<thead>\n<tr><th>a</th><th>b</th></tr>\n</thead>\n<tbody>\n<tr><td>1</td><td>`2</td><td>x`</td></tr>\n</tbody>\n</table>\n"
         '<pre><code class="language-py">x &lt; 1\n\n# no heading\n</code></pre>\n<p>snake_case_word <em>it</em> {x} {a|b|c} <a href="u">l</a></p>'
     )
+
+
+def test_http_client_and_shape(spark):
+    import http.server
+    import threading
+
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            said = self.rfile.read(int(self.headers["Content-Length"])).decode()
+            seen.append(said)
+            status = next((n for n in (400, 429, 500) if f"s{n}" in said), 200)
+            body = b'{"choices": [{"message": {"content": "hi"}}], "usage": {"prompt_tokens": 3, "completion_tokens": 1}}' if status == 200 else b'{"error": {"code": "insufficient_quota"}}' if "quota" in said else b"{}"
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        client = provider.Http(f"http://127.0.0.1:{server.server_port}/v1", "m", "k", 20)
+        say = lambda t: client([{"role": "user", "content": t}])
+        assert say("x") == "hi" and client.used == [3, 1]
+        for text, kind in (("s400", provider.Refused), ("s429", provider.RetryLater), ("s429 quota", provider.Refused), ("s500", provider.RetryLater)):
+            with pytest.raises(kind):
+                say(text)
+    finally:
+        server.shutdown()
+    shown = []
+    provider.structured(lambda m: shown.append(m[-1]["content"]) or '{"a": "x"}', [{"role": "user", "content": "q"}], lambda o: None, shape={"a": "string"})
+    assert shown == ['q\n\nAnswer with a JSON object like this:\n{"a": "text"}']
+
+
+def test_lost_values_are_pending_again(spark):
+    now = spark.createDataFrame([("s", "a", "completed"), ("s", "b", "completed"), ("s", "c", "failed"), ("t", "a", "completed")], "stage string, item_id string, status string")
+    items = spark.createDataFrame([("a", None), ("b", "x"), ("c", None)], "item_id string, v string")
+    assert {(r.stage, r.item_id) for r in state.without_lost(now, items, "s", "v").collect()} == {("s", "b"), ("s", "c"), ("t", "a")}
