@@ -220,20 +220,22 @@ def surface_forms(links: DataFrame) -> DataFrame:
 
     links: entity_id, ord, source, reading, translation, chunk_id.
     """
-    l = F.array_sort(F.collect_list(F.struct("ord", "translation", "reading", "chunk_id")))  # noqa: E741
-    by = links.groupBy("entity_id", "source").agg(F.count("*").alias("occurrence_count"), l.alias("l"))
-    told = F.array_distinct(F.filter(F.transform("l", lambda x: x["translation"]), lambda t: F.length(t) > 0))
-    read = F.filter(F.transform("l", lambda x: x["reading"]), lambda r: F.length(r) > 0)
-    return by.select("entity_id", "source", "occurrence_count", F.get(told, F.lit(0)).alias("translation"), F.slice(told, 2, 1_000_000).alias("translation_variants"), F.get(read, F.lit(0)).alias("reading"), F.get("l", F.lit(0))["chunk_id"].alias("first_seen_chunk"))
+    # combined by translation first, so that a row holds distinct translations and never all links
+    row = F.struct("ord", "translation", "reading", "chunk_id")
+    one = links.groupBy("entity_id", "source", "translation").agg(F.count("*").alias("n"), F.min("ord").alias("o"), F.min(row).alias("first"), F.min(F.when(F.length("reading") > 0, row)).alias("read"))
+    told = F.array_sort(F.collect_list(F.when(F.length("translation") > 0, F.struct("o", "translation"))))
+    by = one.groupBy("entity_id", "source").agg(F.sum("n").alias("occurrence_count"), F.transform(told, lambda x: x["translation"]).alias("told"), F.min("first").alias("first"), F.min("read").alias("read"))
+    return by.select("entity_id", "source", "occurrence_count", F.get("told", F.lit(0)).alias("translation"), F.slice("told", 2, 1_000_000).alias("translation_variants"), F.col("read.reading").alias("reading"), F.col("first.chunk_id").alias("first_seen_chunk"))
 
 
 def conflicts(links: DataFrame) -> DataFrame:
     """A row an entity with differing translations or categories: the current one and the others in order."""
-    l = F.array_sort(F.collect_list(F.struct("ord", "source", "translation", "category")))  # noqa: E741
-    by = links.groupBy("entity_id").agg(l.alias("l"))
-    told = F.array_distinct(F.filter(F.transform("l", lambda x: x["translation"]), lambda t: F.length(t) > 0))
-    kinds = F.array_distinct(F.transform("l", lambda x: x["category"]))
-    rows = by.select("entity_id", F.get("l", F.lit(0))["source"].alias("source_form"), F.get(told, F.lit(0)).alias("current_translation"), F.slice(told, 2, 1_000_000).alias("alternatives"), F.slice(kinds, 2, 1_000_000).alias("category_variants"))
+    # combined by value first, so that a row holds distinct values and never all links
+    values = F.array(F.struct(F.lit("t").alias("k"), F.col("translation").alias("v")), F.struct(F.lit("c").alias("k"), F.col("category").alias("v")))
+    one = links.select("entity_id", F.struct("ord", "source", "translation", "category").alias("row"), F.explode(values).alias("x")).groupBy("entity_id", "x").agg(F.min("row").alias("first"))
+    kept = lambda which: F.transform(F.array_sort(F.collect_list(F.when(which, F.struct("first", "x.v")))), lambda y: y["v"])
+    by = one.groupBy("entity_id").agg(F.min("first").alias("first"), kept((F.col("x.k") == "t") & (F.length("x.v") > 0)).alias("told"), kept(F.col("x.k") == "c").alias("kinds"))
+    rows = by.select("entity_id", F.col("first.source").alias("source_form"), F.get("told", F.lit(0)).alias("current_translation"), F.slice("told", 2, 1_000_000).alias("alternatives"), F.slice("kinds", 2, 1_000_000).alias("category_variants"))
     return rows.where((F.size("alternatives") > 0) | (F.size("category_variants") > 0))
 
 

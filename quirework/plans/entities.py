@@ -78,9 +78,9 @@ def confidence_tier(spark, d):
 
 def tier_with_vectors(spark, d):
     v = found(spark, d).withColumn("cosine", ((F.col("a") + F.col("b")) % 10) / 10)
-    alone = v.limit(0).select("a", "b", "heuristics", "same_category", "jw", "cosine")
+    columns = ["a", "b", "heuristics", "same_category", "jw", "cosine"]
     vector = pair_cosine(spark, d).select(F.col("a"), F.col("b"), F.array(F.lit("embedding")).alias("heuristics"), F.lit(True).alias("same_category"), F.lit(None).cast("double").alias("jw"), "cosine")
-    return alone.unionByName(v.select(*alone.columns)).unionByName(vector).withColumn("tier", E.tier(embeddings=True)).groupBy("tier").agg(F.count("*").alias("n"))
+    return v.select(*columns).unionByName(vector).select("a", "b", F.array_contains("heuristics", "embedding").alias("alone"), E.tier(embeddings=True).alias("tier"))
 
 
 def directed(spark, d):
@@ -205,7 +205,7 @@ def correction_targets(spark, d):
 
 def reconcile_work(spark, d):
     styles = names(spark, d).select(F.col("id").cast("string").alias("entity_id"), F.when(F.col("id") % 6 == 0, F.concat(F.col("p_name"), F.lit("\nshort"))).otherwise(F.col("p_name")).alias("speech_style"))
-    return L.reconcile_work(L.surface_forms(links(spark, d)), L.conflicts(links(spark, d)), styles).groupBy("work", "needs_call").agg(F.count("*").alias("n"))
+    return L.reconcile_work(L.surface_forms(links(spark, d)), L.conflicts(links(spark, d)), styles).select("work", "entity_id", F.coalesce("item", F.lit("")).alias("item"), "needs_call")
 
 
 def glossary_export(spark, d):
@@ -253,7 +253,7 @@ ORACLE = {
     "pair_cosine": f"WITH {COS} SELECT a, b, cosine FROM cs",
     "evidence_union": f"WITH {FOUND} SELECT a, b, heuristics, round(jw, 6) AS jw, same_category FROM ev",
     "confidence_tier": f"WITH {FOUND} SELECT a, b, CASE WHEN strong >= 2 AND same_category THEN 'HIGH' ELSE 'MEDIUM' END AS tier FROM ev",
-    "tier_with_vectors": f"WITH {FOUND}, {COS}, al2 AS (SELECT strong, same_category, ((a + b) % 10) / 10 AS c, false AS alone FROM ev UNION ALL SELECT 0, true, cosine, true FROM cs) SELECT CASE WHEN alone AND c < 0.5 THEN 'LOW' WHEN strong + CASE WHEN c >= 0.82 THEN 1 ELSE 0 END >= 2 AND c >= 0.82 AND same_category THEN 'HIGH' ELSE 'MEDIUM' END AS tier, count(*) AS n FROM al2 GROUP BY 1",
+    "tier_with_vectors": f"WITH {FOUND}, {COS}, al2 AS (SELECT a, b, strong, same_category, ((a + b) % 10) / 10 AS c, false AS alone FROM ev UNION ALL SELECT a, b, 0, true, cosine, true FROM cs) SELECT a, b, alone, CASE WHEN alone AND c < 0.5 THEN 'LOW' WHEN strong + CASE WHEN c >= 0.82 THEN 1 ELSE 0 END >= 2 AND c >= 0.82 AND same_category THEN 'HIGH' ELSE 'MEDIUM' END AS tier FROM al2",
     "containment_direction": f"WITH {N}, {SUBSTRING}, p AS (SELECT a, b, contains(y.p_name, {LAST('x.p_name')}) AND x.p_name <> y.p_name AS ab, contains(x.p_name, {LAST('y.p_name')}) AND y.p_name LIKE 'b%' AS ba FROM ss JOIN n x ON x.id = a JOIN n y ON y.id = b) SELECT a, b, CASE WHEN ab AND NOT ba THEN 'b' WHEN ba AND NOT ab THEN 'a' END AS container FROM p",
     "pick_winner": f"WITH {N}, {SUBSTRING} SELECT a, b, CASE WHEN (a + b) % 7 = 0 THEN 'b' WHEN length(x.p_name) > length(y.p_name) THEN 'a' WHEN length(y.p_name) > length(x.p_name) THEN 'b' WHEN a % 5 <= b % 5 THEN 'a' ELSE 'b' END AS winner FROM ss JOIN n x ON x.id = a JOIN n y ON y.id = b",
     "merge_components": f"WITH RECURSIVE {LINKED} SELECT node, component FROM co",
@@ -270,7 +270,7 @@ s AS (SELECT conv_id, 0::BIGINT AS n, '' AS s FROM t GROUP BY conv_id UNION ALL
 SELECT conv_id, arg_max(s, n) AS summary FROM s GROUP BY conv_id""",
     "entity_ids": "WITH p AS (SELECT p_partkey, lower(p_type) AS c FROM part), m AS (SELECT c, max(p_partkey) AS top FROM p WHERE p_partkey < 20 GROUP BY c) SELECT p_partkey, c || printf('_%06d', coalesce(top, 0) + row_number() OVER (PARTITION BY c ORDER BY p_partkey)) AS entity_id FROM p LEFT JOIN m USING (c) WHERE p_partkey >= 20",
     "correction_targets": f"WITH {N}, e AS (SELECT 'e' || id AS eid, upper({FIRST('p_name')}) AS name FROM n), bn AS (SELECT name, min(eid) AS eid FROM e GROUP BY name HAVING count(*) = 1), s AS (SELECT 'e' || id AS eid, CASE WHEN id % 2 = 0 THEN p_name ELSE {LAST('p_name')} END AS src FROM n), bs AS (SELECT src, min(eid) AS eid FROM s GROUP BY src HAVING count(DISTINCT eid) = 1) SELECT n.id AS ord, coalesce(bn.eid, bs.eid, 'unknown:' || p_name) AS entity_id FROM n LEFT JOIN bn ON bn.name = CASE WHEN id % 4 = 0 THEN upper({FIRST('p_name')}) ELSE '' END LEFT JOIN bs ON bs.src = p_name",
-    "reconcile_work": f"WITH {LINKS}, {FORMS}, {CONFLICTS}, {N}, w AS (SELECT 'variants' AS work, true AS needs_call FROM sf WHERE nv > 1 UNION ALL SELECT 'conflict', told FROM cf UNION ALL SELECT 'speech', true FROM n WHERE id % 6 = 0) SELECT work, needs_call, count(*) AS n FROM w GROUP BY ALL",
+    "reconcile_work": f"WITH {LINKS}, {FORMS}, {CONFLICTS}, {N}, w AS (SELECT 'variants' AS work, entity_id, source AS item, true AS needs_call FROM sf WHERE nv > 1 UNION ALL SELECT 'conflict', entity_id, source_form, told FROM cf UNION ALL SELECT 'speech', id::VARCHAR, '', true FROM n WHERE id % 6 = 0) SELECT work, entity_id, item, needs_call FROM w",
     "reconcile_apply": f"WITH {LINKS}, {FORMS}, v AS (SELECT *, translation_variants <> '' AND length(source) % 2 = 0 AS done FROM sf) SELECT entity_id, source, CASE WHEN done THEN list_last(string_split(translation_variants, '|')) ELSE translation END AS translation, CASE WHEN done THEN '' ELSE translation_variants END AS translation_variants FROM v",
     "correction_conflicts": f"""WITH {LINKS}, tp AS (SELECT max(ord) AS top FROM l), fo AS (SELECT source, min(entity_id) AS e FROM l GROUP BY source HAVING count(DISTINCT entity_id) = 1), en AS (SELECT DISTINCT entity_id AS e FROM l),
 co AS (SELECT p_partkey AS o, coalesce(en.e, fo.e, 'unknown:' || p_name) AS entity_id, {LAST('p_name')} AS was, p_type || '!' AS new FROM part LEFT JOIN en ON en.e = {LAST('p_name')} LEFT JOIN fo ON fo.source = p_name WHERE p_partkey % 4 = 0),
