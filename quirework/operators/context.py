@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
+from ..functions.text import n_tokens
+
 #: Characters by which forms and texts are brought together, and characters of forms that an automaton takes (some 100 bytes each).
 GRAM = 4
 SCANNED = 2_000_000
@@ -122,17 +124,26 @@ def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 def glossary_block(relevant: DataFrame, chunk: str) -> DataFrame:
     """(chunk, glossary): a chunk's entities by category, categories and entities in the order of ``ord``.
 
-    relevant: chunk, ord, category, name, forms, summary, notes, speech_style; speech is shown for characters.
+    relevant: chunk, ord, category, name, forms, summary, notes, speech_style and, where there are such,
+    nicknames array<string>; speech and nicknames are shown for characters.  For a book's whole
+    glossary ``chunk`` is the book.
     """
+    character = F.col("category") == "character"
     about = F.coalesce(F.when(F.length("summary") > 0, F.col("summary")), F.col("notes"), F.lit(""))
     head = F.concat(F.lit("- "), F.col("name"), F.when(F.length(about) > 0, F.concat(F.lit(": "), about)).otherwise(""))
-    speech = F.when((F.col("category") == "character") & (F.length("speech_style") > 0), F.concat(F.lit("  speech: "), F.col("speech_style")))
-    entry = F.concat_ws("\n", head, F.when(F.size("forms") > 0, F.concat(F.lit("  forms: "), F.array_join("forms", ", "))), speech)
+    speech = F.when(character & (F.length("speech_style") > 0), F.concat(F.lit("  speech: "), F.col("speech_style")))
+    called = F.when(character & (F.size("nicknames") > 0), F.concat(F.lit("  called: "), F.array_join("nicknames", ", "))) if "nicknames" in relevant.columns else F.lit(None).cast("string")
+    entry = F.concat_ws("\n", head, F.when(F.size("forms") > 0, F.concat(F.lit("  forms: "), F.array_join("forms", ", "))), speech, called)
     by = relevant.groupBy(chunk, "category").agg(F.min("ord").alias("o"), F.array_sort(F.collect_list(F.struct("ord", entry.alias("e")))).alias("l"))
     part = F.concat(F.lit("## "), F.col("category"), F.lit("\n"), F.array_join(F.transform("l", lambda x: x["e"]), "\n"))
     return by.groupBy(chunk).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", part.alias("p")))), lambda x: x["p"]), "\n\n").alias("glossary"))
 
 
+def too_long(glossaries: DataFrame, chunk: str, most: int = 5000) -> DataFrame:
+    """(chunk, token_count) of the glossaries with more tokens than a call should be given."""
+    return glossaries.select(chunk, n_tokens(F.col("glossary")).alias("token_count")).where(F.col("token_count") > most)
+
+
 def glossary_text(entities: DataFrame, category: str, name: str, note: str, rank: dict[str, int]) -> DataFrame:
     """One row: entries by category in the given order (others after it, by name), alphabetical without regard to case."""
     order = F.coalesce(F.create_map(*[F.lit(x) for kv in rank.items() for x in kv])[F.col(category)], F.lit(len(rank))) if rank else F.lit(0)

@@ -61,6 +61,10 @@ def test_judge_and_last_attempt(spark):
 def test_texts_about_entities(spark):
     r = spark.createDataFrame([("c1", 2, "place", "Rome", ["R"], "", "old", ""), ("c1", 1, "character", "Abel", ["A", "B"], "kind", "x", "curt")], "c string, ord int, category string, name string, forms array<string>, summary string, notes string, speech_style string")
     assert context.glossary_block(r, "c").first().glossary == "## character\n- Abel: kind\n  forms: A, B\n  speech: curt\n\n## place\n- Rome: old\n  forms: R"
+    named = r.withColumn("nicknames", F.array(F.lit("Bea: Abe")))
+    block = context.glossary_block(named, "c")
+    assert "  speech: curt\n  called: Bea: Abe\n\n## place\n- Rome: old\n  forms: R" in block.first().glossary
+    assert context.too_long(block, "c", 5).count() == 1 and context.too_long(block, "c").count() == 0
     out = r.select(resolve.embedding_text(F.col("category"), F.col("name"), F.col("forms"), F.array(F.lit("")), F.col("summary"), F.array())).collect()
     assert {x[0] for x in out} == {"place. Rome. R", "character. Abel. A, B. kind"}
     conflicts = spark.createDataFrame([(1, "x", ["y"]), (2, "z", ["x", "w"])], "entity_id int, current_translation string, alternatives array<string>")
