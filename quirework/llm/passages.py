@@ -10,6 +10,9 @@ kind that overlap or touch are chained into maximal passages.  Lines that are re
 part: windows inside one are left out, and also those that only touch a line which goes for the sake
 of a similar one (its words are not repeated elsewhere for certain).  So each removed word leads, over
 strictly earlier copies, to one that stays.
+
+A window's place is one number, its text's number in the order of (doc_id, row) and then its word, so
+that a row of the shuffles is a hash, a place and a line, and first occurrences are least numbers.
 """
 
 from __future__ import annotations
@@ -22,12 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles
-from .frames import bitmap_of, mapped, slices, stored
+from .frames import bitmap_of, collected, discard, mapped, slices, stored
 from .ngram_join import batch_of
 
 WINDOW = 50
 GRAM = 25
 REACH = WINDOW - GRAM + 1
+#: Bits of a place that tell the word: a text has fewer than 2**31 bytes, so at most 2**30 words.  The others number 2**33 texts.
+WORD_BITS = 30
 
 
 def rolling(words: np.ndarray, width: int) -> np.ndarray:
@@ -86,8 +91,8 @@ def anchors(docs: DataFrame) -> DataFrame:
     return mapped(docs.select("text"), run, "id long,n long").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("id")
 
 
-def candidate_windows(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """(h, doc_id, row, word, line) of the windows whose n-gram occurs again, without those that a removed line of ``gone`` (row, at, till, exact) excludes."""
+def candidate_windows(docs: DataFrame) -> DataFrame:
+    """A row a text with windows whose n-gram occurs again: doc_id, row, and packed the runs of such windows, the first words and numbers of the lines, and the windows' hashes."""
     size, shared = bitmap_of(anchors(docs))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,9 +116,25 @@ def candidate_windows(docs: DataFrame, gone: DataFrame) -> DataFrame:
                 if out:
                     yield batch_of([(n, c, t) for n, c, t in zip(["doc_id", "row", "runs", "heads", "h"], zip(*out), [pa.int64()] * 2 + [pa.binary()] * 3)])
 
+    return mapped(docs.select("doc_id", "row", "text"), hashed, "doc_id long,row long,runs binary,heads binary,h binary")
+
+
+def numbered(texts: DataFrame) -> DataFrame:
+    """(doc_id, row, owner, number): the rows of ``texts`` numbered from 0 by (owner, row); owner is doc_id, or the least number where that is null."""
+    own = texts.groupBy("row").agg(F.min("doc_id").alias("doc_id")).withColumn("owner", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    # the id of a row in order is its partition's number, 33 bits for its place there
+    table = stored(own.repartitionByRange("owner", "row").sortWithinPartitions("owner", "row").withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33)), "texts")
+    totals = table.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a partition
+    base = totals.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))
+    return table.join(F.broadcast(base), "_part").select("doc_id", "row", "owner", (F.col("_id").bitwiseAND((1 << 33) - 1) + F.col("_base")).alias("number"))
+
+
+def dealt_windows(blobs: DataFrame, numbers: DataFrame, gone: DataFrame) -> DataFrame:
+    """(h, place, line) of the windows in ``blobs``, without those that a removed line of ``gone`` (row, at, till, exact) excludes."""
+
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            for doc, row, runs, heads, h, cut in zip(*(c.to_pylist() for c in batch.columns)):
+            for number, runs, heads, h, cut in zip(*(c.to_pylist() for c in batch.columns)):
                 (start, n), (head, line) = np.frombuffer(runs, np.int32).reshape(2, -1), np.frombuffer(heads, np.int32).reshape(2, -1)
                 at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
                 keep = np.ones(len(at), bool)
@@ -122,13 +143,13 @@ def candidate_windows(docs: DataFrame, gone: DataFrame) -> DataFrame:
                     low, high = (c["at"], c["till"] - WINDOW) if c["exact"] else (c["at"] - WINDOW + 1, c["till"] - 1)
                     keep[np.searchsorted(at, low) : max(np.searchsorted(at, low), np.searchsorted(at, high, "right"))] = False
                 if keep.any():
-                    at, k = at[keep], int(keep.sum())
+                    at = at[keep]
                     where = line[np.searchsorted(head, at, "right") - 1]
-                    yield batch_of([("h", np.frombuffer(h, np.int64)[keep], pa.int64()), ("doc_id", [doc] * k, pa.int64()), ("row", np.full(k, row), pa.int64()), ("word", at.astype(np.int32), pa.int32()), ("line", where, pa.int32())])
+                    yield batch_of([("h", np.frombuffer(h, np.int64)[keep], pa.int64()), ("place", (number << WORD_BITS) + at.astype(np.int64), pa.int64()), ("line", where, pa.int32())])
 
     cut = gone.groupBy("row").agg(F.collect_set(F.struct("at", "till", "exact")).alias("cut"))
-    blobs = mapped(docs.select("doc_id", "row", "text"), hashed, "doc_id long,row long,runs binary,heads binary,h binary")
-    return mapped(blobs.join(cut, "row", "left").select("doc_id", "row", "runs", "heads", "h", "cut"), dealt, "h long,doc_id long,row long,word int,line int")
+    rows = blobs.join(numbers.select("row", "number"), "row").join(cut, "row", "left")
+    return mapped(rows.select("number", "runs", "heads", "h", "cut"), dealt, "h long,place long,line int")
 
 
 def passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -137,13 +158,20 @@ def passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
     Columns doc_id, row, word and till (the words of the text, from 0, till excluded), line, removed,
     keep (place of the first window's first occurrence) and size (occurrences of its most frequent window).
     """
-    found = stored(candidate_windows(docs, gone), "windows")
-    place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "row", "word")
-    classes = found.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("keep")).where(F.col("n") > 1)
-    marked = found.join(classes, "h").withColumn("removed", place != F.col("keep"))
-    order = Window.partitionBy("row", "removed").orderBy("word")
-    gap = F.when(F.col("word") - F.lag("word").over(order) <= WINDOW, 0).otherwise(1)
+    blobs = stored(candidate_windows(docs), "texts_with_windows")
+    numbers = numbered(blobs)
+    found = stored(dealt_windows(blobs, numbers, gone), "windows")
+    discard(blobs)
+    collected(docs.sparkSession, 0)
+    classes = found.groupBy("h").agg(F.count("*").alias("n"), F.min("place").alias("keep")).where(F.col("n") > 1)
+    marked = found.join(classes, "h").withColumn("number", F.shiftright("place", WORD_BITS)).withColumn("removed", F.col("place") != F.col("keep"))
+    order = Window.partitionBy("number", "removed").orderBy("place")
+    gap = F.when(F.col("place") - F.lag("place").over(order) <= WINDOW, 0).otherwise(1)
     runs = marked.withColumn("_gap", gap).withColumn("_run", F.sum("_gap").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    first = F.min(F.struct("word", "line", "keep"))
-    spans = runs.groupBy("row", "removed", "_run").agg(F.min("doc_id").alias("doc_id"), first.alias("f"), (F.max("word") + WINDOW).alias("till"), F.max("n").alias("size"))
-    return spans.select("doc_id", "row", F.col("f.word").alias("word"), "till", F.col("f.line").alias("line"), "removed", "f.keep", "size")
+    first = F.min(F.struct("place", "line", "keep"))
+    spans = runs.groupBy("number", "removed", "_run").agg(first.alias("f"), F.max("place").alias("last"), F.max("n").alias("size"))
+    word = lambda c: F.col(c).bitwiseAND((1 << WORD_BITS) - 1).cast("int")
+    spans = spans.select("number", word("f.place").alias("word"), (word("last") + WINDOW).alias("till"), F.col("f.line").alias("line"), "removed", F.shiftright("f.keep", WORD_BITS).alias("_kept"), word("f.keep").alias("_word"), "size")
+    kept = numbers.select(F.col("number").alias("_kept"), F.col("owner").alias("_doc"), F.col("row").alias("_row"))
+    keep = F.struct(F.col("_doc").alias("doc_id"), F.col("_row").alias("row"), F.col("_word").alias("word")).alias("keep")
+    return spans.join(numbers.select("number", "doc_id", "row"), "number").join(kept, "_kept").select("doc_id", "row", "word", "till", "line", "removed", keep, "size")

@@ -88,3 +88,39 @@ def test_what_only_a_similar_line_repeats_stays(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     left = {r.doc_id: r.text for r in paragraphs.deduplicated(df).collect()}
     assert left[2] == "" and left[3] == docs[2][1] and left[4] == docs[3][1]
+
+
+def shuffled(spark, run):
+    """Bytes that the stages of ``run`` write to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (x.apply(i) for x in [store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)] for i in range(x.size()))}
+    before = stages()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_windows_are_shuffled_as_few_bytes(spark):
+    """A repeated window costs no more than 30 bytes of shuffles: twice by its hash, once by its text."""
+    rng = random.Random(25)
+    runs = [words(rng, 400, "p") for _ in range(200)]
+    docs = [(i, " ".join(words(rng, 20 + i % 7) + runs[i % 200] + words(rng, 10))) for i in range(600)]
+    df = paragraphs.identified(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).localCheckpoint()
+    none = spark.createDataFrame([], "row long, at int, till int, exact boolean")
+    n = 600 * (400 - WINDOW + 1)
+    assert passages.passages(df, none).count() == 600
+    assert shuffled(spark, lambda: passages.passages(df, none).write.format("noop").mode("overwrite").save()) < 30 * n
+
+
+def test_first_place_with_rows_that_repeat_or_lack_an_id(spark):
+    """Texts without doc_id come before all others, equal rows are one place (and repeat from their first word); doc_ids beyond 32 bits keep their order."""
+    rng = random.Random(26)
+    run, other = words(rng, 60, "p"), words(rng, 70, "q")
+    docs = [(d, " ".join(words(rng, 10) + r)) for d, r in ((None, run), (-(1 << 40), run), (1 << 62, other), (7, other), ((1 << 62) + 1, other), (3, run))]
+    df = paragraphs.identified(spark.createDataFrame([*docs, docs[3]], "doc_id long, text string").repartition(3))
+    none = spark.createDataFrame([], "row long, at int, till int, exact boolean")
+    rows = {r.row: r.doc_id for r in df.collect()}
+    got = passages.passages(df, none).collect()
+    assert sorted((str(r.doc_id), r.word, r.till, r.removed, rows[r.keep.row], r.keep.doc_id, r.keep.word, r.size) for r in got) == sorted(
+        [(str(d), 10, 70, d is not None, None, -(1 << 63), 10, 3) for d in (None, -(1 << 40), 3)] + [(str(d), w, 80, d != 7, 7, 7, w, 4) for d, w in ((7, 0), (1 << 62, 10), ((1 << 62) + 1, 10))]
+    )
