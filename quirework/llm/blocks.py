@@ -3,7 +3,8 @@
 Candidates are given as pairs of blocks of sets.  A task takes a pair of blocks at a time and
 counts all intersections between them by matrix products over the elements that occur twice,
 so no pair is ever a row; what comes out are a spanning forest of the links and each set's
-number of links.
+number of links.  Two blocks give only the edges that connect what neither connects by itself,
+so many blocks of near copies give about an edge a pair of blocks.
 """
 
 from __future__ import annotations
@@ -64,23 +65,34 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def forest(ids: list[int], linked: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the graph given by a matrix."""
+def forest(ids: list[int], linked: np.ndarray, parts: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the graph given by a matrix, each after the one that reaches its first end; sets of one part count as connected."""
     seen, edges = np.zeros(len(ids), bool), []
     for start in range(len(ids)):
         if seen[start]:
             continue
-        seen[start] = True
-        open_ = [start]
+        open_ = [start] if parts is None else np.flatnonzero(parts == parts[start]).tolist()
+        seen[open_] = True
         while open_:
             at = open_.pop()
             new = np.flatnonzero(linked[at] & ~seen)
-            seen[new] = True
+            if parts is not None:
+                new = new[np.unique(parts[new], return_index=True)[1]]
             edges += [(ids[at], ids[i]) for i in new]
+            new = new if parts is None else np.flatnonzero(np.isin(parts, parts[new]))
+            seen[new] = True
             open_ += new.tolist()
     return edges
 
 
+def parts_of(linked: np.ndarray) -> np.ndarray:
+    """For each set the number of a set of its component."""
+    parts = np.arange(len(linked))
+    for a, b in forest(range(len(linked)), linked):
+        parts[b] = parts[a]
+    return parts
+
+
 PACKED = "block long,ids binary,copies binary,ends binary,elements binary"
 
 
@@ -122,12 +134,13 @@ def linked_in(p: tuple, q: tuple | None, percent: int) -> tuple[list, list, list
         return [], [], []
     n = np.array([len(x) for x in sets], np.int64)
     linked = intersections(sets) * (100 + percent) >= percent * (n[:, None] + n[None, :])
-    if q is None:
-        np.fill_diagonal(linked, False)
-    else:  # only pairs across the two blocks
+    np.fill_diagonal(linked, False)
+    parts = None
+    if q is not None:  # only pairs across the two blocks; what is linked inside of one is found where that is paired with itself
         cut = len(p[0])
+        parts = np.concatenate([parts_of(linked[:cut, :cut]), cut + parts_of(linked[cut:, cut:])])
         linked[:cut, :cut] = linked[cut:, cut:] = False
-    edges = forest(ids.tolist(), linked)
+    edges = forest(ids.tolist(), linked, parts)
     counts = [(i, c) for i, c in zip(ids.tolist(), (linked @ copies).tolist()) if c]
     return [0] * len(edges) + [1] * len(counts), [e[0] for e in edges] + [c[0] for c in counts], [e[1] for e in edges] + [c[1] for c in counts]
 

@@ -79,6 +79,40 @@ def test_join_against_brute_force(spark, odd, clashing, nothing):
     assert ngram_join.join_documents(nothing).count() == 0
 
 
+def test_blocks_of_near_copies_give_few_edges():
+    """Pairs of blocks connect what links connect, with no more edges between two blocks than they need."""
+    rng = np.random.default_rng(4)
+
+    def component(edges, ids):
+        label = {i: i for i in ids}
+        for _ in ids:
+            for a, b in edges:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    base = [rng.integers(0, 1 << 62, 100, dtype=np.uint64) for _ in range(7)]
+    for kinds, own in ((1, 1), (3, 6), (7, 40)):
+        sets = [np.unique(np.concatenate([base[rng.integers(kinds)][rng.permutation(100) < 100 - rng.integers(own)], rng.integers(0, 1 << 62, rng.integers(own), dtype=np.uint64)])) for _ in range(90)]
+        parts = [(np.arange(k, k + 30), np.ones(30, np.int64), sets[k : k + 30]) for k in (0, 30, 60)]
+        near = [(i, j) for i in range(90) for j in range(i) if 180 * len(np.intersect1d(sets[i], sets[j])) >= 80 * (len(sets[i]) + len(sets[j]))]
+        edges, links = [], np.zeros(90, int)
+        for x in range(3):
+            alone = [e for kind, *e in zip(*blocks.linked_in(parts[x], None, 80)) if kind == 0]
+            edges += alone
+            for y in range(x):
+                found = list(zip(*blocks.linked_in(parts[y], parts[x], 80)))
+                across = [(a, b) for kind, a, b in found if kind == 0]
+                assert all((a // 30, b // 30) in ((x, y), (y, x)) for a, b in across)
+                assert own > 1 or len(across) == 1
+                edges += across
+                for kind, a, b in found:
+                    links[a] += b * (kind == 1)
+            for kind, a, b in zip(*blocks.linked_in(parts[x], None, 80)):
+                links[a] += b * (kind == 1)
+        assert component(edges, range(90)) == component(near, range(90))
+        assert links.tolist() == np.bincount(np.array(near).ravel(), minlength=90).tolist()
+
+
 def test_join_is_the_same_with_other_orders(spark, monkeypatch):
     """The list of frequent tokens and the block size may change the work, not the result."""
     rng = random.Random(12)
