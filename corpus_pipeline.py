@@ -6,19 +6,22 @@
 4. mixing: documents are taken so often that sources have their target weights.
 5. encoding: texts become token ids, of which counts and hashes are returned.
 
+Each stage begins by having the executors collect their garbage, so that it has the memory which the stage before took.
 All stages but the last return the columns of their documents, whatever other columns there are and
 however they are named.  An empty table goes through as one.  Long texts count whole.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
 from quirework.llm import byte_bpe, language, mixing, ngram_join, pii
-from quirework.llm.frames import documents, stored
+from quirework.llm.frames import documents, executors_collected, stored
 from quirework.llm.queries import EXAMPLE_KEY
 
 #: Shingles of five words, and a Jaccard index of 0.8 or more.
@@ -34,6 +37,18 @@ def whole(docs: DataFrame):
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
 
 
+def with_room(stage):
+    """The stage, begun with executors that hold no garbage of the one before."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        executors_collected(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@with_room
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents of a learned language; learns from the stage's own documents that name one.
 
@@ -45,6 +60,7 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("coverage") >= LEAST_COVERAGE)).select("doc.*")
 
 
+@with_room
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component stays: the one with the smallest doc_id and, of several, the smallest hash of all columns.
 
@@ -59,6 +75,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     return rows.join(keep, "row", "left_semi").dropDuplicates(["row"]).select("doc.*")
 
 
+@with_room
 def with_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms, and n_chars after it; a null text stays null."""
     out = pii.pseudonymise(docs.select(whole(docs), "text"), EXAMPLE_KEY)
@@ -67,11 +84,13 @@ def with_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return out.select(*[changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
+@with_room
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; a null source is a source, null texts have no tokens."""
     return mixing.mix(docs.select(whole(docs), "doc_id", "source", "text")).select("doc.*")
 
 
+@with_room
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the hashes of ids and decoded bytes, for each row; a null text has no ids."""
     return byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ENCODER_SHARE)

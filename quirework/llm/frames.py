@@ -63,6 +63,16 @@ def returned(spark: SparkSession) -> None:
         invoke.invoke(java.management.ManagementFactory.getPlatformMBeanServer(), values)
 
 
+def executors_collected(spark: SparkSession) -> None:
+    """Ask each executor to collect its garbage, by a task for each: its JVM keeps what a heap has grown to, and its workers need room beside it.
+
+    Nothing to do where driver and executor are one.  An executor that is busy just then may be passed over, which only leaves its memory as it is.
+    """
+    n = spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1
+    if n > 0:
+        spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 _FOLDERS = "_quirework_folder"
 
 

@@ -51,6 +51,19 @@ def batch_of(columns: list[tuple[str, list, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for _, v, t in columns], names=[n for n, _, _ in columns])
 
 
+def frequent_in(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that occur HOT_IN_RUN times or more in the arrays, and how often; empties the list. Takes twice the arrays' bytes, and little more for the tokens that are rare."""
+    tokens = np.concatenate(held)
+    held.clear()
+    tokens.sort()
+    first = np.ones(len(tokens), bool)
+    first[1:] = tokens[1:] != tokens[:-1]
+    last = max(0, len(tokens) - HOT_IN_RUN + 1)
+    at = np.flatnonzero(first[:last] & (tokens[HOT_IN_RUN - 1 :] == tokens[:last]))
+    found = tokens[at]
+    return found, np.searchsorted(tokens, found, "right") - at
+
+
 def survey(docs: DataFrame, sets_of: Callable) -> DataFrame:
     """A row a document (kind 0: id, digest, size) and a row for each token that is frequent in a run of tokens (kind 1: token, count)."""
     names, kinds = ["kind", "id", "d1", "d2", "n"], [pa.int32()] + [pa.int64()] * 4
@@ -59,10 +72,9 @@ def survey(docs: DataFrame, sets_of: Callable) -> DataFrame:
         held, size = [], 0
 
         def frequent() -> pa.RecordBatch:
-            tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            tokens, n = tokens[n >= HOT_IN_RUN].view(np.int64), n[n >= HOT_IN_RUN]
+            tokens, n = frequent_in(held)
             zero = np.zeros(len(n), np.int64)
-            return batch_of([(c, v, k) for c, v, k in zip(names, [zero + 1, tokens, zero, zero, n], kinds)])
+            return batch_of([(c, v, k) for c, v, k in zip(names, [zero + 1, tokens.view(np.int64), zero, zero, n], kinds)])
 
         for batch in slices(batches):
             rows = []

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -266,3 +267,17 @@ def test_search_misses_nothing(spark):
         asked = {r.fp & (1 << 64) - 1 for r in q.collect()}
         got = {(r.query_fp & (1 << 64) - 1, r.fp & (1 << 64) - 1, r.distance) for r in simhash.within_radius(q, rows, radius, n).collect()}
         assert got == {(a, b, (a ^ b).bit_count()) for a in asked for b in set(fps) if (a ^ b).bit_count() <= radius}
+
+
+def test_frequent_tokens_are_counted_in_little_memory():
+    rng = np.random.default_rng(3)
+    for parts in ([rng.integers(0, 40, 90).astype(np.uint64), np.array([2**64 - 1] * 2, np.uint64)], [np.array([5], np.uint64)], [rng.integers(0, 2**63, 3_000_000).astype(np.uint64), np.full(1000, 9, np.uint64)]):
+        tokens, n = np.unique(np.concatenate(parts), return_counts=True)
+        size = sum(p.nbytes for p in parts)
+        held = list(parts)
+        tracemalloc.start()
+        found, counts = ngram_join.frequent_in(held)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert not held and np.array_equal(found, tokens[n >= 2]) and np.array_equal(counts, n[n >= 2])
+        assert most < 1.6 * size + 100_000  # beside the arrays themselves; np.unique takes 3 to 5 times their size

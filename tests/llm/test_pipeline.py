@@ -1,8 +1,14 @@
 """The pipeline's stages by what each must keep, and its end against the tokenizer's library."""
 
+import ast
 import hashlib
+import os
+import re
+import subprocess
+import sys
 
 import public_tokenizers
+import pyspark
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -69,3 +75,39 @@ def test_empty(spark, nothing):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, D).count() > 100
+
+
+CLUSTER = """
+import os, re, sys, time
+import psutil
+from pyspark.sql import SparkSession, functions as F
+import corpus_pipeline
+
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.executor.memory", "1g").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.sql.adaptive.enabled", "false").config("spark.sql.warehouse.dir", sys.argv[1]).getOrCreate()
+
+def held():
+    backends = [p for p in psutil.Process().children(recursive=True) if "CoarseGrainedExecutorBackend" in " ".join(p.cmdline())]
+    return sorted(p.memory_info().rss >> 20 for p in backends)
+
+spark.range(0, 2_000_000, 1, 2).select(F.expr("repeat(cast(id as string), 20) u")).repartition(2, F.rand(1)).sort("u").write.format("noop").mode("overwrite").save()
+before = held()
+dict(corpus_pipeline.STAGES)["pii"](spark, spark.createDataFrame([(1, "t", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long"), "")
+time.sleep(1)
+print("HELD", before, held())
+os._exit(0)
+"""
+
+
+def test_stage_begins_with_memory_given_back(tmp_path):
+    """Executors of their own processes hold less after a stage has begun than an earlier job has left them with."""
+    root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    local, home = os.path.dirname(pyspark.__file__), tmp_path / "home"
+    home.mkdir()
+    for name in os.listdir(local):
+        if name != "work":  # the executors' logs
+            (home / name).symlink_to(os.path.join(local, name))
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_GATEWAY", "PYSPARK_DRIVER"))} | {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "PYTHONPATH": root, "PYSPARK_PYTHON": sys.executable}
+    out = subprocess.run([sys.executable, "-c", CLUSTER, str(tmp_path / "warehouse")], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=240)
+    assert "HELD" in out.stdout, out.stderr[-3000:]
+    before, after = [ast.literal_eval(x) for x in re.findall(r"\[[^]]*\]", re.search("HELD (.*)", out.stdout)[1])]
+    assert len(before) == len(after) == 2 and all(b - a > 100 for b, a in zip(before, after)), (before, after, out.stderr[-2000:])
