@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -120,33 +122,74 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+#: Bytes of the vectors that a task holds, and rows on each side of a product.
+HELD_BYTES = 32 << 20
+TILE = 1024
+
+
+def n_blocks(rows: int, wide: int, blocks: int = 8) -> int:
+    """Blocks of vectors: few for few rows, and so many that each stays within about HELD_BYTES."""
+    return max(1, min(blocks, -(-rows // TILE)), -(-rows * max(wide, 1) * 8 // HELD_BYTES))
+
+
 def cosine_pairs(vectors: DataFrame, id_: str, vector: str, threshold: float = 0.55, blocks: int = 8) -> DataFrame:
     """(a, b, cosine) of all pairs at or above the threshold, by products of blocks of the matrix.
 
-    Each pair of blocks is a task of its own; a block holds about 1/blocks of the rows.
+    Each pair of blocks is a task of its own.  It holds the vectors of one block, HELD_BYTES of them,
+    and multiplies them by the other's as they arrive, TILE rows by TILE rows; so its memory
+    doesn't depend on the table, and only the number of tasks grows with the number of pairs.
     """
-    import numpy as np
-
-    v = vectors.select(F.col(id_).alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
-    block = v.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    one = F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.struct(F.least(i, F.col("k")).alias("p"), F.greatest(i, F.col("k")).alias("q"))))
-    dealt = block.select("id", "v", "k", one.alias("_o")).select("id", "v", "k", "_o.p", "_o.q")
-
-    def product(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        p, q = key
-        parts = [pdf[pdf.k == p], pdf[pdf.k == q]]
-        x, y = (np.array(d.v.tolist(), float).reshape(len(d), -1) for d in parts)
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": [], "b": [], "cosine": []})
-        size = lambda m: np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        c = (x / size(x)) @ (y / size(y)).T
-        i, j = np.nonzero(c >= threshold - 1e-12)
-        a, b, s = parts[0].id.to_numpy()[i], parts[1].id.to_numpy()[j], c[i, j]
-        keep = a < b if p == q else a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "cosine": s[keep]})
-
+    element = vectors.schema[vector].dataType.elementType.simpleString()
+    plain = F.col(vector) if element in ("float", "double") else F.col(vector).cast("array<double>")
+    v = vectors.select(F.col(id_).alias("id"), plain.alias("v")).where(F.col("v").isNotNull() & F.col("id").isNotNull())
+    rows, wide = v.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    n = n_blocks(rows, wide, blocks)
+    block = v.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    # a row goes to the pairs of its block: to be held (side 0) in those where the block comes first, to pass by (side 1) where it comes last
+    mine = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(F.least(i, F.col("k")).alias("p"), F.greatest(i, F.col("k")).alias("q"), (i < F.col("k")).cast("int").alias("side")))
+    dealt = block.select("id", "v", F.explode(F.concat(mine, F.array(F.struct(F.col("k").alias("p"), F.col("k").alias("q"), F.lit(1).alias("side"))))).alias("_o")).select("id", "v", "_o.*")
+    place = (F.col("q") * (F.col("q") + 1) / 2).cast("int") + F.col("p")
+    placed = dealt.repartitionById(n * (n + 1) // 2, place).sortWithinPartitions("p", "q", "side").select("id", "v", "p", "q", "side")
     kind = v.schema["id"].dataType.simpleString()
-    return dealt.groupBy("p", "q").applyInPandas(product, f"a {kind}, b {kind}, cosine double")
+    return placed.mapInArrow(lambda batches: block_products(batches, threshold), f"a {kind}, b {kind}, cosine double")
+
+
+def block_products(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """(a, b, cosine) from pairs of blocks (id, v, p, q, side), one after another, the rows to be held first."""
+    pair, held = None, []
+    for batch in batches:
+        head = np.stack([batch.column(i).to_numpy() for i in (2, 3, 4)])
+        turns = np.flatnonzero((head[:, 1:] != head[:, :-1]).any(axis=0)) + 1
+        for start, end in zip([0, *turns], [*turns, batch.num_rows]):
+            for at in range(start, end, TILE):
+                p, q, side = head[:, at].tolist()
+                if pair != (p, q):
+                    pair, held = (p, q), []
+                ids, x = unit_vectors(batch.slice(at, min(TILE, end - at)))
+                if side == 0:
+                    held.append((ids, x))
+                for others, y in held if side else ():
+                    yield close(others, y, ids, x, p == q, threshold, batch.schema.field(0).type)
+
+
+def unit_vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Copies of a batch's ids and, as doubles of length one, of its vectors."""
+    v = batch.column(1)
+    if len(set(v.value_lengths().unique().to_pylist())) > 1:
+        raise ValueError("vectors of different lengths")
+    x = v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), -1)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    return batch.column(0).to_numpy(zero_copy_only=False).copy(), x
+
+
+def close(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, same: bool, threshold: float, kind: pa.DataType) -> pa.RecordBatch:
+    """The pairs of two tiles at or above the threshold; of one block's with itself, each once."""
+    c = x @ y.T
+    i, j = np.nonzero(c >= threshold - 1e-12)
+    a, b = ids[i], others[j]
+    keep = np.flatnonzero(a < b if same else a != b)
+    a, b = a[keep], b[keep]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), kind), pa.array(np.maximum(a, b), kind), pa.array(c[i[keep], j[keep]])], ["a", "b", "cosine"])
 
 
 def evidence(tagged: dict[str, DataFrame], categories: DataFrame | None = None) -> DataFrame:

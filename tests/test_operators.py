@@ -274,3 +274,21 @@ def test_lost_values_are_pending_again(spark):
     now = spark.createDataFrame([("s", "a", "completed"), ("s", "b", "completed"), ("s", "c", "failed"), ("t", "a", "completed")], "stage string, item_id string, status string")
     items = spark.createDataFrame([("a", None), ("b", "x"), ("c", None)], "item_id string, v string")
     assert {(r.stage, r.item_id) for r in state.without_lost(now, items, "s", "v").collect()} == {("s", "b"), ("s", "c"), ("t", "a")}
+
+
+def test_cosine_pairs_hold_bounded_blocks(spark, monkeypatch):
+    random.seed(3)
+    rows = [(i, [random.gauss(0, 1) for _ in range(4)]) for i in range(300)] + [(300, None), (None, [1.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id bigint, v array<float>")
+    monkeypatch.setattr(resolve, "HELD_BYTES", 30 * 4 * 8, raising=False)
+    pairs = resolve.cosine_pairs(df, "id", "v", 0.9)
+    x, y = (df.where("id is not null and v is not null").select(F.col("id").alias(i), F.col("v").alias(v)) for i, v in (("a", "x"), ("b", "y")))
+    want = {(r.a, r.b): round(r.c, 9) for r in x.join(y, F.col("a") < F.col("b")).select("a", "b", resolve.cosine(F.col("x"), F.col("y")).alias("c")).where("c >= 0.9").collect()}
+    got = [((r.a, r.b), round(r.cosine, 9)) for r in pairs.collect()]
+    assert len(want) > 100 and dict(got) == want and len(got) == len(want)
+    # ten blocks of 30 rows, a task for each pair of them
+    assert pairs.rdd.getNumPartitions() == 55
+    monkeypatch.undo()
+    assert resolve.n_blocks(2000, 64) == 2 and resolve.n_blocks(600_000, 64) == 10 and resolve.n_blocks(600_000, 1536) == 220 and resolve.n_blocks(0, 0) == 1
+    with pytest.raises(Exception, match="different lengths"):
+        resolve.cosine_pairs(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id bigint, v array<double>"), "id", "v").collect()
