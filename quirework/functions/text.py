@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,7 +12,8 @@ from pyspark.sql.types import StringType
 
 # The white space that a strip removes, and the tokens that the default counter counts.
 BLANK = r"[ \t\n\x0B\f\r\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-TOKEN = r"[A-Za-z0-9À-ɏ]+|[^\sA-Za-z0-9À-ɏ]"
+WORD = "A-Za-z0-9À-ɏ"
+TOKEN = rf"[{WORD}]+|[^\s{WORD}]"
 
 
 def strip(c: Column) -> Column:
@@ -24,7 +26,11 @@ def rstrip_lines(c: Column) -> Column:
 
 def n_tokens(c: Column, pattern: str = TOKEN) -> Column:
     """Tokens of the default counter: runs of letters and digits, and other characters one by one."""
-    return F.coalesce(F.regexp_count(c, F.lit(pattern)), F.lit(0))
+    if pattern != TOKEN:
+        return F.coalesce(F.regexp_count(c, F.lit(pattern)), F.lit(0))
+    # what is left when each run is one letter and white space is gone: no list of all tokens is made
+    left = F.regexp_replace(c, f"[{WORD}]{{2,}}+", "a")
+    return F.coalesce(F.length(reduce(lambda x, blank: F.replace(x, F.lit(blank), F.lit("")), " \t\n\x0b\f\r", left)), F.lit(0))
 
 
 def truncated_tokens(c: Column, n: int, pattern: str = TOKEN) -> Column:

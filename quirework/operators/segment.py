@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import BLANK, chunk_id, n_tokens, strip
+from ..functions.text import BLANK, chunk_id, n_tokens
 
 # Paragraphs that mark a change of scene, and the classes of documents that are cut into chunks.
 SCENE_BREAKS = (
@@ -45,18 +45,26 @@ def block_array(text: Column, c: Chunking = Chunking()) -> Column:
     within = r"[ \t\x0B\f\r\x{A0}\x{3000}]*"  # never over the end of a line
     own = F.regexp_replace(lines, rf"(?m)^({within}#.*|{within}[-*_](?:{within}[-*_]){{2,}}{within})$", f"{MARK}$1{MARK}")
     parts = F.split(F.regexp_replace(own, "\n{2,}", MARK), f"\n?{MARK}+\n?")
-    blocks = F.filter(F.transform(parts, lambda p: F.regexp_replace(p, "^\n+|\n+$", "")), lambda p: F.length(strip(p)) > 0)
-    scene = "|".join(f"(?:{p.replace(chr(92) + 's', '[ \t\x0b\f\r\n\x85\xa0　]')})" for p in c.scene_breaks)
+    blocks = F.filter(F.transform(parts, lambda p: F.regexp_replace(p, "^\n+|\n+$", "")), lambda p: p.rlike(f"[^{BLANK[1:]}"))
+    scene = scene_pattern(c.scene_breaks)
 
     def kind(p: Column) -> Column:
-        base = F.when(F.regexp_replace(p, f"^{BLANK}+", "").startswith("#"), "heading").when(p.rlike(HR), "hr")
+        base = F.when(p.rlike(f"^{BLANK}*#"), "heading").when(p.rlike(HR), "hr")
         return (base.when(p.rlike(scene), "scene_break") if scene else base).otherwise("paragraph")
 
-    def block(p: Column) -> Column:
-        shown = F.when(kind(p).isin("hr", "scene_break"), c.normal_break).otherwise(p) if c.normal_break is not None else p
-        return F.struct(kind(p).alias("kind"), shown.alias("text"))
+    def block(b: Column) -> Column:
+        shown = F.when(b["kind"].isin("hr", "scene_break"), c.normal_break).otherwise(b["text"]) if c.normal_break is not None else b["text"]
+        return F.struct(b["kind"].alias("kind"), shown.alias("text"))
 
-    return F.transform(blocks, block)
+    return F.transform(F.transform(blocks, lambda p: F.struct(kind(p).alias("kind"), p.alias("text"))), block)
+
+
+def scene_pattern(patterns: tuple[str, ...]) -> str:
+    """The patterns as one; those that stand at the start of a text share its ``^``, so that no other place is tried."""
+    shown = [p.replace(chr(92) + "s", "[ \t\x0b\f\r\n\x85\xa0　]") for p in patterns]
+    if all(p.startswith("^") and "|" not in p for p in shown):
+        return f"^(?:{'|'.join(p[1:] for p in shown)})" if shown else ""
+    return "|".join(f"(?:{p})" for p in shown)
 
 
 def parse_blocks(docs: DataFrame, doc: str, text: str, c: Chunking = Chunking()) -> DataFrame:
@@ -121,14 +129,25 @@ def chunk_ends(blocks: Column, c: Chunking) -> Column:
 def chunk_documents(docs: DataFrame, doc: str, text: str, c: Chunking = Chunking()) -> DataFrame:
     """A row a chunk: doc, chunk_index (from 1), block_start, block_end, token_count, extended_for_remainder, ends_at_scene_break, text."""
     blocks = F.transform(block_array(F.col(text), c), lambda b: F.struct(b["kind"].alias("kind"), b["text"].alias("text"), n_tokens(b["text"]).alias("tokens"), b["kind"].isin("heading", "hr", "scene_break").alias("brk")))
-    parsed = docs.select(doc, blocks.alias("_blocks")).where(F.size("_blocks") > 0)
-    cut = parsed.withColumn("_cut", chunk_ends(F.col("_blocks"), c))
-    starts = F.concat(F.array(F.lit(0)), F.transform(F.slice("_cut.ends", 1, F.size("_cut.ends") - 1), lambda e: e + 1))
-    rows = cut.select(doc, "_blocks", "_cut", F.posexplode(F.arrays_zip(starts.alias("s"), F.col("_cut.ends").alias("e"))).alias("_n", "_r"))
-    inside = F.slice("_blocks", F.col("_r.s") + 1, F.col("_r.e") - F.col("_r.s") + 1)
-    joined = F.array_join(F.transform(inside, lambda b: b["text"]), "\n\n")
-    out = rows.select(doc, (F.col("_n") + 1).alias("chunk_index"), F.col("_r.s").alias("block_start"), F.col("_r.e").alias("block_end"), (F.col("_cut.extended") & (F.col("_n") + 1 == F.size("_cut.ends"))).alias("extended_for_remainder"), F.element_at(inside, -1)["kind"].isin("scene_break", "hr").alias("ends_at_scene_break"), joined.alias("text"))
-    return out.withColumn("token_count", n_tokens(F.col("text")))
+    # blocks and cuts are columns that are used more than once, so they aren't worked out again; no filter of them, which would be
+    cut = docs.select(doc, blocks.alias("_blocks")).withColumn("_cut", chunk_ends(F.col("_blocks"), c))
+    ends = F.col("_cut.ends")
+
+    def chunk(x: Column) -> Column:
+        inside = x["inside"]
+        return F.struct(
+            (x["n"] + 1).alias("chunk_index"), x["s"].alias("block_start"), x["e"].alias("block_end"),
+            # white space parts the blocks, so a chunk has its blocks' tokens
+            F.aggregate(inside, F.lit(0), lambda n, b: n + b["tokens"]).alias("token_count"),
+            (F.col("_cut.extended") & (x["n"] + 1 == F.size(ends))).alias("extended_for_remainder"),
+            F.element_at(inside, -1)["kind"].isin("scene_break", "hr").alias("ends_at_scene_break"),
+            F.array_join(F.transform(inside, lambda b: b["text"]), "\n\n").alias("text"),
+        )
+
+    spans = F.transform(ends, lambda e, n: F.struct(n.alias("n"), F.when(n == 0, 0).otherwise(F.get(ends, n - 1) + 1).alias("s"), e.alias("e")))
+    pieces = F.transform(spans, lambda x: F.struct(x["n"].alias("n"), x["s"].alias("s"), x["e"].alias("e"), F.slice("_blocks", x["s"] + 1, x["e"] - x["s"] + 1).alias("inside")))
+    rows = cut.select(doc, F.explode(F.transform(pieces, chunk)).alias("_c"))
+    return rows.select(doc, *[f"_c.{n}" for n in ("chunk_index", "block_start", "block_end", "extended_for_remainder", "ends_at_scene_break", "text", "token_count")])
 
 
 def with_chunk_ids(chunks: DataFrame, spine: str, width: int = 4) -> DataFrame:
@@ -137,16 +156,28 @@ def with_chunk_ids(chunks: DataFrame, spine: str, width: int = 4) -> DataFrame:
 
 def coverage(blocks: DataFrame, chunks: DataFrame, doc: str) -> DataFrame:
     """A row a document: blocks without a chunk, blocks in several, gaps in the chunk numbers, drift of tokens and whether all is well."""
-    spread = chunks.select(doc, F.explode(F.sequence("block_start", "block_end")).alias("block_index")).groupBy(doc, "block_index").agg(F.count("*").alias("times"))
-    both = blocks.select(doc, "block_index", "token_count").join(spread, [doc, "block_index"], "full_outer")
-    by_block = both.groupBy(doc).agg(F.count_if(F.col("times").isNull()).alias("uncovered"), F.count_if(F.col("times") > 1).alias("repeated"), F.count_if(F.col("token_count").isNull()).alias("unknown"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("block_tokens"))
-    order = Window.partitionBy(doc).orderBy("chunk_index")
-    numbered = chunks.withColumn("_gap", F.col("chunk_index") != F.coalesce(F.lag("chunk_index").over(order), F.lit(0)) + 1)
-    by_chunk = numbered.groupBy(doc).agg(F.count_if("_gap").alias("misnumbered"), F.sum("token_count").alias("chunk_tokens"), F.count("*").alias("n_chunks"), F.sum(F.col("block_end") - F.col("block_start")).alias("joins"))
+    # one row a block, a chunk and a block of a chunk, with numbers only; a document's rows meet once, and chunks are worked out once
+    number = lambda c: F.col(c).cast("long").alias(c)
+    row = lambda kind, at, tokens, joins: F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("at"), tokens.cast("long").alias("tokens"), joins.cast("long").alias("joins"))
+    none = F.lit(None)
+    told = blocks.select(doc, row("block", F.col("block_index"), F.col("token_count"), none).alias("_r"))
+    inside = F.coalesce(F.transform(F.sequence(number("block_start"), number("block_end")), lambda i: row("inside", i, none, none)), F.array().cast("array<struct<kind:string,at:bigint,tokens:bigint,joins:bigint>>"))
+    made = chunks.select(doc, F.explode(F.concat(F.array(row("chunk", F.col("chunk_index"), F.col("token_count"), F.col("block_end") - F.col("block_start"))), inside)).alias("_r"))
+    rows = told.unionByName(made).select(doc, "_r.*").repartition(doc)
+    is_ = lambda kind: F.col("kind") == kind
+    at = rows.groupBy(doc, is_("chunk").alias("whole"), "at").agg(F.count_if(is_("block")).alias("n"), F.count_if(is_("block") & F.col("tokens").isNull()).alias("unknown"), F.count_if(~is_("block")).alias("times"), F.sum(F.when(is_("block"), F.col("tokens"))).alias("block_tokens"), F.sum(F.when(is_("chunk"), F.col("tokens"))).alias("chunk_tokens"), F.sum("joins").alias("joins"))
+    block, chunk = ~F.col("whole"), F.col("whole")
+    before = F.coalesce(F.lag("at").over(Window.partitionBy(doc, "whole").orderBy("at")), F.lit(0))
+    # of chunks with one number all but the first are misnumbered
+    wrong = F.when(chunk & F.col("at").isNotNull(), (F.col("at") != before + 1).cast("long") + F.col("times") - 1)
+    total = lambda condition, value: F.coalesce(F.sum(F.when(condition, value)), F.lit(0))
+    by = at.withColumn("wrong", wrong).groupBy(doc).agg(
+        total(block & (F.col("times") == 0), F.col("n")).alias("uncovered"), total(block & (F.col("times") > 1), F.greatest("n", F.lit(1))).alias("repeated"), total(block, F.col("unknown") + (F.col("n") == 0).cast("long")).alias("unknown"),
+        F.coalesce(F.sum("block_tokens"), F.lit(0)).alias("block_tokens"), F.sum("wrong").alias("misnumbered"), F.sum("chunk_tokens").alias("chunk_tokens"), total(chunk, F.col("times")).alias("n_chunks"), F.sum("joins").alias("joins"), F.count_if(block).alias("n_blocks"),
+    )
     allowed = F.greatest(2 * F.col("joins") + 2 * F.col("n_chunks"), F.lit(10))
-    out = by_block.join(by_chunk, doc, "left")
     fine = (F.col("uncovered") == 0) & (F.col("repeated") == 0) & (F.col("unknown") == 0) & (F.col("misnumbered") == 0) & (F.abs(F.col("block_tokens") - F.col("chunk_tokens")) <= allowed)
-    return out.select(doc, "uncovered", "repeated", "unknown", "misnumbered", "block_tokens", "chunk_tokens", fine.alias("valid"))
+    return by.where("n_blocks > 0").select(doc, "uncovered", "repeated", "unknown", "misnumbered", "block_tokens", "chunk_tokens", fine.alias("valid"))
 
 
 def eligible(docs: DataFrame, classification: str, c: Chunking = Chunking()) -> DataFrame:

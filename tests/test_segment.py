@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from quirework.functions.text import TOKEN, n_tokens
 from quirework.operators import packing, segment
 from quirework.operators.segment import Chunking
 
@@ -87,3 +88,38 @@ def test_coverage_finds_faults(spark):
     assert segment.coverage(blocks, good, "d").first().valid
     r = segment.coverage(blocks, bad, "d").first()
     assert (r.uncovered, r.repeated, r.misnumbered, r.valid) == (1, 1, 1, False)
+
+
+def test_coverage_works_texts_out_once_for_blocks_and_once_for_chunks(spark):
+    df = spark.createDataFrame([(1, "# a\n\nb c\n\nd"), (2, ""), (3, None)], "d int, t string")
+    chunks = segment.chunk_documents(df, "d", "t", Chunking(target=3, least=1))
+    out = segment.coverage(segment.parse_blocks(df, "d", "t"), chunks, "d")
+    assert [tuple(r) for r in out.collect()] == [(1, 0, 0, 0, 0, 5, 5, True)]
+    assert plan(chunks).count("split(") == 1 and plan(out).count("split(") == 2
+
+
+def test_coverage_counts_rows_that_are_there_twice(spark):
+    blocks = spark.createDataFrame([(1, 0, 4), (1, 0, 4), (1, 1, None), (2, 0, 1)], "d int, block_index int, token_count int")
+    chunks = spark.createDataFrame([(1, 1, 0, 0, 4), (1, 1, 0, 0, 4), (1, 2, 1, 2, 9)], "d int, chunk_index int, block_start int, block_end int, token_count int")
+    got = {r.d: tuple(r)[1:] for r in segment.coverage(blocks, chunks, "d").collect()}
+    assert got == {1: (0, 2, 2, 1, 8, 17, False), 2: (1, 0, 0, None, 1, None, False)}
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tokens_are_counted_without_a_list(spark):
+    random.seed(4)
+    texts = ["".join(random.choice("aZ9éɏ _-\n\t\x0b\f\r 　字😀×÷") for _ in range(random.randint(0, 40))) for _ in range(500)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    assert df.where(n_tokens(F.col("t")) != F.coalesce(F.regexp_count("t", F.lit(TOKEN)), F.lit(0))).count() == 0
+    assert "regexp_count" not in plan(df.select(n_tokens(F.col("t")))) and "regexp_extract_all" not in plan(df.select(n_tokens(F.col("t"))))
+
+
+def test_scene_breaks_of_any_form(spark):
+    df = spark.createDataFrame([(1, "~~~"), (2, "a\n***\nb"), (3, "x ~~~"), (4, "◇◇◇"), (5, " * * *"), (6, "end")], "d int, t string")
+    kinds = lambda *patterns: [r.kind for r in segment.parse_blocks(df, "d", "t", Chunking(scene_breaks=patterns)).orderBy("d", "block_index").collect()]
+    assert kinds(r"^~{3}$") == ["scene_break", "paragraph", "hr", *["paragraph"] * 3, "hr", "paragraph"]
+    assert kinds(r"~{3}$", "^q|end") == ["scene_break", "paragraph", "hr", "paragraph", "scene_break", "paragraph", "hr", "scene_break"]
+    assert kinds() == ["paragraph", "paragraph", "hr", *["paragraph"] * 3, "hr", "paragraph"]
