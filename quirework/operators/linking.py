@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import islice
+from types import SimpleNamespace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.text import truncated_words
 from .resolve import STYLES, SUMMARY, similarity_of, summary_fold  # noqa: F401
 
 SIMILAR = 0.95
 ENTITY_SCHEMA = "book_id string, entity_id string, category string, name string, summary string, n_mentions int, sources array<string>, translations array<string>, aliases array<string>, nicknames array<string>, speech_style string, notes string, hints array<string>, first_seen string, last_seen string"
+#: Rows of a slice that become Python objects at a time.
+ROWS = 1000
 LINK_SCHEMA = "book_id string, ord int, entity_id string, how string"
 
 
@@ -144,21 +150,50 @@ class Book:
         return e, how
 
 
-def folded(key, known: pd.DataFrame | None, mentions: pd.DataFrame, similar: float) -> tuple[Book, list]:
-    book, rows = Book(similar), []
-    for k in () if known is None else known.sort_values("entity_id").itertuples(index=False):
-        forms = {x["source"]: {"translation": x["translation"] or "", "reading": x["reading"] or "", "variants": [], "hints": [], "notes": "", "count": 0, "first_seen": ""} for x in list_of(k, "forms")}
-        book.known({"entity_id": k.entity_id, "category": k.category, "name": k.name, "summary": text_of(k, "summary"), "notes": text_of(k, "notes"), "speech_style": text_of(k, "speech_style"), "n_mentions": 0, "forms": forms, "aliases": list_of(k, "aliases"), "nicknames": {}, "first_seen": "", "last_seen": "", "fixed": k.origin == "user"})
-    for m in mentions.sort_values("ord").itertuples(index=False):
-        e, how = book.add(m)
-        rows.append((key[0], m.ord, e["entity_id"], how, m.category != e["category"]))
-    return book, rows
+def taken_in(book: Book, k: SimpleNamespace) -> None:
+    """An entity that the book begins with."""
+    forms = {x["source"]: {"translation": x["translation"] or "", "reading": x["reading"] or "", "variants": [], "hints": [], "notes": "", "count": 0, "first_seen": ""} for x in list_of(k, "forms")}
+    book.known({"entity_id": k.entity_id, "category": k.category, "name": k.name, "summary": text_of(k, "summary"), "notes": text_of(k, "notes"), "speech_style": text_of(k, "speech_style"), "n_mentions": 0, "forms": forms, "aliases": list_of(k, "aliases"), "nicknames": {}, "first_seen": "", "last_seen": "", "fixed": k.origin == "user"})
 
 
-def by_book(mentions: DataFrame, known: DataFrame | None, result: Callable, schema: str) -> DataFrame:
+def folded(batches: Iterator[pa.RecordBatch], similar: float, each: bool) -> Iterator[tuple]:
+    """Books one after another, of each first the entities known, then the mentions in order: with ``each`` (book_id, ord, entity_id, how) of each mention, else (book_id, Book) at a book's end.
+
+    Rows are read a slice at a time, so that a book's entities are all that is held of it.
+    """
+    book, at = None, None
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            for row in batch.slice(start, ROWS).to_pylist():
+                if book is None or row["book_id"] != at:
+                    if book is not None and not each:
+                        yield at, book
+                    book, at = Book(similar), row["book_id"]
+                if row["known"] is not None:
+                    taken_in(book, SimpleNamespace(**row["known"]))
+                    continue
+                e, how = book.add(SimpleNamespace(**row["mention"]))
+                if each:
+                    yield at, row["ord"], e["entity_id"], how
+    if book is not None and not each:
+        yield at, book
+
+
+def in_order(mentions: DataFrame, known: DataFrame | None) -> DataFrame:
+    """(book_id, ord, known, mention): a book's rows in one partition, the entities known before the mentions, those in their order."""
+    told = mentions.select("book_id", "ord", F.lit("").alias("_id"), F.struct(*[c for c in mentions.columns if c != "book_id"]).alias("mention"))
     if known is None:
-        return mentions.groupBy("book_id").applyInPandas(lambda key, pdf: result(key, None, pdf), schema)
-    return known.groupBy("book_id").cogroup(mentions.groupBy("book_id")).applyInPandas(result, schema)
+        rows = told.withColumn("known", F.lit(None).cast("struct<entity_id:string>"))
+    else:
+        first = known.select("book_id", F.lit(None).cast(mentions.schema["ord"].dataType).alias("ord"), F.col("entity_id").alias("_id"), F.struct(*[c for c in known.columns if c != "book_id"]).alias("known"))
+        rows = first.unionByName(told, allowMissingColumns=True)
+    order = ("book_id", F.col("known").isNull(), "_id", F.col("ord").asc_nulls_last())
+    return rows.repartition("book_id").sortWithinPartitions(*order).select("book_id", "ord", "known", "mention")
+
+
+def record_batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for part in iter(lambda: list(islice(rows, ROWS)), []):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
 
 
 def fold_mentions(mentions: DataFrame, similar: float = SIMILAR, known: DataFrame | None = None) -> DataFrame:
@@ -171,25 +206,23 @@ def fold_mentions(mentions: DataFrame, similar: float = SIMILAR, known: DataFram
     origin ``user`` take mentions but never change.
     """
 
-    def book(key, entities, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [r[:4] for r in folded(key, entities, pdf, similar)[1]]
-        return pd.DataFrame(rows, columns=["book_id", "ord", "entity_id", "how"])
-
-    return by_book(mentions, known, book, LINK_SCHEMA)
+    linking = [c for c in ("book_id", "ord", "source", "category", "translation", "reading", "chunk_id") if c in mentions.columns]
+    schema = to_arrow_schema(StructType.fromDDL(LINK_SCHEMA))
+    return in_order(mentions.select(*linking), known).mapInArrow(lambda batches: record_batches(folded(batches, similar, True), schema), LINK_SCHEMA)
 
 
 def fold_entities(mentions: DataFrame, similar: float = SIMILAR, known: DataFrame | None = None) -> DataFrame:
     """The entities that the fold leaves, in the order of their creation."""
-    columns = [f.split()[0] for f in ENTITY_SCHEMA.split(", ")]
+    schema = to_arrow_schema(StructType.fromDDL(ENTITY_SCHEMA))
 
-    def book(key, entities, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for e in folded(key, entities, pdf, similar)[0].entities:
-            told = dict.fromkeys(t for f in e["forms"].values() for t in [f["translation"], *f["variants"]] if t)
-            rows.append({"book_id": key[0], "sources": list(e["forms"]), "translations": list(told), "hints": list(dict.fromkeys(h for f in e["forms"].values() for h in f["hints"])), "nicknames": [f"{s}: {n}" for s, n in e["nicknames"].items()]} | {k: e[k] for k in ("entity_id", "category", "name", "summary", "notes", "speech_style", "n_mentions", "aliases", "first_seen", "last_seen")})
-        return pd.DataFrame(rows, columns=columns)
+    def entities(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for book_id, book in folded(batches, similar, False):
+            for e in book.entities:
+                told = dict.fromkeys(t for f in e["forms"].values() for t in [f["translation"], *f["variants"]] if t)
+                row = e | {"book_id": book_id, "sources": list(e["forms"]), "translations": list(told), "hints": list(dict.fromkeys(h for f in e["forms"].values() for h in f["hints"])), "nicknames": [f"{s}: {n}" for s, n in e["nicknames"].items()]}
+                yield tuple(row[c] for c in schema.names)
 
-    return by_book(mentions, known, book, ENTITY_SCHEMA)
+    return in_order(mentions, known).mapInArrow(lambda batches: record_batches(entities(batches), schema), ENTITY_SCHEMA)
 
 
 def corrected(corrections: DataFrame, entities: DataFrame, forms: DataFrame, links: DataFrame) -> DataFrame:

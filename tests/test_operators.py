@@ -292,3 +292,42 @@ def test_cosine_pairs_hold_bounded_blocks(spark, monkeypatch):
     assert resolve.n_blocks(2000, 64) == 2 and resolve.n_blocks(600_000, 64) == 10 and resolve.n_blocks(600_000, 1536) == 220 and resolve.n_blocks(0, 0) == 1
     with pytest.raises(Exception, match="different lengths"):
         resolve.cosine_pairs(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id bigint, v array<double>"), "id", "v").collect()
+
+
+def test_mentions_of_many_books_pass_by_in_order(spark):
+    random.seed(9)
+    names = ["塔", "塔の上", "アベル", "アベルちゃん", "城", "a-very-long-name", "a-very-long-namf"]
+    rows = [(random.choice(["x", "y", "z", None]), i, random.choice(names), random.choice(["place", "character"]), random.choice(["T", "U"]), f"c{i}", random.choice([None, "r"]), random.choice([None, "s1", "s2"])) for i in range(3000)]
+    schema = "book_id string, ord int, source string, category string, translation string, chunk_id string, reading string, summary string"
+    known = spark.createDataFrame([("y", "place_000009", "place", "城", None, [("城", "Castle", None)]), ("only", "item_000001", "item", "K", "user", [])], "book_id string, entity_id string, category string, name string, origin string, forms array<struct<source string, translation string, reading string>>")
+    books, want = {}, {}
+    for r in rows:
+        if r[0] not in books:
+            books[r[0]] = linking.Book()
+            if r[0] == "y":
+                linking.taken_in(books["y"], SimpleNamespace(entity_id="place_000009", category="place", name="城", origin=None, forms=[{"source": "城", "translation": "Castle", "reading": None}]))
+        e, how = books[r[0]].add(SimpleNamespace(**dict(zip(schema.replace(" string", "").replace(" int", "").split(", "), r))))
+        want[r[0], r[1]] = (e["entity_id"], how)
+    df = spark.createDataFrame(random.sample(rows, len(rows)), schema).repartition(7)
+    links, entities = linking.fold_mentions(df, known=known), linking.fold_entities(df, known=known)
+    assert {(r.book_id, r.ord): (r.entity_id, r.how) for r in links.collect()} == want
+    got = {(r.book_id, r.entity_id): (r.n_mentions, r.summary, r.last_seen) for r in entities.collect()}
+    assert got == {(b, e["entity_id"]): (e["n_mentions"], e["summary"], e["last_seen"]) for b, book in books.items() for e in book.entities} | {("only", "item_000001"): (0, "", "")}
+    # no book's mentions are handed over as one table
+    for out in (links, entities, linking.fold_mentions(df), linking.fold_entities(df)):
+        assert "MapInArrow" in (text := out._jdf.queryExecution().optimizedPlan().toString()) and "InPandas" not in text
+
+
+def test_mentions_are_read_as_they_come():
+    import pyarrow as pa
+
+    read = []
+
+    def batches():
+        for k in range(5):
+            read.append(k)
+            yield pa.RecordBatch.from_pylist([{"book_id": "b", "ord": k, "known": None, "mention": {"source": f"s{k}", "category": "c", "translation": "t", "chunk_id": "1"}}])
+
+    rows = linking.folded(batches(), 0.95, True)
+    assert next(rows) == ("b", 0, "c_000001", "new") and read == [0]
+    assert len(list(rows)) == 4
