@@ -8,7 +8,7 @@ from ..functions import markup
 from ..functions import text as T
 from ..operators import classify as K
 from ..operators import packing, segment
-from .tables import longs, md5, table, tokens_sql
+from .tables import bounded_batches, longs, md5, table, tokens_sql
 
 TAIL = "\n\n---\nword\n***\n\n＊＊＊\n* * *\n tail\n#tag\n\n"
 CHUNKS = segment.Chunking(target=120, most=150, least=30, flex=0.3)
@@ -114,6 +114,7 @@ def paragraph_count(spark, d):
 
 
 def html_to_markdown(spark, d):
+    bounded_batches(spark)
     return pages(spark, d).select("page_id", markup.to_markdown("html").alias("markdown"))
 
 

@@ -14,6 +14,7 @@ from ..functions.text import n_paragraphs, n_tokens
 from ..operators import assemble, classify, packing, segment, state
 from ..sources import epub
 from . import contents
+from .tables import bounded_batches
 
 #: What books that are made anew get as their style sheet.
 STYLE = "body { line-height: 1.5; margin: 1em; }\nrt { font-size: 0.5em; }\n"
@@ -25,6 +26,7 @@ def extract(spark: SparkSession, path: str) -> DataFrame:
 
 def clean(documents: DataFrame) -> DataFrame:
     """Documents with clean markdown, its tokens and paragraphs; those without markup are left out."""
+    bounded_batches(documents.sparkSession)
     md = documents.where(F.col("raw").isNotNull()).withColumn("clean", to_markdown("raw"))
     return md.withColumns({"token_count": n_tokens(F.col("clean")), "paragraph_count": n_paragraphs(F.col("clean"))})
 

@@ -331,3 +331,26 @@ def test_mentions_are_read_as_they_come():
     rows = linking.folded(batches(), 0.95, True)
     assert next(rows) == ("b", 0, "c_000001", "new") and read == [0]
     assert len(list(rows)) == 4
+
+
+def test_pages_are_freed_one_by_one_and_batches_are_bounded(spark, tables):
+    import gc
+
+    import pyarrow as pa
+
+    from quirework.plans import books
+
+    page = "<body>" + "<div><p>a <b>c</b></p><ul><li>x<li>y</ul>" * 50
+    markup.html_markdown(page)
+    gc.collect()
+    gc.disable()
+    try:
+        assert markup.html_markdown(page).startswith("a **c**") and gc.collect() == 0
+    finally:
+        gc.enable()
+    batch = pa.array([None, "", page, *(f"<p>{i}</p>" for i in range(100))])
+    assert markup.markdown_of(batch).to_pylist() == [markup.html_markdown(x) for x in batch.to_pylist()]
+    assert markup.markdown_of(batch.slice(0, 0)).to_pylist() == []
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert books.html_to_markdown(spark, tables).count() == 50
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20
